@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, simhash, sp_codec
+from . import line_dedup, mixing, simhash, sp_codec, toxicity
 from .common import documents
 
 
@@ -17,6 +17,26 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+#: A document with at least this score is toxic.
+TOXIC = 0.7
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Documents whose labels no model may learn from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model | None:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.train(docs, labels.where(~held_out()))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = toxicity.score(docs.select("doc_id", "text"), toxicity_model(spark, docs, sf_dir))
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "times")
 
@@ -30,13 +50,37 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_documents(documents(spark, sf_dir), model_path(), with_ids=False)
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.report(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": op4_toxicity,
         "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
         "op9_sentencepiece": op9_sentencepiece,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
+OP10_SQL = r"""
+with lines as (
+  select doc_id, source, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as pos,
+         unnest(string_split(text, chr(10))) as raw
+  from documents where text is not null),
+clean as (select doc_id, source, pos, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') as line from lines),
+named as (select * from clean where line <> ''),
+wide as (select line, min((doc_id, pos)) as keep from named group by line having count(distinct source) >= 8),
+gone as (
+  select doc_id, count(*) as n, string_agg(pos::varchar, ',' order by pos) as removed
+  from named join wide using (line) where (doc_id, pos) <> keep group by doc_id)
+select d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::bigint as n_lines,
+       coalesce(n, 0)::bigint as n_removed, coalesce(removed, '') as removed_lines
+from documents d left join gone using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": OP10_SQL}
