@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash, sp_codec, toxicity
+from . import line_dedup, mixing, simhash, sp_codec, toxicity, winnowing
 from .common import documents
 
 
@@ -17,6 +17,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edited_pairs(documents(spark, sf_dir))
+
+
 #: A document with at least this score is toxic.
 TOXIC = 0.7
 
@@ -57,6 +61,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_winnowing": op1_winnowing,
         "op4_toxicity": op4_toxicity,
         "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
