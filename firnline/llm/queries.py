@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, simhash, sp_codec, toxicity, winnowing
+from . import line_dedup, mixing, packing, quality, secrets, simhash, sp_codec, toxicity, winnowing
 from .common import documents
 
 
@@ -21,6 +21,20 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edited_pairs(documents(spark, sf_dir))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), model_path())
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.ledger(documents(spark, sf_dir))
+    base, kept = quality.kept_by(quality.BASE), quality.kept_by(quality.PROSE)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & kept).alias("kept"), "failed")
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir))
+
+
 #: A document with at least this score is toxic.
 TOXIC = 0.7
 
@@ -62,7 +76,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_winnowing": op1_winnowing,
+        "op2_packing": op2_packing,
+        "op3_quality": op3_quality,
         "op4_toxicity": op4_toxicity,
+        "op5_secrets": op5_secrets,
         "op6_mixing": op6_mixing,
         "op8_simhash": op8_simhash,
         "op9_sentencepiece": op9_sentencepiece,
@@ -87,5 +104,29 @@ from documents d left join gone using (doc_id)
 """
 
 
+OP3_SQL = r"""
+with base as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents),
+named as (
+  select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select doc_id, unnest(string_split(text, chr(10))) as line from base) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+windows as (
+  select doc_id, k, ws[k] as a, ws[k + 1] as b, ws[k + 2] as c from (select doc_id, ws, unnest(generate_series(1, len(ws) - 2)) as k from base where len(ws) > 2)),
+often as (select doc_id, k from (select doc_id, k, count(*) over (partition by doc_id, a, b, c) as n from windows) where n > 1),
+repeated as (select doc_id, count(distinct k + d) as n from often, (values (0), (1), (2)) t(d) group by doc_id),
+found as (
+  select doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::bigint as word_chars,
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
+         coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+         length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) as n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) as n_letters
+  from base left join named using (doc_id) left join repeated r using (doc_id)),
+bits as (
+  select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 20 * n_words)::bigint
+         + 8 * (100 * n_dup_lines > 50 * n_lines)::bigint + 16 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::bigint
+         + 32 * (100 * n_upper > 50 * n_letters)::bigint as failed from found)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed from bits
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": OP10_SQL}
+    return {"op3_quality": OP3_SQL, "op10_line_dedup": OP10_SQL}
