@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, secrets, simhash, sp_codec, toxicity, winnowing
+from . import chaining, line_dedup, mixing, packing, quality, secrets, simhash, sp_codec, toxicity, winnowing
 from .common import documents
 
 
@@ -59,6 +59,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "times")
 
 
+def op7_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chaining.repeated_passages(documents(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op5_secrets": op5_secrets,
         "op6_mixing": op6_mixing,
+        "op7_chaining": op7_chaining,
         "op8_simhash": op8_simhash,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_line_dedup": op10_line_dedup,
