@@ -89,10 +89,11 @@ def _range_of(value: Column, bounds: list[float]) -> Column:
     return F.when(value.isNull(), 0).otherwise(within).cast("int")
 
 
-def with_next(rows: DataFrame, order: str, tie: str, carried: list[str]) -> DataFrame:
-    """`rows` with a column `next`: the `carried` columns of the row that follows by `order` (then `tie`).
+def with_next(rows: DataFrame, order: str, tie: str, carried: list[str], added: dict[str, Column]) -> DataFrame:
+    """`rows` with the columns `added` and `next`, the `carried` ones of the row that follows by `order` (then `tie`).
 
-    The first row follows the last. Rows are dealt to ranges of `order` of about equal size, and the
+    The first row follows the last. Added columns are worked out after the rows have been dealt, so that
+    they don't travel. Rows are dealt to ranges of `order` of about equal size, and the
     first row of each range goes to the range before as well; so no task sees more than a range.
     """
     n = 4 * shuffle_parts(rows)
@@ -105,6 +106,7 @@ def with_next(rows: DataFrame, order: str, tie: str, carried: list[str]) -> Data
     homes = F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")), F.struct(F.col("\x01before").alias("range"), F.lit(True).alias("guest")))
     dealt = shared.select(*rows.columns, F.explode(F.filter(homes, lambda h: h["range"].isNotNull())).alias("\x01home"))
     dealt = dealt.select(*rows.columns, F.col("\x01home.range").alias("\x01range"), F.col("\x01home.guest").alias("\x01guest"))
+    dealt = dealt.repartition("\x01range").withColumns(added)
     follows = F.lead(F.struct(*carried)).over(Window.partitionBy("\x01range").orderBy("\x01guest", F.col(order).asc_nulls_first(), tie))
     return dealt.withColumn("next", follows).where(~F.col("\x01guest")).drop("\x01range", "\x01guest")
 
@@ -117,7 +119,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     inside what stayed have picked the same hashes before.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = with_next(rows.withColumn("kept", fingerprint(F.col("text"))), "id", "text", ["text", "kept"])
+    rows = with_next(rows, "id", "text", ["text", "kept"], {"kept": fingerprint(F.col("text"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumns({"n": n, "edited": F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))})
