@@ -29,6 +29,8 @@ from .common import cut
 from .graph import components
 
 BITS = 64
+#: Fingerprints with at least this part of all rows (1 / HEAVY) are joined by broadcast.
+HEAVY = 1000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -143,12 +145,18 @@ def links(prints: DataFrame, radius: int = 3, meet: int = 1024, tile_rows: int =
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, size: int = 3) -> DataFrame:
     """(id_col, print, component_id) for each row; component_id is the smallest id that links reach."""
     signed = cut(fingerprints(docs, id_col, text_col, size))
-    distinct = cut(signed.groupBy("print").agg(F.min(id_col).alias("first")))
+    distinct = cut(signed.groupBy("print").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")))
     roots = components(links(distinct.select("print"), radius)).withColumnRenamed("node", "print")
     linked = distinct.join(roots, "print")
     low = linked.groupBy("root").agg(F.min("first").alias("low"))
-    named = distinct.join(linked.join(low, "root").select("print", "low"), "print", "left")
-    return signed.join(named.select("print", F.coalesce("low", "first").alias("component_id")), "print").select(id_col, "print", "component_id")
+    named = distinct.join(linked.join(low, "root").select("print", "low"), "print", "left").select("print", "copies", F.coalesce("low", "first").alias("component_id"))
+    # at most HEAVY prints can have this share of the rows: theirs are joined where they lie
+    many = max(2, math.ceil(distinct.agg(F.sum("copies")).first()[0] / HEAVY)) if not distinct.isEmpty() else 2
+    named = cut(named)
+    frequent = F.broadcast(named.where(F.col("copies") >= many).select("print", F.struct("component_id").alias("known")))
+    rows = signed.join(frequent, "print", "left")
+    rare = rows.where("known is null").drop("known").join(named.where(F.col("copies") < many).select("print", "component_id"), "print")
+    return rare.select(id_col, "print", "component_id").unionByName(rows.where("known is not null").select(id_col, "print", "known.component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, size: int = 3) -> DataFrame:
