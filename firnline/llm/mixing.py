@@ -63,24 +63,25 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return ranked.withColumn("target", F.least(cap.cast("double"), F.col("weight") * level)).drop("weight")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, seed: int = 17, range_rows: int = 50_000) -> DataFrame:
+def plan(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, seed: int = 17, range_rows: int = 50_000, source_rows: int = 4_000) -> DataFrame:
     """One row for each row of `docs`: id_col, size, source_size, target, times, taken, finish.
 
     times: how often the mix takes the document; taken: its words in the mix; finish: virtual finish
-    time of each pass. `size` defaults to the words of the column `text`.
+    time of each pass. `size` defaults to the words of the column `text`. Ranges of a source hold about
+    `source_rows` documents, ranges of finish time about `range_rows`.
     """
     size = F.regexp_count(text_of("text"), F.lit(WORD)) if size is None else size
     thin = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.cast("long").alias("size")))
-    sources = cut(targets(thin.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
+    sources = cut(targets(thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")), weights, share, most))
     n, budget = thin.count(), share * (thin.agg(F.sum("size")).first()[0] or 0)
     known = sources.withColumnRenamed("source", "\x01source")
     known = F.broadcast(known) if sources.count() <= BROADCAST_SOURCES else known
-    rows = thin.join(known, F.col("source").eqNullSafe(F.col("\x01source"))).select("id", "size", "rank", "source_size", "target")
-    ranges, passes = max(1, math.ceil(n / range_rows)), math.ceil(most)
+    rows = thin.join(known, F.col("source").eqNullSafe(F.col("\x01source"))).select("id", "size", "rank", "docs", "source_size", "target")
+    passes = math.ceil(most)
     for p in range(passes):
         key = F.xxhash64(F.lit(seed + p), "id")
         # the upper half of the hash, as 0 .. 2^32 - 1, falls into equal ranges
-        part = F.floor((F.shiftright(key, 32) + (1 << 31)) * ranges / (1 << 32))
+        part = F.floor((F.shiftright(key, 32) + (1 << 31)) * F.ceil(F.col("docs") / source_rows) / (1 << 32))
         rows = cut(rows.withColumns({f"key{p}": key, f"part{p}": part}))
         sums = rows.groupBy("rank", f"part{p}").agg(F.sum("size").alias("all"))
         sums = sums.withColumn("before", F.sum("all").over(Window.partitionBy("rank").orderBy(f"part{p}")) - F.col("all")).drop("all")
