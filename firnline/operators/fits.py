@@ -1,10 +1,19 @@
-"""Grouped model fits."""
+"""Grouped model fits: least squares with outlier rejection, robust lines, surfaces, series filters.
+
+Closed forms stay in SQL aggregates. Fits that iterate run in numpy inside grouped tasks; a group is a
+node's or a cell's points, and tasks take many groups each, so that no group costs a task of its own.
+Groups with fewer values than a fit needs have no row in the result.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import radius_join
+
 
 def quadratic(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
     """Trend of the line, and quadratic coefficient of the parabola, fitted to each centred series."""
@@ -14,3 +23,355 @@ def quadratic(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
     c = F.col
     quad = F.try_divide(c("n") * c("s2") * c("y2") - c("s2") * c("s2") * c("y0") - c("n") * c("s3") * c("y1"), c("n") * c("s2") * c("s4") - c("s2") * c("s2") * c("s2") - c("n") * c("s3") * c("s3"))
     return s.select(*by, F.try_divide("y1", "s2").alias("trend"), quad.alias("quad"))
+
+
+def plane_trend(df: DataFrame, by: list[str], x: str, y: str, value: str) -> DataFrame:
+    """value = c + a x + b y for each group, by normal equations: columns a, b, c, n."""
+    w = Window.partitionBy(*by)
+    q = df.dropna(subset=[x, y, value]).withColumns({"\x01x": F.col(x) - F.avg(x).over(w), "\x01y": F.col(y) - F.avg(y).over(w)})
+    X, Y, V = F.col("\x01x"), F.col("\x01y"), F.col(value)
+    s = q.groupBy(*by).agg(F.sum(X * X).alias("xx"), F.sum(X * Y).alias("xy"), F.sum(Y * Y).alias("yy"), F.sum(X * V).alias("xv"), F.sum(Y * V).alias("yv"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(value).alias("mv"), F.count("*").alias("n"))
+    det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
+    s = s.withColumns({"a": F.try_divide(F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy"), det), "b": F.try_divide(F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy"), det)})
+    return s.select(*by, "a", "b", (F.col("mv") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"), "n")
+
+
+# FIT-1
+def lstsq(design, value, n_iter: int = 5, n_sigma: float | None = None, weight=None, limit: float | None = None):
+    """Least squares of smallest norm, again without outliers until there are none.
+
+    Returns coefficients, their standard errors, and which rows were used. `weight` multiplies squared
+    residuals. Outliers are farther than n MADs, or than `limit`, from the fit.
+    """
+    import numpy as np
+
+    good = np.isfinite(value) & np.isfinite(design).all(axis=1)
+    root = np.sqrt(weight) if weight is not None else np.ones(len(value))
+    coef = np.full(design.shape[1], np.nan)
+    for _ in range(n_iter if n_sigma is not None else 1):
+        if good.sum() < 1:
+            break
+        coef = np.linalg.lstsq(design[good] * root[good, None], value[good] * root[good], rcond=None)[0]
+        if n_sigma is None:
+            break
+        resid = value - design @ coef
+        std = mad(resid[good])
+        bad = good & ((np.abs(resid) > n_sigma * std) if limit is None else (np.abs(resid) > n_sigma * std) | (np.abs(resid) > limit))
+        if not bad.any() or std == 0:
+            break
+        good &= ~bad
+    used = design[good] * root[good, None]
+    resid = (value[good] - design[good] @ coef) * root[good]
+    cov = np.linalg.pinv(used.T @ used) * (resid.var() if len(resid) else np.nan)
+    return coef, np.sqrt(np.maximum(np.diag(cov), 0)), good
+
+
+def mad(x) -> float:
+    import numpy as np
+
+    x = x[np.isfinite(x)]
+    return float(1.4826 * np.median(np.abs(x - np.median(x)))) if len(x) else float("nan")
+
+
+# FIT-2
+def surface_design(t, x, y, trend: int = 1, surface: int = 2, season: bool = False, extra=None):
+    """Columns 1, t .. t^trend, surface terms up to order 1 or 2, cosine and sine of a year, extra ones."""
+    import numpy as np
+
+    cols = [np.ones(len(t))]
+    factor = 1.0
+    for k in range(1, trend + 1):
+        factor *= k
+        cols.append(t**k / factor)
+    if surface >= 1:
+        cols += [x, y]
+    if surface >= 2:
+        cols += [x * y, x * x, y * y]
+    if season:
+        cols += [np.cos(2 * np.pi * t), np.sin(2 * np.pi * t)]
+    for c in extra or []:
+        cols.append(c)
+    return np.column_stack(cols)
+
+
+# FIT-4
+def huber(design, value, rounds: int = 50, k: float = 1.345):
+    """Robust regression by reweighting: residuals beyond k scales count less."""
+    import numpy as np
+
+    coef = np.linalg.lstsq(design, value, rcond=None)[0]
+    for _ in range(rounds):
+        resid = value - design @ coef
+        scale = np.median(np.abs(resid)) / 0.6745
+        if scale <= 0:
+            break
+        w = np.minimum(1.0, k * scale / np.maximum(np.abs(resid), 1e-300))
+        root = np.sqrt(w)
+        new = np.linalg.lstsq(design * root[:, None], value * root, rcond=None)[0]
+        if np.allclose(new, coef, rtol=1e-8, atol=1e-10):
+            return new
+        coef = new
+    return coef
+
+
+def by_group(df: DataFrame, key: str, fit: Callable, schema: str, tasks_each: int = 4) -> DataFrame:
+    """`fit(key value, pandas of the group)` gives a list of row tuples; many groups share a task."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * tasks_each
+
+    def run(pdf):
+        import pandas as pd
+
+        rows = []
+        for k, g in pdf.groupby(key, sort=False):
+            rows += fit(k, g)
+        return pd.DataFrame(rows, columns=names)
+
+    return df.withColumn("\x01task", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("\x01task").applyInPandas(run, schema)
+
+
+def robust_line(df: DataFrame, key: str, t: str, value: str, key_type: str = "long", order: list[str] = ()) -> DataFrame:
+    """(key, slope, level, n): Huber line of each group, level at the mean time."""
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.dropna(subset=[t, value]).sort_values([t, value])
+        if len(g) < 3:
+            return []
+        x = g[t].to_numpy(float)
+        c = huber(np.column_stack([np.ones(len(g)), x - x.mean()]), g[value].to_numpy(float))
+        return [(k, c[1], c[0], len(g))]
+
+    return by_group(df.select(key, t, value), key, fit, f"{key} {key_type}, slope double, level double, n long")
+
+
+# FIT-3
+def elevation_change(nodes: DataFrame, points: DataFrame, node: str, t: str, h: str, r: float, least: int = 25, min_span: float = 0.0, n_sigma: float = 3.5, max_rate: float = 15.0, surface: int = 1, season: bool = True, t_ref: float | None = None) -> DataFrame:
+    """Per node: rate, acceleration, amplitude and phase of the year, misfit, counts and span.
+
+    A surface with trend and season is fitted to the points within r; nodes with too few points, too
+    short a span or too large a rate have no row. Amplitude is that of the cosine and sine terms.
+    """
+    q = radius_join(nodes, points, r).select(F.col(f"l_{node}").alias("node"), F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col(f"r_{t}").alias("t"), F.col(f"r_{h}").alias("h"))
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.dropna().sort_values(["t", "x", "y", "h"])
+        tt = g["t"].to_numpy()
+        if len(g) < least or tt.max() - tt.min() < min_span:
+            return []
+        ref = tt.mean() if t_ref is None else t_ref
+        x, y = g["x"].to_numpy() - g["x0"].to_numpy(), g["y"].to_numpy() - g["y0"].to_numpy()
+        scale = max(r, 1e-12)
+        a = surface_design(tt - ref, x / scale, y / scale, trend=2, surface=surface, season=season)
+        c, e, good = lstsq(a, g["h"].to_numpy(), 5, n_sigma)
+        if abs(c[1]) > max_rate:
+            return []
+        resid = g["h"].to_numpy() - a @ c
+        cos, sin = (c[-2], c[-1]) if season else (0.0, 0.0)
+        amp = float(np.hypot(cos, sin))
+        return [(k, c[0], c[1], c[2], e[0], e[1], e[2], amp, float(np.degrees(np.arctan2(cos, sin)) % 360), mad(resid[good]), int(good.sum()), float(tt.max() - tt.min()))]
+
+    kind = nodes.schema[node].dataType.simpleString()
+    return by_group(q, "node", fit, f"node {kind}, p0 double, p1 double, p2 double, p0_error double, p1_error double, p2_error double, amplitude double, phase double, rmse double, nobs long, tspan double")
+
+
+# FIT-5
+def topography_residuals(nodes: DataFrame, points: DataFrame, node: str, pid: str, t: str, h: str, r: float, least: int = 20, quad_from: int = 50, n_sigma: float = 3.5) -> DataFrame:
+    """Per point: residual of its best node's surface (smallest misfit, of equals the first node).
+
+    Columns pid, res (height less all terms but the trend), mod, err, order, t_ref, slope_x, slope_y, node.
+    """
+    q = radius_join(nodes, points, r).select(F.col(f"l_{node}").alias("node"), F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col(f"r_{pid}").alias("pid"), F.col(f"r_{t}").alias("t"), F.col(f"r_{h}").alias("h"))
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.dropna().sort_values(["t", "pid"])
+        if len(g) < least:
+            return []
+        tt, hh = g["t"].to_numpy(), g["h"].to_numpy()
+        x, y = (g["x"] - g["x0"]).to_numpy() / r, (g["y"] - g["y0"]).to_numpy() / r
+        order = 2 if len(g) > quad_from else 1
+        ref = float(tt.mean())
+        a = surface_design(tt - ref, x, y, trend=1, surface=order)
+        c, _, good = lstsq(a, hh, 5, n_sigma)
+        resid = hh - a @ c
+        rmse = mad(resid[good])
+        model = a @ c - a[:, 1] * c[1]
+        return [(p, res, mod, rmse, order, ref, c[2] / r, c[3] / r, k) for p, res, mod, ok in zip(g["pid"], hh - model, model, good) if ok]
+
+    kinds = points.schema[pid].dataType.simpleString(), nodes.schema[node].dataType.simpleString()
+    solutions = by_group(q, "node", fit, f"pid {kinds[0]}, res double, mod double, err double, order int, t_ref double, slope_x double, slope_y double, node {kinds[1]}")
+    best = solutions.groupBy("pid").agg(F.min_by(F.struct("res", "mod", "err", "order", "t_ref", "slope_x", "slope_y", "node"), F.struct("err", "node")).alias("b"))
+    return best.select("pid", "b.*")
+
+
+# FIT-6, FIT-7
+def scattering_correction(df: DataFrame, cell: str, pid: str, t: str, h: str, params: list[str], least: int = 50, n_sigma: float = 3.5, worst: float = 0.05) -> DataFrame:
+    """Per point: the height change explained by waveform parameters in its cell, 0 where that is no help.
+
+    Centred, normalised parameters are regressed on detrended heights; a fit that makes the spread larger
+    by more than `worst` is not used. Columns pid, h_bs, r2, d_std and the coefficients b_<param>.
+    """
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.dropna().sort_values([t, pid])
+        n = len(g)
+        if n < least:
+            return [(p, 0.0, 0.0, 0.0, *[0.0] * len(params)) for p in g[pid]]
+        tt, hh = g[t].to_numpy(float), g[h].to_numpy(float)
+        line = np.column_stack([np.ones(n), tt - tt.mean()])
+        flat = hh - line @ np.linalg.lstsq(line, hh, rcond=None)[0]
+        w = []
+        for p in params:
+            v = g[p].to_numpy(float)
+            v = v - v.mean()
+            w.append(v / (mad(v) or 1.0))
+        a = np.column_stack(w)
+        c, _, good = lstsq(a, flat, 5, n_sigma)
+        cor = a @ c
+        before, after = mad(flat), mad(flat - cor)
+        if not np.isfinite(cor).all() or after > before * (1 + worst):
+            c, cor, after = c * 0, cor * 0, before
+        total = ((flat[good] - flat[good].mean()) ** 2).sum()
+        r2 = 1 - ((flat[good] - cor[good]) ** 2).sum() / total if total > 0 else 0.0
+        return [(p, x, r2, after - before, *c) for p, x in zip(g[pid], cor)]
+
+    kind = df.schema[pid].dataType.simpleString()
+    return by_group(df.select(cell, pid, t, h, *params), cell, fit, f"{pid} {kind}, h_bs double, r2 double, d_std double, " + ", ".join(f"b_{p} double" for p in params))
+
+
+# FIT-8, FIT-9
+def cross_calibrate(df: DataFrame, cell: str, t: str, mission: str, value: str) -> DataFrame:
+    """Per cell and mission: the offset that a common trend, season and one dummy a mission leave.
+
+    Offsets are relative to the mission with the earliest sample.
+    """
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.dropna().sort_values([t, mission])
+        names = list(dict.fromkeys(g[mission]))
+        if len(g) < 5 + len(names):
+            return []
+        tt = g[t].to_numpy(float)
+        tt = tt - tt.mean()
+        dummies = [(g[mission] == m).to_numpy(float) for m in names[1:]]
+        c = huber(surface_design(tt, tt, tt, trend=2, surface=0, season=True, extra=dummies), g[value].to_numpy(float))
+        return [(k, m, o) for m, o in zip(names, [0.0, *c[len(c) - len(dummies) :]])]
+
+    kinds = df.schema[cell].dataType.simpleString(), df.schema[mission].dataType.simpleString()
+    return by_group(df.select(cell, t, mission, value), cell, fit, f"{cell} {kinds[0]}, {mission} {kinds[1]}, offset double")
+
+
+# OUT-5, OUT-6
+def sigma_filter(df: DataFrame, key: str, pid: str, t: str, value: str, order: int = 1, rounds: int = 3, n_sigma: float = 3.0, window: float = 0.25, by_bins: bool = False) -> DataFrame:
+    """(pid, value): NULL where a value is beyond n MADs of a polynomial fitted to binned medians, or of
+    the binned medians themselves; repeated, each time on what is left."""
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.sort_values([t, pid])
+        x, y = g[t].to_numpy(float), g[value].to_numpy(float).copy()
+        for _ in range(rounds):
+            ok = np.isfinite(y)
+            if ok.sum() < 10:
+                break
+            centres = np.arange(x[ok].min(), x[ok].max() + window, window)
+            bins = np.digitize(x[ok], centres)
+            med = [(x[ok][bins == b].mean(), np.median(y[ok][bins == b])) for b in np.unique(bins)]
+            bx, by = np.array(med).T
+            model = np.interp(x, bx, by) if by_bins or len(bx) <= order else np.polyval(np.polyfit(bx - x.mean(), by, order), x - x.mean())
+            resid = y - model
+            bad = np.abs(resid) > n_sigma * mad(resid)
+            if not bad.any():
+                break
+            y[bad] = np.nan
+        return [(p, None if np.isnan(v) else float(v)) for p, v in zip(g[pid], y)]
+
+    kind = df.schema[pid].dataType.simpleString()
+    return by_group(df.select(key, pid, t, value), key, fit, f"{pid} {kind}, {value} double")
+
+
+# OUT-9
+def block_fit_filter(df: DataFrame, cell: str, pid: str, x: str, y: str, value: str, n_sigma: float = 3.0, limit: float | None = None, rounds: int = 3) -> DataFrame:
+    """(pid, value): NULL where a value is an outlier of its cell's bi-quadratic surface."""
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.sort_values(pid)
+        xx, yy, v = (g[c].to_numpy(float) for c in (x, y, value))
+        ok = np.isfinite(v)
+        if ok.sum() < 10:
+            return [(p, None if np.isnan(z) else z) for p, z in zip(g[pid], v)]
+        xx, yy = xx - np.nanmean(xx), yy - np.nanmean(yy)
+        sx, sy = np.abs(xx).max() or 1.0, np.abs(yy).max() or 1.0
+        xx, yy = xx / sx, yy / sy
+        a = np.column_stack([np.ones(len(v)), xx, yy, xx * yy, xx**2, yy**2, xx**2 * yy, xx * yy**2, xx**2 * yy**2])
+        _, _, good = lstsq(a, v, rounds, n_sigma, limit=limit)
+        return [(p, float(z) if g_ else None) for p, z, g_ in zip(g[pid], v, good)]
+
+    kind = df.schema[pid].dataType.simpleString()
+    return by_group(df.select(cell, pid, x, y, value), cell, fit, f"{pid} {kind}, {value} double")
+
+
+# OUT-11
+def space_time_filter(nodes: DataFrame, points: DataFrame, node: str, pid: str, t: str, h: str, r: float, half_cell: float, least: int = 50, n_sigma: float = 3.0, window: float = 0.25) -> DataFrame:
+    """(pid, ok): whether a point agrees with the detrended binned medians around the node whose cell holds it."""
+    q = radius_join(nodes, points, r).select(F.col(f"l_{node}").alias("node"), F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col(f"r_{pid}").alias("pid"), F.col(f"r_{t}").alias("t"), F.col(f"r_{h}").alias("h"))
+
+    def fit(k, g):
+        import numpy as np
+
+        g = g.dropna().sort_values(["t", "pid"])
+        if len(g) < least:
+            return []
+        x, y = g["t"].to_numpy(), g["h"].to_numpy()
+        bins = np.floor((x - x.min()) / window)
+        med = np.array([(x[bins == b].mean(), np.median(y[bins == b])) for b in np.unique(bins)])
+        resid = y - np.interp(x, med[:, 0], med[:, 1])
+        ok = np.abs(resid - np.median(resid)) < n_sigma * mad(resid)
+        own = (np.abs(g["x"] - g["x0"]) < half_cell) & (np.abs(g["y"] - g["y0"]) < half_cell)
+        return [(p, bool(o)) for p, o, mine in zip(g["pid"], ok, own) if mine]
+
+    return by_group(q, "node", fit, f"pid {points.schema[pid].dataType.simpleString()}, ok boolean")
+
+
+# OUT-19, OUT-20
+def series_filter(df: DataFrame, cell: str, k: str, value: str, window: int = 5, n_sigma: float = 5.0) -> DataFrame:
+    """(cell, k, value): outliers of a smooth trend replaced by interpolation, runs of one value left out of
+    the statistics; what was missing stays missing."""
+    from .alongtrack import savgol_weights
+
+    def fit(c, g):
+        import numpy as np
+
+        g = g.sort_values(k)
+        at, y = g[k].to_numpy(float), g[value].to_numpy(float)
+        ok = np.isfinite(y)
+        if ok.sum() < window + 2:
+            return [(c, int(a), None if np.isnan(v) else float(v)) for a, v in zip(g[k], y)]
+        same = np.zeros(len(y), bool)
+        same[1:] = y[1:] == y[:-1]
+        use = ok & ~same
+        gross = use & (np.abs(y - np.median(y[use])) > n_sigma * mad(y[use]))
+        use &= ~gross
+        filled = np.interp(at, at[use], y[use])
+        padded = np.concatenate([[filled[0]] * (window // 2), filled, [filled[-1]] * (window // 2)])
+        smooth = np.convolve(padded, savgol_weights(window, 1)[::-1], "valid")
+        resid = filled - smooth
+        far = np.abs(resid - np.median(resid[use])) > n_sigma * mad(resid[use])
+        keep = use & ~far
+        out = np.where(ok & ~same & ~keep, np.interp(at, at[keep], y[keep]) if keep.any() else y, y)
+        return [(c, int(a), None if not o else float(v)) for a, v, o in zip(g[k], out, ok)]
+
+    kinds = df.schema[cell].dataType.simpleString(), "long"
+    return by_group(df.select(cell, k, value), cell, fit, f"{cell} {kinds[0]}, {k} {kinds[1]}, {value} double")

@@ -10,11 +10,11 @@ from firnline.operators import layout
 from .registry import points, query, series, tracks
 
 _O = "window w as (partition by orbit order by t, pid)"
-_GAPS = "(select cell, k, case when (k + cell) % 5 = 0 then null else v end as v from {series})"
+_GAPS = "(select cell, k, case when v > 80 then null else v end as v from {series})"
 
 
 def _gaps(spark, sf):
-    return series(spark, sf).withColumn("v", F.when((F.col("k") + F.col("cell")) % 5 != 0, F.col("v")))
+    return series(spark, sf).withColumn("v", F.when(F.col("v") <= 80, F.col("v")))
 
 
 @query("win1_gap_sessions", "with d as (select *, case when abs(t - lag(t) over (partition by orbit order by t, pid)) > 43200 then 1 else 0 end as b from {tracks}) select orbit, pid, sum(b) over (partition by orbit order by t, pid rows unbounded preceding)::bigint as seg from d")

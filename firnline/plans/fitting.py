@@ -1 +1,99 @@
-"""Queries."""
+"""Queries of grouped fits and of filters that fit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from firnline.operators import fits, interpolation
+
+from .registry import cloud, points, query, series, tracks
+
+
+def _r(df, keys, values, n=6):
+    return df.select(*keys, *[F.round(v, n).alias(v) for v in values])
+
+
+def _nodes(spark, n=12):
+    g = interpolation.grid(spark, 5000, 95000, 5000, 95000, 90000 / (n - 1), 90000 / (n - 1))
+    return g.select((F.col("i") * 100 + F.col("j")).alias("node"), "x", "y")
+
+
+def _pid(spark, sf):
+    return points(spark, sf).withColumn("pid", F.xxhash64("orbit", "line", "x", "y", "h"))
+
+
+@query("fit1_plane", """
+with m as (select mission, x / 1000 - avg(x / 1000) over (partition by mission) as xx, y / 1000 - avg(y / 1000) over (partition by mission) as yy, x / 1000 as x, y / 1000 as y, h from {points}),
+s as (select mission, sum(xx*xx) as xx, sum(xx*yy) as xy, sum(yy*yy) as y2, sum(xx*h) as xv, sum(yy*h) as yv, avg(x) as mx, avg(y) as my, avg(h) as mv, count(*) as n from m group by mission), k as (select *, (xv*y2 - yv*xy) / (xx*y2 - xy*xy) as a, (yv*xx - xv*xy) / (xx*y2 - xy*xy) as b from s)
+select mission, round(a, 6) as a, round(b, 6) as b, round(mv - a*mx - b*my, 6) as c, n from k""")
+def fit1(spark, sf):
+    p = points(spark, sf).withColumns({"x": F.col("x") / 1000, "y": F.col("y") / 1000})
+    return fits.plane_trend(p, ["mission"], "x", "y", "h").select("mission", *[F.round(c, 6).alias(c) for c in "abc"], "n")
+
+
+@query("fit3_elevation_change")
+def fit3(spark, sf):
+    q = fits.elevation_change(_nodes(spark), points(spark, sf), "node", "t_year", "h", 4000.0)
+    return _r(q, ["node", "nobs"], ["p0", "p1", "p2", "amplitude", "phase", "rmse", "tspan"])
+
+
+@query("fit4_robust_line")
+def fit4(spark, sf):
+    return _r(fits.robust_line(tracks(spark, sf).withColumn("d", (F.col("t") - 1704067200) / 86400), "orbit", "d", "h"), ["orbit", "n"], ["slope", "level"])
+
+
+@query("fit5_topography_residuals")
+def fit5(spark, sf):
+    q = fits.topography_residuals(_nodes(spark), _pid(spark, sf).dropDuplicates(["pid"]), "node", "pid", "t_year", "h", 4000.0)
+    return _r(q, ["pid", "node", "order"], ["res", "mod", "err", "slope_x", "slope_y"], 5)
+
+
+@query("fit7_scattering_correction")
+def fit7(spark, sf):
+    q = fits.scattering_correction(_pid(spark, sf).dropDuplicates(["pid"]), "y", "pid", "t_year", "h", ["bs", "lew", "tes"])
+    return _r(q, ["pid"], ["h_bs", "r2", "d_std", "b_bs", "b_lew", "b_tes"], 5)
+
+
+@query("fit9_cross_calibration")
+def fit9(spark, sf):
+    return _r(fits.cross_calibrate(points(spark, sf), "y", "t_year", "mission", "h"), ["y", "mission"], ["offset"], 5)
+
+
+@query("fit10_covariance_model")
+def fit10(spark, sf):
+    from firnline.operators import bins, spatial
+
+    c = cloud(spark, sf)
+    c = c.join(F.broadcast(c.agg(F.avg("z").alias("m")))).withColumn("z", F.col("z") - F.col("m"))
+    # a covariance table has as many rows as lags, so its model is fitted on the driver
+    rows = bins.lag_covariance(spatial.lag_pairs(c, "pid", 0.3), "l_z", "r_z", "dist", 0.02).orderBy("k").collect()
+    out = [(kind, *map(float, interpolation.fit_covariance([r["lag"] for r in rows], [r["cov"] for r in rows], kind))) for kind in ("gauss", "markov", "generic", "exp")]
+    return _r(spark.createDataFrame(out, "model string, c0 double, a double, misfit double"), ["model"], ["c0", "a", "misfit"])
+
+
+@query("out5_sigma_filter")
+def out5(spark, sf):
+    t = tracks(spark, sf).withColumn("d", (F.col("t") - 1704067200) / 86400)
+    return fits.sigma_filter(t, "orbit", "pid", "d", "h", n_sigma=1.5, window=3.0)
+
+
+@query("out6_sigma_filter_bins")
+def out6(spark, sf):
+    t = tracks(spark, sf).withColumn("d", (F.col("t") - 1704067200) / 86400)
+    return fits.sigma_filter(t, "orbit", "pid", "d", "h", n_sigma=1.5, window=3.0, by_bins=True)
+
+
+@query("out9_block_fit_filter")
+def out9(spark, sf):
+    p = _pid(spark, sf).dropDuplicates(["pid"]).withColumn("cell", (F.floor(F.col("x") / 10000) * 1000 + F.floor(F.col("y") / 10000)).cast("long"))
+    return fits.block_fit_filter(p, "cell", "pid", "x", "y", "h", n_sigma=2.0)
+
+
+@query("out11_space_time_filter")
+def out11(spark, sf):
+    return fits.space_time_filter(_nodes(spark), _pid(spark, sf).dropDuplicates(["pid"]), "node", "pid", "t_year", "h", 6000.0, 4090.9, n_sigma=2.0)
+
+
+@query("out19_series_filter")
+def out19(spark, sf):
+    return _r(fits.series_filter(series(spark, sf), "cell", "k", "v", n_sigma=3.0), ["cell", "k"], ["v"])

@@ -54,12 +54,12 @@ def jn5(spark, sf):
 
 
 @query("jn6_nearest_difference", f"""
-with a as (select * from {{cloud}} where pid % 2 = 0), b as (select * from {{cloud}} where pid % 2 = 1), l as (select greatest((select min(x) from a), (select min(x) from b)) as x1, least((select max(x) from a), (select max(x) from b)) as x2, greatest((select min(y) from a), (select min(y) from b)) as y1, least((select max(y) from a), (select max(y) from b)) as y2),
+with a as (select * from {{cloud}} where mission < 5), b as (select * from {{cloud}} where mission >= 5), l as (select greatest((select min(x) from a), (select min(x) from b)) as x1, least((select max(x) from a), (select max(x) from b)) as x2, greatest((select min(y) from a), (select min(y) from b)) as y1, least((select max(y) from a), (select max(y) from b)) as y2),
 p as (select a.pid as pa, b.pid as pb, a.z - b.z as dz, a.mission - b.mission as dt, {_D2} as d2, row_number() over (partition by a.pid order by {_D2}, b.pid) as r from a, b, l where a.x > x1 and a.x < x2 and a.y > y1 and a.y < y2 and b.x > x1 and b.x < x2 and b.y > y1 and b.y < y2)
 select pa as ref, pb as obs, round(dz, 8) as diff, round(sqrt(d2), 8) as distance from p where r = 1 and d2 <= 0.0025e0 and abs(dt) <= 4""")
 def jn6(spark, sf):
     c = cloud(spark, sf)
-    q = spatial.nearest_within(c.where("pid % 2 = 0"), c.where("pid % 2 = 1"), 0.05, "pid", "pid", "mission", 4)
+    q = spatial.nearest_within(c.where("mission < 5"), c.where("mission >= 5"), 0.05, "pid", "pid", "mission", 4)
     return q.select(F.col("l_pid").alias("ref"), F.col("r_pid").alias("obs"), F.round(F.col("l_z") - F.col("r_z"), 8).alias("diff"), F.round(F.sqrt("d2"), 8).alias("distance"))
 
 
@@ -106,13 +106,13 @@ def jn10(spark, sf):
     return raster.sample_cube(p, cube, (-0.5, -0.5, -0.5), (0.05, 0.05, 0.25), (21, 21, 5), "v", key="pid").select("pid", F.round("v", 6).alias("v"))
 
 
-_OBS, _REF = "(select * from {tracks} where pid % 3 <> 0)", "(select * from {tracks} where pid % 3 = 0)"
+_OBS, _REF = "(select * from {tracks} where kind <> 'view')", "(select * from {tracks} where kind = 'view')"
 
 
 @query("jn11_nearest_time", f"select a.orbit, a.pid, arg_min(b.h, (abs(a.t - b.t), b.t)) as h_ref from {_OBS} a left join {_REF} b on a.orbit = b.orbit group by 1, 2")
 def jn11(spark, sf):
     t = tracks(spark, sf)
-    return spatial.nearest_time(t.where("pid % 3 <> 0"), t.where("pid % 3 = 0"), ["orbit"], "t", "h", "h_ref").select("orbit", "pid", "h_ref")
+    return spatial.nearest_time(t.where("kind <> 'view'"), t.where("kind = 'view'"), ["orbit"], "t", "h", "h_ref").select("orbit", "pid", "h_ref")
 
 
 @query("jn12_interpolated_asof", f"""
@@ -120,7 +120,7 @@ with n as (select a.orbit, a.pid, any_value(a.h) as h, any_value(a.t) as t, max(
 select orbit, pid, round(h - coalesce(hb + (ha - hb) * coalesce((t - tb) / nullif(ta - tb, 0), 0), hb, ha), 6) as dh from n""")
 def jn12(spark, sf):
     t = tracks(spark, sf)
-    q = spatial.as_of(t.where("pid % 3 <> 0"), t.where("pid % 3 = 0"), ["orbit"], "t", "h", "ref")
+    q = spatial.as_of(t.where("kind <> 'view'"), t.where("kind = 'view'"), ["orbit"], "t", "h", "ref")
     return q.select("orbit", "pid", F.round(F.col("h") - F.col("ref"), 6).alias("dh"))
 
 
@@ -160,10 +160,10 @@ def jn19(spark, sf):
 
 
 @query("jn20_nearest_gap_fill", f"""
-with g as (select *, case when pid % 7 = 0 then null else z end as q from {{cloud}}), n as (select a.pid, b.q, row_number() over (partition by a.pid order by {_D2}, b.pid) as r from g a, g b where a.q is null and b.q is not null)
+with g as (select *, case when abs(z) > 0.15e0 then null else z end as q from {{cloud}}), n as (select a.pid, b.q, row_number() over (partition by a.pid order by {_D2}, b.pid) as r from g a, g b where a.q is null and b.q is not null)
 select g.pid, coalesce(g.q, n.q) as z from g left join n on g.pid = n.pid and n.r = 1""")
 def jn20(spark, sf):
-    c = cloud(spark, sf).withColumn("z", F.when(F.col("pid") % 7 != 0, F.col("z")))
+    c = cloud(spark, sf).withColumn("z", F.when(F.abs("z") <= 0.15, F.col("z")))
     return interpolation.fill_nearest(c, "z", "pid", 0.05).select("pid", "z")
 
 

@@ -22,10 +22,10 @@ _MODULES = ("scalars", "outliers", "aggregates", "alongtrack", "layout", "neighb
 POINTS_SQL = """(select l_orderkey as orbit, l_linenumber as line, l_partkey * 50.0e0 as x, l_suppkey * 1000.0e0 as y,
   1970.0e0 + epoch_us(l_shipdate) / 1e6 / 31557600.0e0 as t_year, l_extendedprice / 1000.0e0 as h, l_discount + 0.05e0 as s,
   l_quantity as bs, l_tax as lew, l_discount as tes, l_returnflag as mission from lineitem)"""
-TRACKS_SQL = "(select user_id as orbit, event_id as pid, epoch_us(ts) / 1e6 as t, value as h from events)"
+TRACKS_SQL = "(select user_id as orbit, event_id as pid, epoch_us(ts) / 1e6 as t, value as h, event_type as kind from events)"
 CLOUD_SQL = "(select vec_id as pid, embedding[1]::double as x, embedding[2]::double as y, embedding[3]::double as z, label as mission from embeddings)"
 SERIES_SQL = """(select l_suppkey as cell, floor((t_year - 1995.0e0) * 12.0e0)::bigint as k, round(avg(h) * 1.4142135623730951e0, 12) as v
-  from (select l_suppkey, 1970.0e0 + epoch_us(l_shipdate) / 1e6 / 31557600.0e0 as t_year, l_extendedprice / 1000.0e0 as h from lineitem where l_suppkey <= 25) group by 1, 2)"""
+  from (select l_suppkey, 1970.0e0 + epoch_us(l_shipdate) / 1e6 / 31557600.0e0 as t_year, l_extendedprice / 1000.0e0 as h from lineitem) group by 1, 2)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,8 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks made of `events`: orbit, pid, t (seconds), h."""
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("orbit"), F.col("event_id").alias("pid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("h"))
+    """Tracks made of `events`: orbit, pid, t (seconds), h, kind."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("orbit"), F.col("event_id").alias("pid"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), F.col("value").alias("h"), F.col("event_type").alias("kind"))
 
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,8 @@ def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly means for each of 25 cells, times a constant that leaves no ties to round: cell, k (month), v."""
-    p = table(spark, sf_dir, "lineitem").where("l_suppkey <= 25")
+    """Monthly means for each cell, times a constant that leaves no ties to round: cell, k (month), v."""
+    p = table(spark, sf_dir, "lineitem")
     k = F.floor((decimal_year(F.col("l_shipdate")) - 1995.0) * 12.0)
     return p.groupBy(F.col("l_suppkey").alias("cell"), k.alias("k")).agg(F.round(F.avg(F.col("l_extendedprice") / 1000.0) * 1.4142135623730951, 12).alias("v"))
 

@@ -227,11 +227,11 @@ def flt13(spark, sf):
     return filters.limit_abs(points(spark, sf), "h", 80.0, F.col("y") < 10000).select("orbit", "line", "h")
 
 
-@query("srt1_sort_by_variable", "select orbit, pid, row_number() over (order by h nulls last, pid) as place from (select * from {tracks} where orbit < 20)")
+@query("srt1_sort_by_variable", "select orbit, pid, row_number() over (order by h nulls last, pid) as place from {tracks}")
 def srt1(spark, sf):
     from firnline.operators.layout import ranked
 
-    return ranked(tracks(spark, sf).where("orbit < 20"), [F.col("h").asc_nulls_last(), F.col("pid")], "place").select("orbit", "pid", "place")
+    return ranked(tracks(spark, sf), [F.col("h").asc_nulls_last(), F.col("pid")], "place").select("orbit", "pid", "place")
 
 
 @query("srt2_natural_sort", "select p_name, regexp_extract(p_brand, '[0-9]+')::int as num from part")
@@ -240,9 +240,9 @@ def srt2(spark, sf):
     return table(spark, sf, "part").select("p_name", num.alias("num")).orderBy("num", "p_name")
 
 
-@query("prd_rectangle_overlap", "select a.pid as a, b.pid as b from (select pid, x, y from {cloud} where pid < 40) a, (select pid, x, y from {cloud} where pid >= 40 and pid < 80) b where a.x + 0.1 >= b.x and a.x <= b.x + 0.1 and a.y + 0.1 >= b.y and a.y <= b.y + 0.1")
+@query("prd_rectangle_overlap", "select a.pid as a, b.pid as b from {cloud} a, {cloud} b where a.pid < b.pid and a.x + 0.02e0 >= b.x and a.x <= b.x + 0.02e0 and a.y + 0.02e0 >= b.y and a.y <= b.y + 0.02e0")
 def overlaps(spark, sf):
     from firnline.operators.spatial import overlapping_boxes
 
-    c = cloud(spark, sf).select("pid", "x", (F.col("x") + 0.1).alias("x2"), "y", (F.col("y") + 0.1).alias("y2"))
-    return overlapping_boxes(c.where("pid < 40"), c.where("pid >= 40 and pid < 80"), ("x", "x2", "y", "y2"), 0.1).select(F.col("l_pid").alias("a"), F.col("r_pid").alias("b"))
+    c = cloud(spark, sf).select("pid", "x", (F.col("x") + 0.02).alias("x2"), "y", (F.col("y") + 0.02).alias("y2"))
+    return overlapping_boxes(c, c, ("x", "x2", "y", "y2"), 0.02).where("l_pid < r_pid").select(F.col("l_pid").alias("a"), F.col("r_pid").alias("b"))

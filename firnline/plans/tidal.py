@@ -1 +1,75 @@
-"""Queries."""
+"""Queries of tides."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from firnline.functions import tides
+
+from .registry import query, tracks
+
+_DAYS_SQL = "(select orbit, pid, h, t / 86400e0 - 8035.0e0 as d, t / 86400e0 - 8035.0e0 + 48622.0e0 as mjd from {tracks})"
+
+
+def _days(spark, sf):
+    return tracks(spark, sf).withColumn("d", F.col("t") / 86400 - 8035.0)
+
+
+@query("tid1_mean_longitudes", f"""
+with a as (select orbit, pid, mjd - 51544.4993e0 as t from {_DAYS_SQL}), l as (select orbit, pid, 218.3164e0 + 13.17639648e0 * t as s, 280.4661e0 + 0.98564736e0 * t as h, 83.3535e0 + 0.11140353e0 * t as p, 125.0445e0 - 0.05295377e0 * t as n from a)
+select orbit, pid, round(s - 360 * floor(s / 360), 6) as s, round(h - 360 * floor(h / 360), 6) as h, round(p - 360 * floor(p / 360), 6) as p, round(n - 360 * floor(n / 360), 6) as n, 282.8e0 as pp from l""")
+def tid1(spark, sf):
+    lon = tides.longitudes(F.col("d") + tides.MJD_1992)
+    return _days(spark, sf).select("orbit", "pid", *[F.round(lon[k], 6).alias(k) for k in ("s", "h", "p", "n")], lon["pp"].alias("pp"))
+
+
+@query("tid2_nodal_corrections", f"""
+with a as (select orbit, pid, mjd - 51544.4993e0 as t from {_DAYS_SQL}), n as (select orbit, pid, radians((125.0445e0 - 0.05295377e0 * t) - 360 * floor((125.0445e0 - 0.05295377e0 * t) / 360)) as n from a)
+select orbit, pid, round(sqrt(pow(1 - 0.03731e0*cos(n) + 0.00052e0*cos(2*n), 2) + pow(0.03731e0*sin(n) - 0.00052e0*sin(2*n), 2)), 8) as f_m2, round(atan((-0.03731e0*sin(n) + 0.00052e0*sin(2*n)) / (1 - 0.03731e0*cos(n) + 0.00052e0*cos(2*n))), 8) as u_m2,
+  round(sqrt(pow(1 + 0.1158e0*cos(n) - 0.0029e0*cos(2*n), 2) + pow(0.1554e0*sin(n) - 0.0029e0*sin(2*n), 2)), 8) as f_k1, round(radians(10.8e0*sin(n) - 1.3e0*sin(2*n) + 0.2e0*sin(3*n)), 8) as u_o1 from n""")
+def tid2(spark, sf):
+    lon = tides.longitudes(F.col("d") + tides.MJD_1992)
+    m2, k1, o1 = (tides.nodal(c, lon, "otis") for c in ("m2", "k1", "o1"))
+    return _days(spark, sf).select("orbit", "pid", F.round(m2[0], 8).alias("f_m2"), F.round(m2[1], 8).alias("u_m2"), F.round(k1[0], 8).alias("f_k1"), F.round(o1[1], 8).alias("u_o1"))
+
+
+@query("tid3_constituents", "select * from (values " + ", ".join(f"('{c[0]}', {c[1]!r}::double, {c[2]!r}::double, {c[3]!r}::double, {c[4]!r}::double, {c[5]}::int)" for c in tides.CONSTITUENTS) + ") t(name, amplitude, phase, omega, alpha, species)")
+def tid3(spark, sf):
+    return tides.constituents(spark)
+
+
+@query("tid4_harmonic_prediction", f"""
+with a as (select *, radians((125.0445e0 - 0.05295377e0 * (mjd - 51544.4993e0)) - 360 * floor((125.0445e0 - 0.05295377e0 * (mjd - 51544.4993e0)) / 360)) as n from {_DAYS_SQL}),
+f as (select *, sqrt(pow(1 - 0.03731e0*cos(n) + 0.00052e0*cos(2*n), 2) + pow(0.03731e0*sin(n) - 0.00052e0*sin(2*n), 2)) as f2, 1.405189e-04 * 86400 * d + 1.731557546e0 + atan((-0.03731e0*sin(n) + 0.00052e0*sin(2*n)) / (1 - 0.03731e0*cos(n) + 0.00052e0*cos(2*n))) as t2, 1.454441e-04 * 86400 * d as t1 from a)
+select orbit, pid, round(f2 * (h / 100 * cos(t2) - 0.2e0 * sin(t2)) + (0.3e0 * cos(t1) + h / 200 * sin(t1)), 6) as tide from f""")
+def tid4(spark, sf):
+    re = {"m2": F.col("h") / 100, "s2": F.lit(0.3)}
+    im = {"m2": F.lit(0.2), "s2": -F.col("h") / 200}
+    return _days(spark, sf).select("orbit", "pid", F.round(tides.predicted(F.col("d"), ["m2", "s2"], re, im), 6).alias("tide"))
+
+
+@query("tid5_minor_terms")
+def tid5(spark, sf):
+    re = {m: F.col("h") / (100 + 10 * k) for k, m in enumerate(tides.MAJORS)}
+    im = {m: F.lit(0.01 * (k + 1)) for k, m in enumerate(tides.MAJORS)}
+    return _days(spark, sf).select("orbit", "pid", F.round(tides.minor_terms(F.col("d"), re, im, list(tides.MAJORS)), 6).alias("minor"), F.round(tides.predicted(F.col("d"), list(tides.MAJORS), re, im, "got"), 6).alias("major_got"))
+
+
+_DT = [(1.7e9, 69.1), (1.7045e9, 69.18), (1.706e9, 69.2), (1.72e9, 69.25)]
+
+
+@query("tid6_delta_time", """
+with d as (select * from (values """ + ", ".join(f"({a!r}::double, {b!r}::double)" for a, b in _DT) + """) x(t, delta)), n as (select p.orbit, p.pid, p.t, max(d.t) filter (where d.t <= p.t) as b, min(d.t) filter (where d.t >= p.t) as a from {tracks} p, d group by 1, 2, 3)
+select orbit, pid, round(coalesce(x.delta + (y.delta - x.delta) * coalesce((n.t - b) / nullif(a - b, 0), 0), x.delta, y.delta), 6) as delta_t from n left join d x on x.t = b left join d y on y.t = a""")
+def tid6(spark, sf):
+    table = spark.createDataFrame(_DT, "t double, delta double")
+    return tides.delta_time(tracks(spark, sf), table, "t").select("orbit", "pid", F.round("delta_t", 6).alias("delta_t"))
+
+
+@query("tid8_tide_correction")
+def tid8(spark, sf):
+    """Heights with the predicted tide, major and inferred minor terms, taken off."""
+    re = {m: F.lit(0.1 + 0.01 * k) for k, m in enumerate(tides.MAJORS)}
+    im = {m: F.lit(0.02 * k) for k, m in enumerate(tides.MAJORS)}
+    tide = tides.predicted(F.col("d"), list(tides.MAJORS), re, im) + tides.minor_terms(F.col("d"), re, im, list(tides.MAJORS))
+    return _days(spark, sf).select("orbit", "pid", F.round(tide, 6).alias("h_tide"), F.round(F.col("h") - tide, 6).alias("h"))
