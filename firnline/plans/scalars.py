@@ -11,7 +11,12 @@ from firnline.operators import filters
 
 from .registry import cloud, points, query, table, tracks
 
-_LON, _LAT = F.col("x") / 1000.0 * 3.0 - 150.0, -60.0 - F.col("y") / 1000.0 % 25.0
+
+
+def _lonlat():
+    return F.col("x") / 1000.0 * 3.0 - 150.0, -60.0 - F.col("y") / 1000.0 % 25.0
+
+
 _LONLAT_SQL = "(select orbit, line, x / 1000.0e0 * 3.0e0 - 150.0e0 as lon, -60.0e0 - (y / 1000.0e0) % 25.0e0 as lat, h from {points})"
 
 
@@ -25,7 +30,7 @@ k as (select *, 6378137.0e0 * cos(pc) / sqrt(1 - e*e * sin(pc)*sin(pc)) / (tan(p
 select orbit, line, round(-(f*t*sin(lam)), 4) as x, round(f*t*cos(lam), 4) as y, round(case when lon < -180 or lon > 180 then lon - 360 else lon end, 6) as lon, round(lat, 6) as lat from k""")
 def prj1(spark, sf):
     """To polar stereographic metres and back."""
-    p = points(spark, sf).select("orbit", "line", _LON.alias("lon"), _LAT.alias("lat"))
+    p = points(spark, sf).select("orbit", "line", _lonlat()[0].alias("lon"), _lonlat()[1].alias("lat"))
     x, y = C.polar_xy(F.col("lon"), F.col("lat"))
     q = p.withColumns({"px": x, "py": y})
     lon, lat = C.polar_lonlat(F.col("px"), F.col("py"))
@@ -36,7 +41,7 @@ def prj1(spark, sf):
 with p as (select orbit, line, lon, -lat as lat from {_LONLAT_SQL}), q as (select *, (90.0e0 - lat) * 111.7e0 as r from p)
 select orbit, line, round(r * cos(radians(lon)), 6) as x, round(r * sin(radians(lon)), 6) as y, round(case when degrees(atan2(r * sin(radians(lon)), r * cos(radians(lon)))) < 0 then degrees(atan2(r * sin(radians(lon)), r * cos(radians(lon)))) + 360 else degrees(atan2(r * sin(radians(lon)), r * cos(radians(lon)))) end, 6) as lon, round(lat, 6) as lat from q""")
 def prj2(spark, sf):
-    p = points(spark, sf).select("orbit", "line", _LON.alias("lon"), (-_LAT).alias("lat"))
+    p = points(spark, sf).select("orbit", "line", _lonlat()[0].alias("lon"), (-_lonlat()[1]).alias("lat"))
     x, y = C.tide_xy_north(F.col("lon"), F.col("lat"))
     q = p.withColumns({"px": x, "py": y})
     lon, lat = C.tide_lonlat_north(F.col("px"), F.col("py"))
