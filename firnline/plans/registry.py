@@ -17,7 +17,7 @@ from firnline.functions.columns import decimal_year
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scalars", "outliers", "aggregates", "alongtrack", "layout", "neighbours", "fitting", "grids", "tidal", "files")
+_MODULES = ("scalars", "outliers", "aggregates", "alongtrack", "layout", "neighbours", "fitting", "grids", "tidal", "files", "composites")
 
 POINTS_SQL = """(select l_orderkey as orbit, l_linenumber as line, l_partkey * 50.0e0 as x, l_suppkey * 1000.0e0 as y,
   1970.0e0 + epoch_us(l_shipdate) / 1e6 / 31557600.0e0 as t_year, l_extendedprice / 1000.0e0 as h, l_discount + 0.05e0 as s,
