@@ -1,7 +1,7 @@
 """Grouped model fits: least squares with outlier rejection, robust lines, surfaces, series filters.
 
 Closed forms stay in SQL aggregates. Fits that iterate run in numpy inside grouped tasks; a group is a
-node's or a cell's points, and tasks take many groups each, so that no group costs a task of its own.
+node's or a cell's points, whose number the radius or the cell bounds.
 Groups with fewer values than a fit needs have no row in the result.
 """
 
@@ -114,20 +114,16 @@ def huber(design, value, rounds: int = 50, k: float = 1.345):
     return coef
 
 
-def by_group(df: DataFrame, key: str, fit: Callable, schema: str, tasks_each: int = 4) -> DataFrame:
-    """`fit(key value, pandas of the group)` gives a list of row tuples; many groups share a task."""
+def by_group(df: DataFrame, key: str, fit: Callable, schema: str) -> DataFrame:
+    """`fit(key value, pandas of the group)` gives a list of row tuples. Memory is one group's."""
     names = [x.split()[0] for x in schema.split(", ")]
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * tasks_each
 
-    def run(pdf):
+    def run(k, pdf):
         import pandas as pd
 
-        rows = []
-        for k, g in pdf.groupby(key, sort=False):
-            rows += fit(k, g)
-        return pd.DataFrame(rows, columns=names)
+        return pd.DataFrame(fit(k[0], pdf), columns=names)
 
-    return df.withColumn("\x01task", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("\x01task").applyInPandas(run, schema)
+    return df.groupBy(key).applyInPandas(run, schema)
 
 
 def robust_line(df: DataFrame, key: str, t: str, value: str, key_type: str = "long", order: list[str] = ()) -> DataFrame:

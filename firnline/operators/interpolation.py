@@ -126,8 +126,7 @@ def kriging(nodes: DataFrame, points: DataFrame, key: str, tie: str, z: str, s:
             rows.append((node, est, err, len(g)))
         return pd.DataFrame(rows, columns=["key", "z", "err", "n"])
 
-    task = F.pmod(F.xxhash64("key"), F.lit(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
-    return q.withColumn("task", task).groupBy("task").applyInPandas(one, f"key {nodes.schema[key].dataType.simpleString()}, z double, err double, n long").withColumnRenamed("key", key)
+    return q.groupBy("key").applyInPandas(one, f"key {nodes.schema[key].dataType.simpleString()}, z double, err double, n long").withColumnRenamed("key", key)
 
 
 def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: str, track: str, r: float, a: float, kind: str = "markov", least: int = 25, n_sigma: float = 3.0, track_error: float = 0.0) -> DataFrame:
@@ -156,9 +155,8 @@ def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: st
             rows.append((node, est, err, len(g), g["t"].mean(), g["t"].max() - g["t"].min(), float(np.hypot(x - x0, y - y0).mean())))
         return pd.DataFrame(rows, columns=["key", "z", "err", "n", "t_mean", "t_span", "d_mean"])
 
-    task = F.pmod(F.xxhash64("key"), F.lit(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
     schema = f"key {nodes.schema[key].dataType.simpleString()}, z double, err double, n long, t_mean double, t_span double, d_mean double"
-    return q.withColumn("task", task).groupBy("task").applyInPandas(one, schema).withColumnRenamed("key", key)
+    return q.groupBy("key").applyInPandas(one, schema).withColumnRenamed("key", key)
 
 
 def fit_covariance(lags: list[float], cov: list[float], kind: str = "markov", rounds: int = 200) -> tuple[float, float, float]:

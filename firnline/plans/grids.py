@@ -70,7 +70,10 @@ def cub6(spark, sf):
     return raster.hillshade(_grid(spark, sf), "z", 30.0, 30.0).select("i", "j", "shade")
 
 
-@query("cub7_flux_divergence")
+@query("cub7_flux_divergence", f"""
+with g as (select i, j, z, 10 + 0.3e0 * i as u, 5 - 0.2e0 * j as v from {_GRID_SQL}),
+d as (select a.i, a.j, any_value(a.z) as z, any_value(a.u) as u, any_value(a.v) as v, case when count(*) = 9 then sum((b.i-a.i) / 6.0e0 * b.u) / 3000 end as ux, case when count(*) = 9 then sum((b.j-a.j) / 6.0e0 * b.v) / 3000 end as vy, case when count(*) = 9 then sum((b.i-a.i) / 6.0e0 * b.z) / 3000 end as zx, case when count(*) = 9 then sum((b.j-a.j) / 6.0e0 * b.z) / 3000 end as zy from g a join g b on abs(a.i-b.i) <= 1 and abs(a.j-b.j) <= 1 group by 1, 2)
+select i, j, round(z * (ux + vy) + u * zx + v * zy, 8) as div, round(z * (ux + vy), 8) as stretching, round(u * zx + v * zy, 8) as advection from d""")
 def cub7(spark, sf):
     g = _grid(spark, sf).withColumns({"u": 10 + 0.3 * F.col("i"), "v": 5 - 0.2 * F.col("j")})
     q = raster.flux_divergence(g, "z", "u", "v", 3000.0, 3000.0)
@@ -131,7 +134,11 @@ def cub23(spark, sf):
     return _cube(spark, sf).groupBy("i", "j").agg(F.round(F.regr_slope("v", "k"), 6).alias("trend"), F.count("*").alias("n"))
 
 
-@query("int10_regrid_bilinear")
+@query("int10_regrid_bilinear", f"""
+with n as (select i * 1000 + j as node, 0.5e0 + i * (33 / 41.0e0) as x, 0.5e0 + j * (18 / 25.0e0) as y from range(0, 42) t(i), range(0, 26) u(j)), p as (select node, least(greatest(x - 1, 0), 34) as fi, least(greatest(y, 0), 19) as fj from n where x between 1 and 35 and y between 0 and 19),
+c as (select *, least(floor(fi), 33)::bigint as i0, least(floor(fj), 18)::bigint as j0 from p), k as (select node, fi, fj, i0 + a as i, j0 + b as j from c, (values (0), (1)) s(a), (values (0), (1)) t(b)),
+v as (select node, (1 - abs(fi - k.i)) * (1 - abs(fj - k.j)) as w, g.z from k left join {_GRID_SQL} g on g.i = k.i and g.j = k.j), r as (select node, case when count(*) filter (where z is null and w > 0) = 0 then sum(coalesce(w * z, 0)) end as z from v group by node)
+select n.node::int as node, round(r.z, 6) as z from n left join r on n.node = r.node""")
 def int10(spark, sf):
     from firnline.operators.interpolation import grid
 
