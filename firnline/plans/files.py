@@ -60,3 +60,17 @@ def snk7(spark, sf):
 @query("snk8_rename", "select l_orderkey as orbit, l_extendedprice as height from lineitem")
 def snk8(spark, sf):
     return writers.rename(table(spark, sf, "lineitem").select("l_orderkey", "l_extendedprice"), {"l_orderkey": "orbit", "l_extendedprice": "height"})
+
+
+@query("src9_lidar_heights", "select orbit, line, round(h + lew + tes + s - 0.01e0 * bs, 6) as h from {points} where bs > 2 and lew < 0.08")
+def src9(spark, sf):
+    p = points(spark, sf).withColumn("ellipsoid", 0.01 * F.col("bs"))
+    q = readers.lidar_heights(p, "h", ["lew", "tes"], ["s"], ["ellipsoid"], ["bs > 2", "lew < 0.08"])
+    return q.select("orbit", "line", F.round("h", 6).alias("h"))
+
+
+@query("src11_sentinel_corrections", "select orbit, line, round(h + case when tes > 0.05 then tes else 0 end - lew, 6) as h, round(bs * 0.468e0, 6) as width from {points} where t_year between 1996 and 1998.5")
+def src11(spark, sf):
+    p = points(spark, sf).where("t_year between 1996 and 1998.5").withColumn("v41", F.when(F.col("tes") > 0.05, F.col("tes")).otherwise(-9999.0))
+    q = readers.heights_with_sentinels(p, "h", ["v41"], ["lew"])
+    return q.select("orbit", "line", F.round("h", 6).alias("h"), F.round(F.col("bs") * 0.468, 6).alias("width"))

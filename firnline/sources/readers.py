@@ -121,3 +121,66 @@ def files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Files below a path that match a pattern, in natural order of their tile number, with their size."""
     q = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length", "modificationTime")
     return q.withColumns(name_fields(F.col("path"))).withColumn("empty", F.col("length") == 0)
+
+
+def tide_elevations(spark: SparkSession, path: str) -> DataFrame:
+    """Constituent grids in big-endian records: path, constituent, i, j, re, im; 0 means no tide there (NULL).
+
+    A file holds its header record (sizes, limits, names of four letters) and a record of interleaved real
+    and imaginary parts for each constituent. One task a file; constituents are emitted one at a time.
+    """
+    import pyarrow as pa
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = content.as_buffer()
+                header, nx, ny, nc = (int(v) for v in np.frombuffer(raw, ">i4", 4))
+                names = bytes(raw[32 : 32 + 4 * nc]).decode("ascii")
+                first = 32 + (header - 28) + 8
+                j, i = np.divmod(np.arange(nx * ny, dtype=np.int32), nx)
+                for k in range(nc):
+                    parts = np.frombuffer(raw, ">f4", 2 * nx * ny, first + k * (8 * nx * ny + 8)).astype(float).reshape(-1, 2)
+                    void = (parts == 0).all(axis=1)
+                    cols = [pa.array([name] * len(i)), pa.array([names[4 * k : 4 * k + 4].strip()] * len(i)), pa.array(i), pa.array(j), pa.array(parts[:, 0], mask=void), pa.array(parts[:, 1], mask=void)]
+                    yield pa.RecordBatch.from_arrays(cols, names=["path", "constituent", "i", "j", "re", "im"])
+
+    files_ = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files_.mapInArrow(decode, "path string, constituent string, i int, j int, re double, im double")
+
+
+def amplitude_phase_grids(spark: SparkSession, path: str, missing: float = 999.0, header: int = 7) -> DataFrame:
+    """ASCII grids of amplitude and then phase (degrees), each after its header lines: path, i, j, re, im.
+
+    The third header line has rows and columns. Compressed files are read as Spark reads them.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\n").alias("lines"))
+    size = F.transform(F.filter(F.split(F.trim(F.get("lines", F.lit(2))), r"\s+"), lambda x: x != ""), lambda x: x.cast("int"))
+    q = whole.withColumn("size", size).withColumns({"ny": F.get("size", F.lit(0)), "nx": F.get("size", F.lit(1))})
+    half = F.floor(F.size(F.filter("lines", lambda x: F.trim(x) != "")) / 2).cast("int")
+
+    def numbers(start: Column) -> Column:
+        text = F.array_join(F.slice("lines", start + header + 1, half - header), " ")
+        return F.transform(F.filter(F.split(text, r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+
+    q = q.select("path", "nx", F.posexplode(F.zip_with(numbers(F.lit(0)), numbers(half), lambda a, p: F.struct(a.alias("a"), p.alias("p")))).alias("at", "v"))
+    ok = (F.col("v.a") < missing) & (F.col("v.p") < missing)
+    lag = F.radians("v.p")
+    return q.select("path", (F.col("at") % F.col("nx")).cast("int").alias("i"), F.floor(F.col("at") / F.col("nx")).cast("int").alias("j"), F.when(ok, F.col("v.a") * F.cos(lag)).alias("re"), F.when(ok, -F.col("v.a") * F.sin(lag)).alias("im"))
+
+
+def lidar_heights(df: DataFrame, h: str, put_back: list[str], add: list[str], subtract: list[str], predicates: list[str]) -> DataFrame:
+    """Heights of rows that meet the predicates, with applied corrections put back, others added and taken off."""
+    out = reduce(lambda d, p: d.where(p), predicates, df)
+    terms = [F.coalesce(F.col(c), F.lit(0.0)) for c in [*put_back, *add]] + [-F.coalesce(F.col(c), F.lit(0.0)) for c in subtract]
+    return out.withColumn(h, reduce(lambda a, b: a + b, terms, F.col(h)))
+
+
+def heights_with_sentinels(df: DataFrame, h: str, add: list[str], subtract: list[str], missing: float = -9999.0) -> DataFrame:
+    """Heights with corrections that count only where they are not the missing value."""
+    def some(c: str) -> Column:
+        return F.when(F.col(c) != missing, F.col(c)).otherwise(F.lit(0.0))
+
+    return df.withColumn(h, reduce(lambda a, b: a + b, [some(c) for c in add] + [-some(c) for c in subtract], F.col(h)))

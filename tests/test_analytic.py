@@ -182,6 +182,20 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.files(spark, str(tmp_path), "*.bin").count() == 1
 
 
+def test_tide_model_files(spark, tmp_path):
+    nx, ny, names = 3, 2, ["m2", "k1"]
+    parts = np.arange(2 * nx * ny, dtype=">f4")
+    raw = np.array([28 + 8, nx, ny, 2], ">i4").tobytes() + np.array([-80, -70, 0, 30], ">f4").tobytes() + "".join(n.ljust(4) for n in names).encode()
+    raw += b"\0" * 8 + parts.tobytes() + b"\0" * 8 + (parts * 2).astype(">f4").tobytes()
+    (tmp_path / "h.bin").write_bytes(raw)
+    rows = {(r.constituent, r.i, r.j): (r.re, r.im) for r in readers.tide_elevations(spark, str(tmp_path / "h.bin")).collect()}
+    assert len(rows) == 12 and rows["m2", 1, 0] == (2.0, 3.0) and rows["k1", 2, 1] == (20.0, 22.0) and rows["m2", 0, 0] == (0.0, 1.0)
+    block = "title\nmore\n 2 3\n0 1\n0 2\n999. 999.\n(11f7.2)\n"
+    (tmp_path / "m2.d").write_text(block + "1 2 3\n4 999 6\n" + block + "0 90 180\n270 0 45\n")
+    got = {(r.i, r.j): (r.re, r.im) for r in readers.amplitude_phase_grids(spark, str(tmp_path / "m2.d")).collect()}
+    assert got[0, 0] == pytest.approx((1, 0)) and got[1, 0] == pytest.approx((0, -2)) and got[0, 1] == pytest.approx((0, 4)) and got[1, 1] == (None, None)
+
+
 def test_missing_values(spark):
     df = spark.createDataFrame([(1, float("nan"), -9999.0), (2, 1.0, 2.0)], "pid long, a double, b double")
     q = C.nan_to_null(df, -9999.0)
