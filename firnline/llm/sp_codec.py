@@ -28,7 +28,6 @@ SPACE = "▁"
 #: Entries that a worker keeps of words and of pairs before it starts afresh.
 CACHE_WORDS = 400_000
 CACHE_PAIRS = 1_500_000
-SCHEMA = "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
 
 
 class PieceCodec:

@@ -1,5 +1,4 @@
 import random
-import struct
 
 import numpy as np
 import public_tokenizers
