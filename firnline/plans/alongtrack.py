@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firnline.operators import alongtrack as A
-from firnline.operators import layout
 
 from .registry import points, query, series, tracks
 

@@ -12,7 +12,7 @@ from firnline.functions import tides
 from firnline.operators import alongtrack, fits, interpolation, layout, raster, robust, spatial
 from firnline.sources import readers
 
-from .grids import _CUBE_SQL, _GRID_SQL, _cube, _grid
+from .grids import _CUBE_SQL, _cube, _grid
 from .neighbours import _NODES_SQL, _RASTER_SQL, _nodes, _raster
 from .registry import cloud, points, query, series, table, tracks
 
