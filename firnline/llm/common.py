@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: What separates words: space and the control characters 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_BREAK = r"[\x20\x09-\x0D]+"
+#: A key with one HEAVY-th of the rows, and with LEAST_HEAVY rows, is joined by broadcast.
+HEAVY, LEAST_HEAVY = 1000, 100
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -45,3 +47,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shuffle_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_frequent(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of `rows` with `table`, which has each `key` once; both have been cut.
+
+    The rows of frequent keys stay where they lie and `table` comes to them: at most HEAVY keys can be
+    frequent, so what is broadcast has that bound. All other rows meet their keys by shuffle.
+    """
+    least = max(LEAST_HEAVY, rows.count() / HEAVY)
+    frequent = [r[0] for r in rows.groupBy(key).count().where((F.col("count") >= least) & F.col(key).isNotNull()).select(key).collect()]
+    if not frequent:
+        return rows.join(table, key)
+    of = F.broadcast(table.sparkSession.createDataFrame([(k,) for k in frequent], rows.select(key).schema))
+    few = F.broadcast(table.join(of, key, "left_semi"))
+    return rows.join(of, key, "left_anti").join(table.join(of, key, "left_anti"), key).unionByName(rows.join(few, key))
