@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import cut, join_frequent, text_of
 
 #: Sketches have 2^LG registers; their relative standard error is about 1.04 / sqrt(2^LG).
 LG = 12
@@ -43,7 +43,7 @@ def boilerplate(lines: DataFrame, least_sites: int) -> DataFrame:
     """(line, first): line hashes that stand on `least_sites` sites or more; first: place of the copy that stays."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "body", "at"))
     often = cut(lines.groupBy("line").agg(F.count("*").alias("copies"), first.alias("first")).where(F.col("copies") >= least_sites).select("line", "first"))
-    sites = lines.select("line", "site").join(often.select("line"), "line", "left_semi").where("site is not null")
+    sites = join_frequent(lines.select("line", "site"), often.select("line"), "line").where("site is not null")
     sketches = sites.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG)).alias("spread"))
     spread = cut(sketches)
     margin = max(1.0, 4 * 1.04 / 2 ** (LG / 2) * least_sites)
@@ -55,8 +55,7 @@ def boilerplate(lines: DataFrame, least_sites: int) -> DataFrame:
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = 8) -> DataFrame:
     """(id, body, gone): for each document that loses lines, their numbers; body is the text's hash."""
     lines = cut(_lines(_keyed(docs, id_col, text_col, site_col)))
-    spread = boilerplate(lines, least_sites)
-    hits = lines.join(spread, "line")
+    hits = join_frequent(lines, cut(boilerplate(lines, least_sites)), "line")
     later = ~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("body") == F.col("first.body")) & (F.col("at") == F.col("first.at")))
     return hits.where(later).groupBy("id", "body").agg(F.sort_array(F.collect_set("at")).alias("gone"))
 
