@@ -43,12 +43,12 @@ def boilerplate(lines: DataFrame, least_sites: int) -> DataFrame:
     """(line, first): line hashes that stand on `least_sites` sites or more; first: place of the copy that stays."""
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "body", "at"))
     often = cut(lines.groupBy("line").agg(F.count("*").alias("copies"), first.alias("first")).where(F.col("copies") >= least_sites).select("line", "first"))
-    sites = join_frequent(lines.select("line", "site"), often.select("line"), "line").where("site is not null")
+    sites = cut(join_frequent(lines.select("line", "site"), often.select("line"), "line").where("site is not null"))
     sketches = sites.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG)).alias("spread"))
     spread = cut(sketches)
     margin = max(1.0, 4 * 1.04 / 2 ** (LG / 2) * least_sites)
     near = spread.where(F.abs(F.col("spread") - least_sites) <= margin).select("line")
-    exact = sites.join(near, "line", "left_semi").distinct().groupBy("line").count().where(F.col("count") >= least_sites).select("line")
+    exact = join_frequent(sites, near, "line").distinct().groupBy("line").count().where(F.col("count") >= least_sites).select("line")
     return often.join(spread.where(F.col("spread") > least_sites + margin).select("line").union(exact), "line", "left_semi")
 
 
