@@ -335,7 +335,9 @@ def space_time_filter(nodes: DataFrame, points: DataFrame, node: str, pid: str,
         med = np.array([(x[bins == b].mean(), np.median(y[bins == b])) for b in np.unique(bins)])
         resid = y - np.interp(x, med[:, 0], med[:, 1])
         ok = np.abs(resid - np.median(resid)) < n_sigma * mad(resid)
-        own = (np.abs(g["x"] - g["x0"]) < half_cell) & (np.abs(g["y"] - g["y0"]) < half_cell)
+        # half-open to the micrometre: a point on an edge has one cell
+        dx, dy = ((g[c] - g[f"{c}0"] + half_cell).round(6) for c in ("x", "y"))
+        own = (dx >= 0) & (dx < round(2 * half_cell, 6)) & (dy >= 0) & (dy < round(2 * half_cell, 6))
         return [(p, bool(o)) for p, o, mine in zip(g["pid"], ok, own) if mine]
 
     return by_group(q, "node", fit, f"pid {points.schema[pid].dataType.simpleString()}, ok boolean")

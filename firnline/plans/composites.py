@@ -283,5 +283,8 @@ def longitudes(spark, sf):
 
 @query("set2_tiles_by_size", "select mission, floor(x / 25000)::bigint as tile, count(*) as n from {points} group by 1, 2")
 def set2t(spark, sf):
-    t = layout.tile(points(spark, sf), (0.0, 100000.0), (0.0, 100000.0), 25000.0, closed=False)
-    return t.groupBy("mission", F.col("tile_x").cast("long").alias("tile")).agg(F.count("*").alias("n"))
+    p = points(spark, sf)
+    low_x, high_x, low_y, high_y = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    (a, b), (c, d) = ((math.floor((low or 0) / 25000), math.floor((high or 0) / 25000) + 1) for low, high in ((low_x, high_x), (low_y, high_y)))
+    t = layout.tile(p, (a * 25000.0, b * 25000.0), (c * 25000.0, d * 25000.0), 25000.0, closed=False)
+    return t.groupBy("mission", (F.col("tile_x") + a).cast("long").alias("tile")).agg(F.count("*").alias("n"))

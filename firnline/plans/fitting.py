@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from firnline.operators import fits, interpolation
@@ -9,13 +11,23 @@ from firnline.operators import fits, interpolation
 from .registry import cloud, points, query, series, tracks
 
 
+#: Nodes so far apart leave no point farther than 4 km, the radius of the fits, from one of them.
+FIT_STEP = 5000.0
+
+
 def _r(df, keys, values, n=6):
     return df.select(*keys, *[F.round(v, n).alias(v) for v in values])
 
 
-def _nodes(spark, n=12):
-    g = interpolation.grid(spark, 5000, 95000, 5000, 95000, 90000 / (n - 1), 90000 / (n - 1))
-    return g.select((F.col("i") * 100 + F.col("j")).alias("node"), "x", "y")
+def _nodes(spark, points, step):
+    """Nodes `step` apart, at multiples of it, around all of the table's points."""
+    low_x, high_x, low_y, high_y = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if low_x is None or low_y is None:
+        low_x = low_y = high_x = high_y = 0.0
+    i, j = math.floor(low_x / step), math.floor(low_y / step)
+    nx, ny = math.ceil(high_x / step) - i + 1, math.ceil(high_y / step) - j + 1
+    n = spark.range(nx * ny).withColumnRenamed("id", "node")
+    return n.select("node", ((F.floor(F.col("node") / ny) + i) * step).alias("x"), ((F.col("node") % ny + j) * step).alias("y"))
 
 
 def _pid(spark, sf):
@@ -33,7 +45,8 @@ def fit1(spark, sf):
 
 @query("fit3_elevation_change")
 def fit3(spark, sf):
-    q = fits.elevation_change(_nodes(spark), points(spark, sf), "node", "t_year", "h", 4000.0)
+    p = points(spark, sf)
+    q = fits.elevation_change(_nodes(spark, p, FIT_STEP), p, "node", "t_year", "h", 4000.0)
     return _r(q, ["node", "nobs"], ["p0", "p1", "p2", "amplitude", "phase", "rmse", "tspan"])
 
 
@@ -44,7 +57,8 @@ def fit4(spark, sf):
 
 @query("fit5_topography_residuals")
 def fit5(spark, sf):
-    q = fits.topography_residuals(_nodes(spark), _pid(spark, sf).dropDuplicates(["pid"]), "node", "pid", "t_year", "h", 4000.0)
+    p = _pid(spark, sf).dropDuplicates(["pid"])
+    q = fits.topography_residuals(_nodes(spark, p, FIT_STEP), p, "node", "pid", "t_year", "h", 4000.0)
     return _r(q, ["pid", "node", "order"], ["res", "mod", "err", "slope_x", "slope_y"], 5)
 
 
@@ -91,7 +105,8 @@ def out9(spark, sf):
 
 @query("out11_space_time_filter")
 def out11(spark, sf):
-    return fits.space_time_filter(_nodes(spark), _pid(spark, sf).dropDuplicates(["pid"]), "node", "pid", "t_year", "h", 6000.0, 4090.9, n_sigma=2.0)
+    p = _pid(spark, sf).dropDuplicates(["pid"])
+    return fits.space_time_filter(_nodes(spark, p, 2 * 4090.9), p, "node", "pid", "t_year", "h", 6000.0, 4090.9, n_sigma=2.0)
 
 
 @query("out19_series_filter")

@@ -41,9 +41,13 @@ def set4(spark, sf):
 
 @query("set5_join_tiles", "select orbit, line, x, y, least(6, floor(x / (100000.0e0 / 7)))::int as tile_x, least(6, floor(y / (100000.0e0 / 7)))::int as tile_y from {points}")
 def set5(spark, sf):
-    """Tiles with buffer, cropped back to half-open boxes: every point once."""
+    """Tiles with buffer, cropped back to half-open boxes: every point once.
+
+    The last tiles are open: they take what lies beyond 100 km.
+    """
     w = 100000.0 / 7
-    t = L.tile(points(spark, sf), (0.0, 100000.0), (0.0, 100000.0), 14000.0, 1000.0)
+    p = points(spark, sf).withColumns({"tx": F.least(F.lit(100000.0), "x"), "ty": F.least(F.lit(100000.0), "y")})
+    t = L.tile(p, (0.0, 100000.0), (0.0, 100000.0), 14000.0, 1000.0, "tx", "ty")
     own = (F.col("tile_x") == F.least(F.lit(6), F.floor(F.col("x") / w))) & (F.col("tile_y") == F.least(F.lit(6), F.floor(F.col("y") / w)))
     return t.where(own).select("orbit", "line", "x", "y", "tile_x", "tile_y")
 
