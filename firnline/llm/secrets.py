@@ -4,7 +4,8 @@ Known shapes (assignments, access keys, hex strings) are found by pattern. Value
 credential is named are judged by how many guesses they would take: the cheapest segmentation into
 common words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over
 the ends of prefixes. What costs `min_cost` powers of ten or more is a secret too; a placeholder such as
-"changeme123" is not.
+"changeme123" is not. Values of letters only are judged by a larger list too, the words and parts of words
+of a public tokenizer, as prose follows such names as well ("token embeddings").
 
 Edge cases: null and empty texts have no spans; spans are code points, end exclusive; texts of any
 length take time in proportion to it; equal rows get equal results.
@@ -16,6 +17,7 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
@@ -72,8 +74,26 @@ def _char_cost(c: str) -> float:
     return math.log10(26) if c.isalpha() and c.isascii() else math.log10(33) if c.isascii() else 2.0
 
 
-def guess_cost(value: str) -> float:
-    """Log10 of the guesses for the cheapest segmentation of `value`."""
+@lru_cache(maxsize=1)
+def _pieces() -> tuple[dict[str, int], int]:
+    """Rank, and the longest, of the words and parts of words, of three letters or more, in the public tokenizer's list."""
+    import sentencepiece
+
+    from .queries import model_path
+
+    model, out = sentencepiece.SentencePieceProcessor(model_file=model_path()), dict(_RANK)
+    for k in range(model.get_piece_size()):
+        word = model.id_to_piece(k).lstrip("\u2581").lower()
+        if len(word) > 2 and word.isalpha():
+            out.setdefault(word, len(out) + 1)
+    return out, max(map(len, out))
+
+
+def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int = _LONGEST) -> float:
+    """Log10 of the guesses for the cheapest segmentation of `value`.
+
+    `ranks`: the words that guessers try, `longest`: letters of the longest.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     dates: dict[int, list[int]] = {}
@@ -95,8 +115,8 @@ def guess_cost(value: str) -> float:
         one = _char_cost(value[e - 1])
         brute[e] = min(brute[e - 1], best[e - 1] + _STEP) + one if e > 1 else one
         found = brute[e]
-        for s in range(max(0, e - _LONGEST), e - 2):
-            rank = _RANK.get(plain[s:e]) or _RANK.get(low[s:e])
+        for s in range(max(0, e - longest), e - 2):
+            rank = ranks.get(plain[s:e]) or ranks.get(low[s:e])
             if rank:
                 twisted = (low[s:e] != plain[s:e]) * 0.6 + (value[s:e] != low[s:e]) * 0.5
                 found = min(found, best[s] + _STEP + math.log10(rank + 1) + twisted)
@@ -124,8 +144,10 @@ def spans(text: str, min_cost: float = 11.0) -> list[tuple[int, int, int]]:
             s, value = m.start(1), m[1].rstrip(".!?)]}:")
             e = s + len(value)
             mixed = any(map(str.isdigit, value)) or any(not c.isalnum() for c in value)
-            if len(value) >= 8 and mixed and not any(a < e and s < b for a, b in taken) and guess_cost(value) >= min_cost:
-                found.append((s, 3, e))
+            if len(value) >= 8 and not any(a < e and s < b for a, b in taken):
+                # letters only may be a word of the text: words of languages cost as many guesses as their rank
+                if guess_cost(value) >= min_cost and (mixed or guess_cost(value, *_pieces()) >= min_cost):
+                    found.append((s, 3, e))
     return sorted(found)
 
 

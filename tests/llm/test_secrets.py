@@ -65,3 +65,10 @@ def test_dynamic_programming_is_never_dearer_than_brute_force():
 def test_edge_cases(odd, empty):
     assert secrets.scan(odd).count() == odd.count()
     assert secrets.scan(empty).count() == 0
+
+
+def test_letters_only_are_judged_by_guess_cost():
+    for text in ("send bearer QzVkXwJpMrTnBdLs now", "the password is qzvkxwjpmrtnbd ok", "token qzvkxwjpmrtnbd."):
+        assert [k for _, k, _ in secrets.spans(text)] == [3]
+    for text in ("login credentials committee", "the password authentication works", "secret responsibilities", "token embeddings", "auth qwertyuiop"):
+        assert not secrets.spans(text)
