@@ -5,14 +5,16 @@ rightmost of equals, with its position. Hence two texts that share a passage of
 share a kept hash that stands inside it, and no text without a common k-gram shares one (but for
 collisions of 32-bit hashes).
 
-The hash of a k-gram is put together from the hashes of its quarters and the minimum of a window from
-those of its parts, so each code point costs a fixed number of steps, whatever k and w are. A kept
-hash is one long, hash above and reversed position below: the smallest long is the rightmost minimum.
+The hash of a k-gram is a rolling one: each further code point shifts it by a bit and adds that code
+point's own hash by exclusive-or; a code point that leaves the gram is taken off in the same way. All
+grams' hashes come by doubling (a gram of 2n is the gram of n before, shifted by n bits, and the one
+behind), and so do the minima of windows: a code point costs log2(k) + log2(w) short steps. A kept hash
+is one long, hash above and reversed position below: the smallest long is the rightmost minimum.
 
 Edge cases: a null or empty text has an empty fingerprint, two of them have likeness 1, an empty and
 another one 0; a text shorter than k has one hash, of all of it; one with fewer than w hashes has one
-window. Ids should be nearly unique; rows with equal ids come in the order of their texts, a null id
-comes first.
+window. Rows with equal ids come in the order of a hash of their texts, a null id comes first; rows that
+are equal in both stand in one task, side by side.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_parts, text_of
+from .common import shuffle_parts, text_of
 
-#: Code points of a gram (a square of 4) and hashes of a window (a square).
+#: Code points of a gram (a power of two, 32 at most) and hashes of a window.
 K, W = 16, 36
 _POS = (1 << 31) - 1
 
@@ -32,28 +34,40 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _combine(items: Column, parts: int, apart: int, how, pack: bool = False) -> Column:
-    """For each place i, `how` of the items i, i + apart, ... (those that exist)."""
+def _with_later(items: Column, apart: int, how) -> Column:
+    """For each place i, `how(item i, item i + apart, i)`; the second is null past the end."""
+    return _let(items, lambda h: F.transform(h, lambda x, i: how(x, F.get(h, i + apart), i)))
 
-    def each(h: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            found = how(x, *[F.get(h, i + k * apart) for k in range(1, parts)])
-            return F.shiftleft(found.bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(F.lit(_POS) - i) if pack else found
 
-        return F.transform(h, one)
-
-    return _let(items, each)
+def _doublings(size: int) -> list[int]:
+    """How far apart items are combined till `size` of them have come together."""
+    out, have = [], 1
+    while have < size:
+        out.append(min(have, size - have))
+        have += out[-1]
+    return out
 
 
 def fingerprint(text: Column) -> Column:
     """Kept hashes in order of position, as packed longs."""
-    quarter, root = int(K**0.5), int(W**0.5)
-    small = _combine(F.split(text, ""), quarter, 1, F.xxhash64)
-    grams = _combine(small, K // quarter, quarter, F.xxhash64, pack=True)
-    grams = _let(grams, lambda h: F.slice(h, 1, F.greatest(F.lit(1), F.size(h) - (K - 1))))
-    least = _combine(_combine(grams, root, 1, F.least), W // root, root, F.least)
-    least = _let(least, lambda h: F.slice(h, 1, F.greatest(F.lit(1), F.size(h) - (W - 1))))
-    return F.when(F.length(text) > 0, F.array_distinct(least)).otherwise(F.array().cast("array<long>"))
+    n = F.length(text)
+    rolled = _let(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), lambda h: F.when(n < K, F.concat(h, F.array_repeat(F.lit(0).cast("long"), K - n))).otherwise(h))
+    *inner, last = _doublings(K)
+
+    def longer(apart: int):
+        return lambda x, later, _: F.shiftleft(x, apart).bitwiseXOR(later)
+
+    def packed(x: Column, later: Column, i: Column) -> Column:
+        # the bits that every code point of the gram reaches
+        return F.shiftleft(F.shiftright(longer(last)(x, later, i), K).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(F.lit(_POS) - i)
+
+    for apart in inner:
+        rolled = _with_later(rolled, apart, longer(apart))
+    least = _with_later(rolled, last, packed)
+    for apart in _doublings(W):
+        least = _with_later(least, apart, lambda x, later, _: F.least(x, later))
+    windows = F.slice(least, 1, F.greatest(F.lit(1), n - (K - 1) - (W - 1)))
+    return F.when(n > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<long>"))
 
 
 def position(packed: Column) -> Column:
@@ -77,62 +91,67 @@ def likeness(a: Column, b: Column) -> Column:
     return F.get(F.transform(sizes, lambda s: F.when(s["all"] == 0, F.lit(1.0)).otherwise(s["common"] / F.nullif(s["all"] - s["common"], F.lit(0)))), F.lit(0))
 
 
-def _range_of(value: Column, bounds: list[float]) -> Column:
-    """How many of the sorted bounds are at most `value`; null comes first."""
+def _range_of(value: Column, bounds: list[Column]) -> Column:
+    """How many of the sorted bounds are at most `value`."""
     step = max(1, int(len(bounds) ** 0.5))
     groups = [bounds[k : k + step] for k in range(0, len(bounds), step)]
     if not groups:
         return F.lit(0)
-    coarse = F.size(F.filter(F.array(*[F.lit(g[0]) for g in groups]), lambda b: b <= value))
-    fine = F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups])
-    within = _let(coarse, lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(F.get(fine, c - 1), lambda b: b <= value))))
-    return F.when(value.isNull(), 0).otherwise(within).cast("int")
+    coarse = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda b: b <= value))
+    fine = F.array(*[F.array(*g) for g in groups])
+    return _let(coarse, lambda c: F.when(c == 0, 0).otherwise((c - 1) * step + F.size(F.filter(F.get(fine, c - 1), lambda b: b <= value)))).cast("int")
 
 
-def with_next(rows: DataFrame, order: str, tie: str, carried: list[str], added: dict[str, Column]) -> DataFrame:
-    """`rows` with the columns `added` and `next`, the `carried` ones of the row that follows by `order` (then `tie`).
+def with_next(rows: DataFrame, order: str, text: str, carried: list[str], added: dict[str, Column]) -> DataFrame:
+    """`rows` with the columns `added` and `next`, the `carried` ones of the row that follows by `order`, then by a hash of `text`.
 
     The first row follows the last. Added columns are worked out after the rows have been dealt, so that
-    they don't travel. Rows are dealt to ranges of `order` of about equal size, and the
-    first row of each range goes to the range before as well; so no task sees more than a range.
+    they don't travel. Rows are dealt to ranges of about equal size, and the first row of each range goes
+    to the range before as well; so no task sees more than a range. The driver gets a row for each range.
     """
-    n = 4 * shuffle_parts(rows)
-    bounds = sorted(set(rows.select(order).where(F.col(order).isNotNull()).approxQuantile(order, [k / n for k in range(1, n)], 1 / (4 * n))))
-    own = _range_of(F.col(order), bounds)
-    first = rows.select(order).groupBy(own.alias("range")).agg(F.min(F.struct(F.col(order).isNotNull().alias("known"), order)).alias("first"))
-    by_range = Window.orderBy("range")
-    first = cut(first.select(F.col(f"first.{order}").alias("\x01first"), F.coalesce(F.lag("range").over(by_range), F.max("range").over(Window.partitionBy())).alias("\x01before")))
-    shared = rows.join(F.broadcast(first), F.col(order).eqNullSafe(F.col("\x01first")), "left")
-    homes = F.array(F.struct(own.alias("range"), F.lit(False).alias("guest")), F.struct(F.col("\x01before").alias("range"), F.lit(True).alias("guest")))
-    dealt = shared.select(*rows.columns, F.explode(F.filter(homes, lambda h: h["range"].isNotNull())).alias("\x01home"))
-    dealt = dealt.select(*rows.columns, F.col("\x01home.range").alias("\x01range"), F.col("\x01home.guest").alias("\x01guest"))
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("order"), F.xxhash64(text).alias("hash"))
+    ranged = rows.select(place.alias("at")).repartitionByRange(4 * shuffle_parts(rows), "at")
+    first = sorted((r[0] for r in ranged.groupBy(F.spark_partition_id()).agg(F.min("at")).select("min(at)").collect()), key=lambda r: (r[0], r[1] if r[0] else 0, r[2]))
+    kind = rows.schema[order].dataType
+    bounds = [F.struct(F.lit(r["known"]).alias("known"), F.lit(r["order"]).cast(kind).alias("order"), F.lit(r["hash"]).alias("hash")) for r in first]
+    own = _let(F.col("\x01at"), lambda at: F.greatest(F.lit(0), _range_of(at, bounds) - 1))
+    placed = rows.withColumn("\x01at", place).withColumn("\x01range", own)
+    before = F.when(F.get(F.array(*bounds), F.col("\x01range")) == F.col("\x01at"), F.pmod(F.col("\x01range") - 1, F.lit(len(bounds)))) if bounds else F.lit(None)
+    homes = F.array(F.struct(F.col("\x01range").alias("range"), F.lit(False).alias("guest")), F.struct(before.cast("int").alias("range"), F.lit(True).alias("guest")))
+    dealt = placed.select(*rows.columns, "\x01at", F.explode(F.filter(homes, lambda h: h["range"].isNotNull())).alias("\x01home"))
+    dealt = dealt.select(*rows.columns, "\x01at", F.col("\x01home.range").alias("\x01range"), F.col("\x01home.guest").alias("\x01guest"))
     dealt = dealt.repartition("\x01range").withColumns(added)
-    follows = F.lead(F.struct(*carried)).over(Window.partitionBy("\x01range").orderBy("\x01guest", F.col(order).asc_nulls_first(), tie))
-    return dealt.withColumn("next", follows).where(~F.col("\x01guest")).drop("\x01range", "\x01guest")
+    follows = F.lead(F.struct(*carried)).over(Window.partitionBy("\x01range").orderBy("\x01guest", "\x01at"))
+    return dealt.withColumn("next", follows).where(~F.col("\x01guest")).drop("\x01at", "\x01range", "\x01guest")
+
+
+def _inside(kept: Column, last: Column) -> Column:
+    """Of the kept hashes those that windows 0 .. `last` have picked; none if `last` is negative."""
+    picked = F.array_min(F.filter(kept, lambda x: (position(x) >= last) & (position(x) < last + W)))
+    return F.when(last >= 0, _let(position(picked), lambda p: F.filter(kept, lambda x: position(x) <= p))).otherwise(F.array().cast("array<long>"))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited text, with the likeness to that and to the next text.
 
     The edited text has its last floor(n / 2) code points replaced by as many of the next document's
-    first ones, or all if there are fewer. Only its changed part is hashed again: windows that lie
-    inside what stayed have picked the same hashes before.
+    first ones, or all if there are fewer. Windows that lie inside what stayed, or inside what came from
+    the next document, have picked the same hashes before; only the seam between them is hashed again.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = with_next(rows, "id", "text", ["text", "kept"], {"kept": fingerprint(F.col("text"))})
-    n = F.length("text")
+    n, reach = F.length("text"), K + W - 1
     half = F.floor(n / 2).cast("int")
-    rows = rows.withColumns({"n": n, "edited": F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half))})
-    last = F.col("n") - F.floor(F.col("n") / 2).cast("int") - (K + W - 1)  # last window inside what stayed, from 0
-    rows = rows.withColumn("last", last)
-    picked = F.array_min(F.filter("kept", lambda x: (position(x) >= F.col("last")) & (position(x) < F.col("last") + W)))
-    stayed = _let(position(picked), lambda p: F.filter("kept", lambda x: position(x) <= p))
-    stayed = F.when(F.col("last") >= 0, stayed).otherwise(F.array().cast("array<long>"))
+    came = F.least(half, F.length("next.text"))
+    # the last window inside what stayed and inside what came, from 0 (negative: there is none)
+    rows = rows.withColumns({"n": n, "edited": F.concat(F.substring("text", F.lit(1), n - half), F.substring("next.text", F.lit(1), half)), "border": n - half, "last": n - half - reach, "last_new": came - reach})
     start = F.greatest(F.lit(0), F.col("last") + 1)
-    rows = rows.withColumns({"start": start, "tail": F.substring("edited", start + 1, F.length("edited")), "stayed": stayed})
-    rows = rows.withColumn("tail", F.when((F.col("last") >= 0) & (F.length("tail") < K + W - 1), "").otherwise(F.col("tail")))
-    rows = rows.withColumn("found", fingerprint(F.col("tail")))
-    rows = rows.withColumn("edited_kept", F.array_union("stayed", F.transform("found", lambda x: x - F.col("start"))))
+    stop = F.when(F.col("last_new") >= 0, F.col("border") + reach - 1).otherwise(F.length("edited"))
+    rows = rows.withColumns({"start": start, "seam": F.substring("edited", start + 1, stop - start), "stayed": _inside(F.col("kept"), F.col("last")), "came": _inside(F.col("next.kept"), F.col("last_new"))})
+    whole = (F.length("seam") >= reach) | (F.length("seam") == F.length("edited"))
+    rows = rows.withColumn("found", fingerprint(F.when(whole, F.col("seam")).otherwise("")))
+    moved = [F.transform("found", lambda x: x - F.col("start")), F.transform("came", lambda x: x - F.col("border"))]
+    rows = rows.withColumn("edited_kept", F.array_distinct(F.concat("stayed", *moved)))
     return rows.select(
         F.col("id").alias(id_col),
         F.col("n").cast("long").alias("n_chars"),
