@@ -3,13 +3,14 @@
 Every k-gram of code points has a hash; of each window of w hashes in a row the smallest is kept, the
 rightmost of equals, with its position. Hence two texts that share a passage of k + w - 1 code points
 share a kept hash that stands inside it, and no text without a common k-gram shares one (but for
-collisions of 32-bit hashes).
+collisions of 33-bit hashes).
 
 The hash of a k-gram is a rolling one: each further code point shifts it by a bit and adds that code
 point's own hash by exclusive-or; a code point that leaves the gram is taken off in the same way. All
 grams' hashes come by doubling (a gram of 2n is the gram of n before, shifted by n bits, and the one
-behind), and so do the minima of windows: a code point costs log2(k) + log2(w) short steps. A kept hash
-is one long, hash above and reversed position below: the smallest long is the rightmost minimum.
+behind), and the minima of windows by taking four together at a time: a code point costs log2(k) + log4(w)
+short steps. A kept hash is one long, 33 bits of hash above and the reversed position below: the smallest
+long is the rightmost minimum.
 
 Edge cases: a null or empty text has an empty fingerprint, two of them have likeness 1, an empty and
 another one 0; a text shorter than k has one hash, of all of it; one with fewer than w hashes has one
@@ -34,17 +35,18 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _with_later(items: Column, apart: int, how) -> Column:
-    """For each place i, `how(item i, item i + apart, i)`; the second is null past the end."""
-    return _let(items, lambda h: F.transform(h, lambda x, i: how(x, F.get(h, i + apart), i)))
+def _with_later(items: Column, apart: list[int], how) -> Column:
+    """For each place i, `how(i, item i, items i + apart ...)`; null past the end."""
+    return _let(items, lambda h: F.transform(h, lambda x, i: how(i, x, *[F.get(h, i + k) for k in apart])))
 
 
-def _doublings(size: int) -> list[int]:
-    """How far apart items are combined till `size` of them have come together."""
+def _steps(size: int, most: int) -> list[list[int]]:
+    """How far apart items are combined, up to `most` at once, till `size` of them have come together."""
     out, have = [], 1
     while have < size:
-        out.append(min(have, size - have))
-        have += out[-1]
+        parts = min(most, -(-size // have))
+        out.append([min(k * have, size - have) for k in range(1, parts)])
+        have = min(size, have * parts)
     return out
 
 
@@ -52,20 +54,13 @@ def fingerprint(text: Column) -> Column:
     """Kept hashes in order of position, as packed longs."""
     n = F.length(text)
     rolled = _let(F.transform(F.split(text, ""), lambda c: F.xxhash64(c)), lambda h: F.when(n < K, F.concat(h, F.array_repeat(F.lit(0).cast("long"), K - n))).otherwise(h))
-    *inner, last = _doublings(K)
-
-    def longer(apart: int):
-        return lambda x, later, _: F.shiftleft(x, apart).bitwiseXOR(later)
-
-    def packed(x: Column, later: Column, i: Column) -> Column:
-        # the bits that every code point of the gram reaches
-        return F.shiftleft(F.shiftright(longer(last)(x, later, i), K).bitwiseAND(0xFFFFFFFF), 31).bitwiseOR(F.lit(_POS) - i)
-
-    for apart in inner:
-        rolled = _with_later(rolled, apart, longer(apart))
-    least = _with_later(rolled, last, packed)
-    for apart in _doublings(W):
-        least = _with_later(least, apart, lambda x, later, _: F.least(x, later))
+    *inner, last = _steps(K, 2)
+    for step in inner:
+        rolled = _with_later(rolled, step, lambda i, x, later, by=step[0]: F.shiftleft(x, by).bitwiseXOR(later))
+    # every code point of the gram reaches the upper bits; the place takes the lower ones
+    least = _with_later(rolled, last, lambda i, x, later: F.shiftleft(x, last[0]).bitwiseXOR(later).bitwiseAND(~_POS).bitwiseOR(F.lit(_POS) - i))
+    for step in _steps(W, 4):
+        least = _with_later(least, step, lambda i, *x: F.least(*x))
     windows = F.slice(least, 1, F.greatest(F.lit(1), n - (K - 1) - (W - 1)))
     return F.when(n > 0, F.array_distinct(windows)).otherwise(F.array().cast("array<long>"))
 
@@ -81,7 +76,7 @@ def hashes(packed: Column) -> Column:
 
 def shown(packed: Column) -> Column:
     """A fingerprint as text: position:hash, separated by spaces."""
-    return F.array_join(F.transform(packed, lambda x: F.concat(position(x).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftright(x, 31))))), " ")
+    return F.array_join(F.transform(packed, lambda x: F.concat(position(x).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftrightunsigned(x, 31))))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:

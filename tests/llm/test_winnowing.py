@@ -30,7 +30,8 @@ def rolling(text):
     out, h = [], 0
     for k, c in enumerate(own):
         h = h << 1 ^ c ^ (own[k - w.K] << w.K if k >= w.K else 0)
-        out.append((h % (1 << 64)) >> w.K & 0xFFFFFFFF)
+        signed = (h + (1 << 63)) % (1 << 64) - (1 << 63)
+        out.append(signed >> 31)
     return out[w.K - 1 :]
 
 
