@@ -6,15 +6,19 @@ segment tree over the amounts of room finds that row in log2(length) steps. A pa
 the id matrix, with cumulative segment lengths and positions that restart at 0 in every segment.
 
 Packing takes place in blocks of `block_ids` ids in the order of the input's partitions: memory is
-bounded, nothing is shuffled, and a task that runs again makes the same rows.
+bounded, nothing is shuffled, and a task that runs again makes the same rows. So which pieces share a
+row depends on how the input lies: another partitioning gives other rows (of the same ids), with other
+pack_ids. A block of the default size is filled to a few thousandths, whichever documents it has.
 
 Edge cases: null and empty texts are their begin and end ids; a document longer than a row fills rows
-and leaves a rest that is packed like any piece, each piece with its offset; repeated rows are packed
-each; no documents make no rows.
+and leaves a rest that is packed like any piece, each piece with its offset; pieces of equal length go
+in the order in which they come; repeated rows are packed each; ids of documents may have any type and
+may be null; no documents make no rows.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from .common import text_of
 from .sp_codec import codec
 
-SCHEMA = "pack_id long, n_ids int, ids binary, cu_seqlens array<int>, positions binary, doc_ids array<long>, offsets array<long>"
+MOST = 1 << 16
 
 
 class RoomTree:
@@ -81,6 +85,16 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
     pack_id: partition above, number in it below. `length` and the vocabulary are at most 65,536.
     """
     import pyarrow as pa
+    from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructType
+
+    if not 0 < length <= MOST:
+        raise ValueError(f"rows have 1 to {MOST} ids, not {length}")
+    if len(codec(model_path).surface) > MOST or not 0 <= pad < MOST:
+        raise ValueError(f"ids are below {MOST}")
+    fields = {"pack_id": LongType(), "n_ids": IntegerType(), "ids": BinaryType(), "cu_seqlens": ArrayType(IntegerType()), "positions": BinaryType(), "doc_ids": ArrayType(docs.schema[id_col].dataType), "offsets": ArrayType(LongType())}
+    schema = StructType()
+    for name, kind in fields.items():
+        schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -88,47 +102,63 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
         c = codec(model_path)
         number = TaskContext.get().partitionId() << 33
-        pieces: list[tuple] = []
+        head, tail = (struct.pack("<I", i) for i in (c.bos, c.eos))
+        owners: list = []  # ids of the waiting documents, and their token ids
+        coded: list[bytes] = []
 
         def packed():
             nonlocal number
-            rows = best_fit([len(x) for _, _, x in pieces], length)
+            sizes = np.array([len(x) // 4 for x in coded])
+            ids = np.frombuffer(b"".join(coded), "<u4").astype("<u2")
+            cuts = -(-sizes // length)
+            doc = np.repeat(np.arange(len(sizes)), cuts)
+            offset = length * (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
+            size = np.minimum(length, sizes[doc] - offset)
+            start = (np.cumsum(sizes) - sizes)[doc] + offset
+            rows = best_fit(size.tolist(), length)
+            held = pa.concat_arrays(owners)
+            owners.clear()
+            coded.clear()
             for k in range(0, len(rows), 512):
                 part = rows[k : k + 512]
-                ids, at = np.full((len(part), length), pad, "<u2"), np.zeros((len(part), length), "<u2")
-                ends, used, owners, offsets = [], [], [], []
-                for y, row in enumerate(part):
-                    x, cu = 0, [0]
-                    for p in row:
-                        n = len(pieces[p][2])
-                        ids[y, x : x + n] = pieces[p][2]
-                        at[y, x : x + n] = np.arange(n)
-                        x += n
-                        cu.append(x)
-                    ends.append(cu)
-                    used.append(x)
-                    owners.append([pieces[p][0] for p in row])
-                    offsets.append([pieces[p][1] for p in row])
-                numbers = list(range(number, number + len(part)))
+                n = np.array([len(row) for row in part])
+                piece = np.concatenate([np.array(row) for row in part])
+                long = size[piece]
+                ends = np.cumsum(long)
+                place = np.arange(ends[-1]) - np.repeat(ends - long, long)
+                last = np.cumsum(n)
+                used = np.add.reduceat(long, last - n)
+                inside = np.arange(length) < used[:, None]
+                matrix, at = np.full((len(part), length), pad, "<u2"), np.zeros((len(part), length), "<u2")
+                matrix[inside] = ids[place + np.repeat(start[piece], long)]
+                at[inside] = place
+                cu = np.insert(ends - np.repeat(np.cumsum(used) - used, n), last - n, 0)
+                edges = np.concatenate([[0], last]).astype(np.int32)
+                columns = [
+                    pa.array(np.arange(number, number + len(part))),
+                    pa.array(used, pa.int32()),
+                    pa.array([r.tobytes() for r in matrix], pa.binary()),
+                    pa.ListArray.from_arrays(edges + np.arange(len(edges), dtype=np.int32), pa.array(cu, pa.int32())),
+                    pa.array([r.tobytes() for r in at], pa.binary()),
+                    pa.ListArray.from_arrays(edges, held.take(pa.array(doc[piece]))),
+                    pa.ListArray.from_arrays(edges, pa.array(offset[piece], pa.int64())),
+                ]
                 number += len(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers, pa.int64()), pa.array(used, pa.int32()), pa.array([r.tobytes() for r in ids]), pa.array(ends, pa.list_(pa.int32())), pa.array([r.tobytes() for r in at]), pa.array(owners, pa.list_(pa.int64())), pa.array(offsets, pa.list_(pa.int64()))],
-                    names=["pack_id", "n_ids", "ids", "cu_seqlens", "positions", "doc_ids", "offsets"],
-                )
-            pieces.clear()
+                yield pa.RecordBatch.from_arrays(columns, names=list(fields))
 
         waiting = 0
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = np.frombuffer(c.encode(text.as_py()), "<u4")
-                seq = np.concatenate([[c.bos], whole, [c.eos]]).astype("<u2")
-                for k in range(0, len(seq), length):
-                    pieces.append((doc, k, seq[k : k + length]))
-                waiting += len(seq)
+            first = 0
+            for k, text in enumerate(batch.column(1)):
+                coded.append(head + c.encode(text.as_py()) + tail)
+                waiting += len(coded[-1]) // 4
                 if waiting >= block_ids:
+                    owners.append(batch.column(0).slice(first, k + 1 - first))
                     yield from packed()
-                    waiting = 0
-        if pieces:
+                    first, waiting = k + 1, 0
+            if first < batch.num_rows:
+                owners.append(batch.column(0).slice(first))
+        if coded:
             yield from packed()
 
-    return docs.select(id_col, text_of(text_col).alias("\x01text")).mapInArrow(run, SCHEMA)
+    return docs.select(id_col, text_of(text_col).alias("\x01text")).mapInArrow(run, schema)

@@ -7,8 +7,9 @@ over all pieces reports, and (b) is compatible with the last piece of the prefix
 that table is linear in the text; the ids are then read backwards from its end.
 
 No piece of the vocabulary continues past a space into the next word, so the table is filled for each
-word (with its space) by itself and kept in a bounded cache. The cache saves time only: what it has
-dropped is computed again.
+word (with its space) by itself and kept in a bounded cache. A new word is first tried as a known one and
+a short rest: if the last piece of the one and the first of the other are compatible, their encodings in
+a row are the word's. The cache saves time only: what it has dropped is computed again.
 
 Edge cases: a null or empty text encodes to begin and end ids and decodes to ''. U+2581 in a text is
 the escaped space and decodes to a space, as in the library. Very long words take linear time.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Entries that a worker keeps of words and of pairs before it starts afresh.
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_500_000
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 400_000
+#: Characters at the end of a word that may be the rest behind a known word.
+REST = 6
 
 
 class PieceCodec:
@@ -72,8 +75,12 @@ class PieceCodec:
             if len(piece) > 1 and self.merged(piece) == [piece]:
                 self.automaton.add_word(piece, (self.number(piece), len(piece)))
         self.automaton.make_automaton()
+        #: Place in `tokens` of the piece with an id; None for bytes and controls.
+        self.number_of = [None] * n
+        for piece, i in self.id_of.items():
+            self.number_of[i] = self.number(piece)
         self.spines: dict[str, tuple[list[str], list[str]] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.spaced: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}
 
@@ -141,7 +148,7 @@ class PieceCodec:
     def _ids(self, word: str) -> bytes:
         """Ids of a word: the last token of every prefix, then the way back."""
         last: list[int] = []
-        settled, pairs, numbers, tokens = 0, self.pairs, self.numbers, self.tokens
+        settled, pairs, numbers = 0, self.pairs, self.numbers
         for end, (token, size) in self.automaton.iter(word):  # by end, longest first
             if end < settled:
                 continue
@@ -151,11 +158,9 @@ class PieceCodec:
                 settled += 1
             if end >= size:
                 before = last[end - size]
-                fits = pairs.get((before, token))
+                fits = pairs.get(before << 32 | token)
                 if fits is None:
-                    if len(pairs) >= CACHE_PAIRS:
-                        pairs.clear()
-                    fits = pairs[before, token] = self.compatible(tokens[before], tokens[token])
+                    fits = self._fits(before, token)
                 if not fits:
                     continue
             last.append(token)
@@ -170,10 +175,32 @@ class PieceCodec:
         out.reverse()
         return b"".join(out)
 
+    def _fits(self, before: int, token: int) -> bool:
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        found = self.pairs[before << 32 | token] = self.compatible(self.tokens[before], self.tokens[token])
+        return found
+
+    def _known_and_rest(self, cache: dict[str, bytes], word: str) -> bytes | None:
+        """The ids of a word that begins with one in `cache`, if the rest's ids may follow that one's."""
+        number_of, bare = self.number_of, self.bare
+        for k in range(len(word) - 1, max(1, len(word) - REST) - 1, -1):
+            one = cache.get(word[:k])
+            if one:
+                two = bare.get(word[k:])
+                if two is None:
+                    two = self._word(bare, "", word[k:])
+                before, token = number_of[int.from_bytes(one[-4:], "little")], number_of[int.from_bytes(two[:4], "little")]
+                if before is not None and token is not None:
+                    fits = self.pairs.get(before << 32 | token)
+                    if self._fits(before, token) if fits is None else fits:
+                        return one + two
+        return None
+
     def _word(self, cache: dict[str, bytes], lead: str, word: str) -> bytes:
         got = cache.get(word)
         if got is None:
-            got = self._ids(lead + word)
+            got = (self._known_and_rest(cache, word) if len(word) > 2 else None) or self._ids(lead + word)
             if len(word) <= 64:
                 if len(cache) >= CACHE_WORDS:
                     cache.clear()
@@ -208,9 +235,11 @@ class PieceCodec:
                 out.append(self._word(bare, "", words[0]))
             if k == 0 and not words[0]:  # an empty first line still has the leading space
                 out.append(self._word(spaced, SPACE, ""))
-            for word in words[1:] if k or not words[0] else words:
-                got = spaced.get(word)
-                out.append(self._word(spaced, SPACE, word) if got is None else got)
+            words = words[1:] if k or not words[0] else words
+            found = list(map(spaced.get, words))
+            if None in found:
+                found = [self._word(spaced, SPACE, word) if got is None else got for word, got in zip(words, found)]
+            out += found
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
