@@ -34,28 +34,52 @@ HEAVY = 1000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def fingerprint(text: str | None, size: int = 3, block: int = 1 << 15) -> int:
-    """SimHash of a text's word shingles of `size` words, as an unsigned integer."""
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_LOWER).split()  # bytes split at space and 9 to 13
+
+
+def shingle_hashes(words: list[bytes], size: int, block: int = 1 << 15):
+    """Arrays of the hashes of all shingles, `block` at a time; fewer than `size` words are one shingle."""
     import numpy as np
     import xxhash
 
-    words = (text or "").encode().translate(_LOWER).split()  # bytes split at space and 9 to 13
-    if not words:
-        return 0
     whole, n, digest = b" ".join(words), max(1, len(words) - size + 1), xxhash.xxh64_intdigest
     if n == 1:
-        return digest(whole, 42)
+        if words:
+            yield np.array([digest(whole, 42)], np.uint64)
+        return
     starts, at = [0], 0
     for w in words:
         at += len(w) + 1
         starts.append(at)
-    counts = np.zeros(BITS, np.int64)
     for k in range(0, n, block):
-        h = np.array([digest(whole[i : j - 1], 42) for i, j in zip(starts[k : min(n, k + block)], starts[k + size :])], np.uint64)
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([digest(whole[i : j - 1], 42) for i, j in zip(starts[k : min(n, k + block)], starts[k + size :])], np.uint64)
+
+
+def bits_of(h):
+    """How many of the hashes have each bit."""
+    import numpy as np
+
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def print_of(counts, n: int) -> int:
+    """The fingerprint of `n` hashes: the bits that over half of them have."""
+    import numpy as np
+
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str | None, size: int = 3, block: int = 1 << 15) -> int:
+    """SimHash of a text's word shingles of `size` words, as an unsigned integer."""
+    words = words_of(text)
+    if not words:
+        return 0
+    if len(words) <= size:
+        return int(next(shingle_hashes(words, size))[0])
+    return print_of(sum(map(bits_of, shingle_hashes(words, size, block))), len(words) - size + 1)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
     """(id_col, print): the fingerprint as a signed long, for each row."""
     import pyarrow as pa
@@ -81,37 +105,89 @@ def _masks(m: int, radius: int) -> list[int]:
     return [x - (1 << BITS) if x >> (BITS - 1) else x for x in masks]
 
 
-def _links_of(pdf, radius: int, block: int = 256):
-    """Star links (lowest member, other member) of the groups that one tile's rows form."""
+def forest(pdf, radius: int, alike=None, united=(), block: int = 256, others: int = 8):
+    """Links (a, b) between the names of one task's rows: in each tile as few as hold its groups together.
+
+    Rows of a tile agree in choice, bits and part. `united`: pairs of places in `pdf` that are linked already.
+    Of the pairs that would join two groups, the one with the fewest different bits is taken. `alike(i, j)`
+    says for places in `pdf`, all within the radius, how sure a link of two rows is: below 0 there is none,
+    below 1 some other pairs of these rows are taken as well, should this one fall short.
+    """
     import numpy as np
     import pandas as pd
 
-    pop = np.bitwise_count(pdf["print"].to_numpy().view(np.uint64)).astype(np.int64)
+    prints, name = pdf["print"].to_numpy().view(np.uint64), pdf["name"].to_numpy()
+    pop = np.bitwise_count(prints).astype(np.int64)
     order = np.lexsort((pop, pdf["part"], pdf["bits"], pdf["choice"]))
-    prints, pop = pdf["print"].to_numpy()[order].view(np.uint64), pop[order]
+    prints, pop, name = prints[order], pop[order], name[order]
     keys = np.stack([pdf[c].to_numpy()[order] for c in ("choice", "bits", "part")], axis=1)
     group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
     n, root = len(prints), np.arange(len(prints))
+    at = np.argsort(order)
+    for x, y in united:
+        root[root == max(root[at[x]], root[at[y]])] = min(root[at[x]], root[at[y]])
+    found: list = []
     for a in range(0, n, block):
         ea = min(a + block, n)
         for b in range(a, n, block):
-            if group[b] > group[ea - 1] or group[b] == group[ea - 1] == group[a] and pop[b] - pop[ea - 1] > radius:
+            if group[b] > group[ea - 1] or skipped(group, pop, a, ea, b, radius):
                 break
             eb = min(b + block, n)
-            near = np.bitwise_count(prints[a:ea, None] ^ prints[None, b:eb]) <= radius
+            apart = np.bitwise_count(prints[a:ea, None] ^ prints[None, b:eb])
+            near = apart <= radius
             near &= group[a:ea, None] == group[None, b:eb]
+            near &= root[a:ea, None] != root[None, b:eb]
             i, j = np.nonzero(near)
+            bits = apart[i, j]
             i, j = i + a, j + b
-            while (apart := root[i] != root[j]).any():
-                i, j = i[apart], j[apart]
+            if alike is not None and len(i):
+                sure = alike(order[i], order[j])
+                open_ = np.nonzero((sure >= 0) & (sure < 1))[0]
+                by = open_[np.lexsort((bits[open_], i[open_]))]
+                new = np.concatenate([[True], i[by][1:] != i[by][:-1]])[: len(by)]
+                rank = np.arange(len(by)) - np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+                found.append((i[by[rank < others]], j[by[rank < others]]))
+                i, j, bits = i[sure >= 0], j[sure >= 0], bits[sure >= 0]
+            while (open_ := root[i] != root[j]).any():
+                i, j, bits = i[open_], j[open_], bits[open_]
+                high, low = np.maximum(root[i], root[j]), np.minimum(root[i], root[j])
+                by = np.lexsort((j, i, bits, high))
+                best = by[np.concatenate([[True], high[by][1:] != high[by][:-1]])]
+                found.append((i[best], j[best]))
                 to = np.arange(n)
-                np.minimum.at(to, np.maximum(root[i], root[j]), np.minimum(root[i], root[j]))
+                to[high[best]] = low[best]
                 while (to[to] != to).any():
                     to = to[to]
                 root = to[root]
-    other = np.nonzero(root != np.arange(n))[0]
-    out = prints.view(np.int64)
-    return pd.DataFrame({"a": out[root[other]], "b": out[other]})
+    if not found:
+        return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    i, j = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"a": name[i], "b": name[j]}).drop_duplicates()
+
+
+def skipped(group, pop, a: int, ea: int, b: int, radius: int) -> bool:
+    """Whether blocks a:ea and b: of one tile, in order of population count, are too far apart to be compared."""
+    return bool(group[b] == group[ea - 1] == group[a] and pop[b] - pop[ea - 1] > radius)
+
+
+def tiled(keyed: DataFrame, radius: int, tile_rows: int, task_rows: int, n: int) -> DataFrame:
+    """`keyed` (print, choice, bits, ...; `n` rows) with a column `task`; rows that share a tile are in one task.
+
+    A tile is what agrees in choice and bits. Larger ones than `tile_rows` are dealt to parts by population
+    count and a hash; each pair of parts within the radius is a tile.
+    """
+    tasks = max(1, math.ceil(n / task_rows))
+    hot = cut(keyed.groupBy("choice", "bits").count().where(F.col("count") > tile_rows))
+    tiles = keyed.withColumn("part", F.lit(0).cast("long"))
+    if not hot.isEmpty():
+        known = keyed.join(hot, ["choice", "bits"], "left")
+        tiles = known.where("count is null").drop("count").withColumn("part", F.lit(0).cast("long"))
+        parts, pop = F.ceil(F.col("count") / tile_rows), F.bit_count("print")
+        mine = pop * 65536 + F.pmod(F.xxhash64("print"), parts)
+        others = F.flatten(F.transform(F.sequence(pop - radius, pop + radius), lambda p: F.transform(F.sequence(F.lit(0), parts - 1), lambda s: p * 65536 + s)))
+        pair = F.transform(others, lambda o: F.xxhash64(F.least(o, mine), F.greatest(o, mine)))
+        tiles = tiles.unionByName(known.where("count is not null").withColumn("part", F.explode(pair)).drop("count"))
+    return tiles.withColumn("task", F.pmod(F.xxhash64("choice", "bits", "part"), F.lit(tasks)))
 
 
 def links(prints: DataFrame, radius: int = 3, meet: int = 1024, tile_rows: int = 8192, task_rows: int = 200_000) -> DataFrame:
@@ -126,20 +202,8 @@ def links(prints: DataFrame, radius: int = 3, meet: int = 1024, tile_rows: int =
         m += 1
     masks = _masks(m, radius)
     pick: list[Column] = [F.struct(F.lit(k).alias("choice"), F.col("print").bitwiseAND(F.lit(x)).alias("bits")) for k, x in enumerate(masks)]
-    keyed = prints.select("print", F.explode(F.array(*pick)).alias("key")).select("print", "key.choice", "key.bits")
-    tasks = max(1, math.ceil(n * len(masks) / task_rows))
-    hot = cut(keyed.groupBy("choice", "bits").count().where(F.col("count") > tile_rows))
-    tiles = keyed.withColumn("part", F.lit(0).cast("long"))
-    if not hot.isEmpty():
-        known = keyed.join(hot, ["choice", "bits"], "left")
-        tiles = known.where("count is null").select("print", "choice", "bits", F.lit(0).cast("long").alias("part"))
-        parts, pop = F.ceil(F.col("count") / tile_rows), F.bit_count("print")
-        mine = pop * 65536 + F.pmod(F.xxhash64("print"), parts)
-        others = F.flatten(F.transform(F.sequence(pop - radius, pop + radius), lambda p: F.transform(F.sequence(F.lit(0), parts - 1), lambda s: p * 65536 + s)))
-        pair = F.transform(others, lambda o: F.xxhash64(F.least(o, mine), F.greatest(o, mine)))
-        tiles = tiles.unionByName(known.where("count is not null").select("print", "choice", "bits", F.explode(pair).alias("part")))
-    task = F.pmod(F.xxhash64("choice", "bits", "part"), F.lit(tasks))
-    return tiles.withColumn("task", task).groupBy("task").applyInPandas(lambda pdf: _links_of(pdf, radius), "a long, b long")
+    keyed = prints.select("print", F.explode(F.array(*pick)).alias("key")).select("print", F.col("print").alias("name"), "key.choice", "key.bits")
+    return tiled(keyed, radius, tile_rows, task_rows, n * len(masks)).groupBy("task").applyInPandas(lambda pdf: forest(pdf, radius), "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, size: int = 3) -> DataFrame:
@@ -157,16 +221,3 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radi
     rows = signed.join(frequent, "print", "left")
     rare = rows.where("known is null").drop("known").join(named.where(F.col("copies") < many).select("print", "component_id"), "print")
     return rare.select(id_col, "print", "component_id").unionByName(rows.where("known is not null").select(id_col, "print", "known.component_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, size: int = 3) -> DataFrame:
-    """The rows of `docs` without near-duplicates: of each group the row with the smallest id.
-
-    Rows that repeat an id that stays are one document: one of them stays. Of rows without an id, one
-    stays if it stands in a group without ids.
-    """
-    ids = cut(groups(docs, id_col, text_col, radius, size).groupBy("component_id").count().select(F.col("component_id").alias("\x01id")))
-    kept = docs.join(ids, F.col(id_col).eqNullSafe(F.col("\x01id")), "left_semi")
-    if docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates([id_col])
