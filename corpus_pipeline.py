@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, encoded training text out. Each stage applies one operator.
 
 Every stage but the last returns the columns of documents. Toxic documents go; boilerplate lines that
-stand on many sites are taken out of the texts, but for their first copy; of near-duplicates the document
-with the smallest id stays; the mix repeats or leaves out documents so that the sources meet their
+stand on many sites are taken out of the texts, but for their first copy; of documents that share four fifths
+of their five-word shingles the one with the smallest id stays; the mix repeats or leaves out documents so that the sources meet their
 target weights; the rest is encoded. Empty tables pass through; nulls are as the operators define them.
 """
 
@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firnline.llm import line_dedup, mixing, simhash, sp_codec, toxicity
-from firnline.llm.common import fresh
+from firnline.llm import line_dedup, mixing, neardup, sp_codec, toxicity
+from firnline.llm.common import fresh, stored
 from firnline.llm.queries import TOXIC, model_path, toxicity_model
 
 #: Models and hashes have no SQL twin; tests/llm hold the stages against brute-force versions.
@@ -30,7 +30,7 @@ def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return neardup.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of `sf_dir`."""
+    """All stages over the documents of `sf_dir`; each stage's table is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = stored(docs)
     return docs
