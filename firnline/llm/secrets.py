@@ -4,8 +4,10 @@ Known shapes (assignments, access keys, hex strings) are found by pattern. Value
 credential is named are judged by how many guesses they would take: the cheapest segmentation into
 common words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over
 the ends of prefixes. What costs `min_cost` powers of ten or more is a secret too; a placeholder such as
-"changeme123" is not. Values of letters only are judged by a larger list too, the words and parts of words
-of a public tokenizer, as prose follows such names as well ("token embeddings").
+"changeme123" is not. The words are those that guessers try first, then the most frequent words of the
+table itself (counted over all of its texts; `max_words` of them, so that the dictionary has a bound). Values
+of letters only are judged with the words and parts of words of a public tokenizer as well, as prose
+follows such names too ("token embeddings").
 
 Edge cases: null and empty texts have no spans; spans are code points, end exclusive; texts of any
 length take time in proportion to it; equal rows get equal results.
@@ -16,10 +18,11 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import text_of
 
@@ -27,7 +30,7 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # whole runs: a shorter one fails, and no run starts inside another
-_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|log[io]n|auth(?:orization)?|bearer|(?:api|access|private)[_-]?key)["']?\x20{0,4}(?:is\x20|=>|[:=]|\x20)\x20{0,4}["'`]?([^\s"'`<>,;]{8,})""", re.I | re.A)
+_CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|log[io]n|auth(?:orization)?|bearer|(?:api|access|private)[_-]?key)["']?(?:[\x20\t]*+(?:=>|[:=])[\x20\t]*+|[\x20\t]++(?:is[\x20\t]++)?)["'`]?([^\s"'`<>,;]{8,})""", re.I | re.A)
 #: One of these stands in every text that has an assignment or a credential context.
 _NAMES = ("pass", "pwd", "secret", "token", "credential", "login", "logon", "auth", "bearer", "key")
 
@@ -45,7 +48,16 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _RANK = {w: k + 1 for k, w in reversed(list(enumerate(COMMON_WORDS)))}
 _LONGEST = max(map(len, COMMON_WORDS))
 _LEET = str.maketrans("@431!05$7", "aaeiiosst")
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
+_DATES = tuple(
+    re.compile(p)
+    for p in (
+        r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])",
+        r"(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d",
+        r"(?:19|20)\d\d",
+    )
+)
+#: Characters of a walk or repeat that count without its beginning, as another span may reach into it.
+TAIL = 64
 #: Log10 of the guesses that choosing one more segment costs.
 _STEP = 0.3
 
@@ -75,33 +87,61 @@ def _char_cost(c: str) -> float:
 
 
 @lru_cache(maxsize=1)
-def _pieces() -> tuple[dict[str, int], int]:
-    """Rank, and the longest, of the words and parts of words, of three letters or more, in the public tokenizer's list."""
+def _pieces() -> tuple[str, ...]:
+    """Words and parts of words, of three letters or more, in the public tokenizer's list."""
     import sentencepiece
 
     from .queries import model_path
 
-    model, out = sentencepiece.SentencePieceProcessor(model_file=model_path()), dict(_RANK)
-    for k in range(model.get_piece_size()):
-        word = model.id_to_piece(k).lstrip("\u2581").lower()
-        if len(word) > 2 and word.isalpha():
-            out.setdefault(word, len(out) + 1)
-    return out, max(map(len, out))
+    model = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    words = (model.id_to_piece(k).lstrip("\u2581").lower() for k in range(model.get_piece_size()))
+    return tuple(w for w in words if len(w) > 2 and w.isalpha())
 
 
-def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int = _LONGEST) -> float:
-    """Log10 of the guesses for the cheapest segmentation of `value`.
+class Ranks:
+    """The words that guessers try, by rank: common ones, then `words`, the most frequent first."""
 
-    `ranks`: the words that guessers try, `longest`: letters of the longest.
-    """
+    def __init__(self, words: Iterable[str] = ()):
+        self.of = dict(_RANK)
+        self._add(words)
+        self.longest = max(map(len, self.of))
+        self._more: Ranks | None = None
+
+    def _add(self, words: Iterable[str]) -> None:
+        for word in words:
+            self.of.setdefault(word, len(self.of) + 1)
+
+    def with_pieces(self) -> Ranks:
+        if self._more is None:
+            self._more = Ranks()
+            self._more.of = dict(self.of)
+            self._more._add(_pieces())
+            self._more.longest = max(map(len, self._more.of))
+        return self._more
+
+
+def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = 50_000) -> list[str]:
+    """The words of three to 24 letters a to z that stand most often in all texts, ties by alphabet."""
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit("[a-z]+"), F.lit(0))).alias("word")).where(F.length("word").between(3, 24))
+    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(max_words).collect()]
+
+
+def _starts(first: int, end: int, least: int) -> list[int]:
+    """Where a walk or repeat that ends at `end` may start: at its beginning, or at most TAIL characters before its end."""
+    return [first, *range(max(first + 1, end - TAIL), end - least + 1)] if end - first >= least else []
+
+
+def guess_cost(value: str, words: Ranks | None = None) -> float:
+    """Log10 of the guesses for the cheapest segmentation of `value`. `words`: those that guessers try."""
+    ranks, longest = (words.of, words.longest) if words else (_RANK, _LONGEST)
     n, low = len(value), value.lower()
     plain = low.translate(_LEET)
     dates: dict[int, list[int]] = {}
     for at in range(n):
-        if m := _DATE.match(value, at):
-            dates.setdefault(m.end(), []).append(at)
-            if m.end() - at > 4:
-                dates.setdefault(at + 4, []).append(at)
+        if value[at].isdigit():
+            for date in _DATES:
+                if m := date.match(value, at):
+                    dates.setdefault(m.end(), []).append(at)
     # where the run of neighbouring keys, or of a repeated unit of 1 to 4 characters, that ends here began
     walk = [0] * (n + 1)
     unit = [[0] * (n + 1) for _ in range(5)]
@@ -122,17 +162,19 @@ def guess_cost(value: str, ranks: dict[str, int] = _RANK, longest: int = _LONGES
                 found = min(found, best[s] + _STEP + math.log10(rank + 1) + twisted)
         for s in dates.get(e, ()):
             found = min(found, best[s] + _STEP + (math.log10(120) if e - s == 4 else math.log10(365 * 120)))
-        if e - walk[e] >= 3:
-            found = min(found, best[walk[e]] + _STEP + math.log10(47 * 4 * (e - walk[e])))
+        for s in _starts(walk[e], e, 3):
+            found = min(found, best[s] + _STEP + math.log10(47 * 4 * (e - s)))
         for u in range(1, 5):
-            if e - unit[u][e] >= max(3, 2 * u):
-                s = unit[u][e]
+            for s in _starts(unit[u][e], e, max(3, 2 * u)):
                 found = min(found, best[s] + _STEP + sum(map(_char_cost, value[s : s + u])) + math.log10((e - s) / u))
         best[e] = found
     return best[n]
 
 
-def spans(text: str, min_cost: float = 11.0) -> list[tuple[int, int, int]]:
+_COMMON = Ranks()
+
+
+def spans(text: str, min_cost: float = 11.0, words: Ranks | None = None) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) of every secret, sorted."""
     found = [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
@@ -140,13 +182,14 @@ def spans(text: str, min_cost: float = 11.0) -> list[tuple[int, int, int]]:
     if any(name in low for name in _NAMES):
         found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if m.end() - m.start(2) >= 12]
         taken = sorted((s, e) for s, _, e in found)
+        words = words or _COMMON
         for m in _CONTEXT.finditer(text):
             s, value = m.start(1), m[1].rstrip(".!?)]}:")
             e = s + len(value)
             mixed = any(map(str.isdigit, value)) or any(not c.isalnum() for c in value)
             if len(value) >= 8 and not any(a < e and s < b for a, b in taken):
                 # letters only may be a word of the text: words of languages cost as many guesses as their rank
-                if guess_cost(value) >= min_cost and (mixed or guess_cost(value, *_pieces()) >= min_cost):
+                if guess_cost(value, words) >= min_cost and (mixed or guess_cost(value, words.with_pieces()) >= min_cost):
                     found.append((s, 3, e))
     return sorted(found)
 
@@ -155,9 +198,9 @@ def _named(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in found)
 
 
-def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), min_cost: float = 11.0) -> DataFrame:
+def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), min_cost: float = 11.0, max_words: int = 50_000) -> DataFrame:
     """One row for each row of `docs`: the columns `keep`, counts by kind, base_sha256 of the spans found by
-    pattern, and all spans."""
+    pattern, and all spans. `max_words` bounds the words of the table that count as guessable."""
     import pyarrow as pa
 
     source = docs.select(*keep, text_of(text_col).alias("\x01text"))
@@ -165,10 +208,14 @@ def scan(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_
     for kind in KINDS:
         schema = schema.add(f"n_{kind}", "long")
     schema = schema.add("base_sha256", "string").add("spans", "string")
+    if clash := {f.lower() for f in schema.fieldNames()[len(keep) :]} & {k.lower() for k in keep}:
+        raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, text_col, max_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Ranks(frequent.value)
         for batch in batches:
-            found = [spans(x.as_py(), min_cost) for x in batch.column(batch.num_columns - 1)]
+            found = [spans(x.as_py(), min_cost, words) for x in batch.column(batch.num_columns - 1)]
             cols = [batch.column(k) for k in range(batch.num_columns - 1)]
             cols += [pa.array([sum(x[1] == k for x in f) for f in found], pa.int64()) for k in range(len(KINDS))]
             cols.append(pa.array([hashlib.sha256(_named([x for x in f if x[1] < 3]).encode()).hexdigest() for f in found], pa.string()))

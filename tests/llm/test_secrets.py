@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 
 from firnline.llm import secrets
@@ -41,25 +43,57 @@ def test_guess_costs():
     assert [k for _, k, _ in spans] == [3] and not secrets.spans("the password is password123 ok")
 
 
+DATES = [r"(19|20)\d\d", r"(19|20)\d\d[-/._]?(0[1-9]|1[0-2])[-/._]?(0[1-9]|[12]\d|3[01])", r"(0[1-9]|[12]\d|3[01])[-/._]?(0[1-9]|1[0-2])[-/._]?(19|20)\d\d"]
+
+
+def span_costs(part):
+    """Costs of one span: by brute force, as a word, a date, a walk or a repeat."""
+    low = part.lower()
+    yield sum(map(secrets._char_cost, part))
+    plain = "".join(dict(zip("@431!05$7", "aaeiiosst")).get(c, c) for c in low)
+    found = plain if plain in secrets.COMMON_WORDS else low
+    if len(part) > 2 and found in secrets.COMMON_WORDS:
+        yield math.log10(secrets.COMMON_WORDS.index(found) + 2) + 0.6 * (low != plain) + 0.5 * (part != low)
+    if any(re.fullmatch(d, part) for d in DATES):
+        yield math.log10(120 if len(part) == 4 else 365 * 120)
+    if len(part) > 2 and all((a, b) in secrets._NEXT for a, b in zip(low, low[1:])):
+        yield math.log10(47 * 4 * len(part))
+    for u in range(1, 5):
+        if len(part) >= max(3, 2 * u) and all(a == b for a, b in zip(part, part[u:])):
+            yield sum(map(secrets._char_cost, part[:u])) + math.log10(len(part) / u)
+
+
 def brute_cost(value):
-    """Cheapest split over all splits into spans, of words and brute force only."""
-    best = [0.0] + [None] * len(value)
+    """Cheapest of all splits into spans."""
+    best = [0.0]
     for e in range(1, len(value) + 1):
-        options = []
-        for s in range(e):
-            part = value[s:e]
-            options.append(best[s] + (secrets._STEP if s else 0) + sum(map(secrets._char_cost, part)))
-            if len(part) > 2 and part in secrets._RANK:
-                import math
-
-                options.append(best[s] + secrets._STEP + math.log10(secrets._RANK[part] + 1))
-        best[e] = min(options)
+        best.append(min(best[s] + c + (secrets._STEP if s or k else 0) for s in range(e) for k, c in enumerate(span_costs(value[s:e]))))
     return best[-1]
 
 
-def test_dynamic_programming_is_never_dearer_than_brute_force():
-    for value in ("zadminq", "xtrwelcomevv", "kkqmasterpw", "hvtsummerkd"):
-        assert secrets.guess_cost(value) <= brute_cost(value) + 1e-9
+def test_dynamic_programming_is_brute_force():
+    r = random.Random(3)
+    parts = ["admin", "welcome", "P@ssw0rd", "2024", "2024-01-15", "31121999", "qwert", "asdf", "zzzz", "abab", "xyzxyz", "1234", "k", "Q", "#", "7", "vq", "é"]
+    values = ["zadminq", "xtrwelcomevv", "kkqmasterpw", "hvtsummerkd", "", *("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(300))]
+    for value in values:
+        assert abs(secrets.guess_cost(value) - brute_cost(value)) < 1e-9, value
+
+
+def test_words_of_the_table_are_guessable(spark):
+    words = ["correct", "horse", "battery", "staple"]
+    df = spark.createDataFrame([(1, "the password is correcthorsebatteryZ9 ok"), (2, " ".join(words * 30)), (3, None)], "doc_id long, text string")
+    assert set(words) <= set(secrets.frequent_words(df))
+    assert secrets.frequent_words(df, max_words=2) == ["battery", "correct"]
+    value = "correcthorsebatteryZ9"
+    assert secrets.guess_cost(value, secrets.Ranks(words)) < 13 < secrets.guess_cost(value)
+    a, b = (next(r.n_guess for r in secrets.scan(df, min_cost=15, max_words=n).collect() if r.doc_id == 1) for n in (100, 0))
+    assert (a, b) == (0, 1)
+
+
+def test_white_space_of_any_length_before_a_value():
+    for gap in ("\t", " " * 9, " \t  is \t   ", "      =    "):
+        assert [k for _, k, _ in secrets.spans(f"password{gap}Xk9#mQ2$vLw8 ok")] == [3]
+    assert not secrets.spans("password" + " " * 20_000)
 
 
 def test_edge_cases(odd, empty):
