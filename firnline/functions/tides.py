@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MJD_1992 = 48622.0
@@ -82,6 +82,7 @@ def constituents(spark) -> DataFrame:
 
 def longitudes(mjd: Column, kind: str = "linear") -> dict[str, Column]:
     """Mean longitudes in degrees: moon s, sun h, lunar perigee p, lunar node n, solar perigee pp."""
+    # Coefficients of the polynomials in time.
     if kind == "linear":
         t = mjd - 51544.4993
         poly = {"s": (218.3164, 13.17639648), "h": (280.4661, 0.98564736), "p": (83.3535, 0.11140353), "n": (125.0445, -0.05295377)}
@@ -115,16 +116,28 @@ def argument(name: str, mjd: Column, lon: dict[str, Column]) -> Column:
     return m[0] * 15.0 * hour + m[1] * lon["s"] + m[2] * lon["h"] + m[3] * lon["p"] + m[4] * lon["pp"] + float(m[5])
 
 
+# Constituents that the lunar node leaves alone.
+STEADY = {
+    "otis": "sa ssa msf alpha1 tau1 pi1 p1 s1 psi1 phi1 theta1 m2a m2b lambda2 t2 s2 r2 s3 s4 s5 s6 s7 s8 z0".split(),
+    "got": "p1 s1 s2".split(),
+}
+
+
 def nodal(name: str, lon: dict[str, Column], kind: str) -> tuple[Column, Column]:
-    """Factor f and phase u (radians) of the lunar node; `kind` is "otis" or "got"."""
-    n = lon["n"] * _D
+    """Factor f and phase u (radians) of the lunar node; `kind` is "otis" or "got". Unknown names are an error."""
+    if name in STEADY[kind]:
+        return F.lit(1.0), F.lit(0.0)
+    n, p = lon["n"] * _D, lon["p"] * _D
+    # Coefficients of the node's and the perigee's angles.
     sin, cos, sin2, cos2, sin3 = F.sin(n), F.cos(n), F.sin(2 * n), F.cos(2 * n), F.sin(3 * n)
     one, zero = F.lit(1.0), F.lit(0.0)
     if kind == "got":
         m2 = (1.0 - 0.037 * cos, -2.1 * sin * _D)
         q1 = (1.009 + 0.187 * cos - 0.015 * cos2, (10.8 * sin - 1.3 * sin2) * _D)
         known = {"q1": q1, "o1": q1, "k1": (1.006 + 0.115 * cos - 0.009 * cos2, (-8.9 * sin + 0.7 * sin2) * _D), "n2": m2, "m2": m2, "k2": (1.024 + 0.286 * cos + 0.008 * cos2, (-17.7 * sin + 0.7 * sin2) * _D), "m4": (m2[0] * m2[0], -4.2 * sin * _D)}
-        return known.get(name, (one, zero))
+        if name not in known:
+            raise ValueError(f"no nodal correction of {name} in this kind of model")
+        return known[name]
 
     def vector(re: Column, im_f: Column, im_u: Column) -> tuple[Column, Column]:
         return F.sqrt(re * re + im_f * im_f), F.atan(im_u / re)
@@ -135,12 +148,20 @@ def nodal(name: str, lon: dict[str, Column], kind: str) -> tuple[Column, Column]
     q1 = (F.sqrt((1.0 + 0.188 * cos) ** 2 + (0.188 * sin) ** 2), F.atan(0.189 * sin / (1.0 + 0.189 * cos)))
     o1 = (F.sqrt((1.0 + 0.189 * cos - 0.0058 * cos2) ** 2 + (0.189 * sin - 0.0058 * sin2) ** 2), (10.8 * sin - 1.3 * sin2 + 0.2 * sin3) * _D)
     oo1 = vector(1.0 + 0.640 * cos + 0.134 * cos2, 0.640 * sin + 0.134 * sin2, -(0.640 * sin + 0.134 * sin2))
+    m1 = (1.36 * F.cos(p) + 0.267 * F.cos(p - n), 0.64 * F.sin(p) + 0.135 * F.sin(p - n))
+    l2 = (1.0 - 0.25 * F.cos(2 * p) - 0.11 * F.cos(2 * p - n) - 0.04 * cos, 0.25 * F.sin(2 * p) + 0.11 * F.sin(2 * p - n) + 0.04 * sin)
     known = {
         "m2": m2, "n2": m2, "2n2": m2, "mu2": m2, "nu2": m2, "2sm2": m2, "k1": k1, "k2": k2, "q1": q1, "rho1": q1, "2q1": q1, "sigma1": q1, "o1": o1, "oo1": oo1,
         "j1": vector(1.0 + 0.169 * cos, 0.227 * sin, -0.227 * sin), "mf": (1.043 + 0.414 * cos, (-23.7 * sin + 2.7 * sin2 - 0.4 * sin3) * _D), "mm": (1.0 - 0.130 * cos, zero),
+        "mt": vector(1.0 + 0.203 * cos + 0.040 * cos2, 0.203 * sin + 0.040 * sin2, -(0.203 * sin + 0.040 * sin2)),
+        "chi1": vector(1.0 + 0.221 * cos, 0.221 * sin, -0.221 * sin), "eta2": vector(1.0 + 0.436 * cos, 0.436 * sin, -0.436 * sin),
+        "m1": (F.hypot(m1[0], m1[1]), F.atan2(m1[1], m1[0])), "l2": vector(l2[0], l2[1], -l2[1]),
+        "mns2": (m2[0] ** 2, 2 * m2[1]), "mk4": (m2[0] * k2[0], m2[1] + k2[1]), "m3": (one, 1.5 * m2[1]), "m8": (m2[0] ** 4, 4 * m2[1]), "2mk3": (m2[0] ** 2 * k1[0], 2 * m2[1] - k1[1]),
         "m4": (m2[0] ** 2, 2 * m2[1]), "mn4": (m2[0] ** 2, 2 * m2[1]), "ms4": (m2[0] ** 2, m2[1]), "m6": (m2[0] ** 3, 3 * m2[1]), "mk3": (m2[0] * k1[0], m2[1] + k1[1]),
     }
-    return known.get(name, (one, zero))
+    if name not in known:
+        raise ValueError(f"no nodal correction of {name}")
+    return known[name]
 
 
 def predicted(days: Column, names: list[str], re: dict[str, Column], im: dict[str, Column], kind: str = "otis", delta_t: Column | float = 0.0) -> Column:
@@ -186,8 +207,16 @@ def minor_terms(days: Column, re: dict[str, Column], im: dict[str, Column], give
 
 
 def delta_time(df: DataFrame, table: DataFrame, t: str, name: str = "delta_t") -> DataFrame:
-    """`df` with TT - UT1 interpolated from a table (t, delta), constant outside."""
-    from firnline.operators.spatial import as_of
+    """`df` with TT - UT1 interpolated from a table (t, delta), constant outside; the table's times differ.
 
-    q = as_of(df.withColumn("\x01all", F.lit(0)), table.select(F.lit(0).alias("\x01all"), F.col("t").alias(t), "delta"), ["\x01all"], t, "delta", name)
-    return q.drop("\x01all", "delta") if "delta" not in df.columns else q.drop("\x01all")
+    The rows of `df` stay where they lie: each looks up the stretch of the table that it falls into.
+    """
+    from firnline.operators.spatial import interval_lookup
+
+    ends = table.agg(F.min_by("delta", "t").alias("first"), F.max_by("delta", "t").alias("last"), F.min("t").alias("start")).first()
+    by_time = Window.orderBy("t")  # over the table alone, a row for each time of it
+    parts = table.select(F.col("t").alias("\x01t"), F.col("delta").alias("\x01d"), F.lead("t").over(by_time).alias("\x01u"), F.lead("delta").over(by_time).alias("\x01e")).where(F.col("\x01u").isNotNull())
+    q = interval_lookup(df, parts, t, "\x01t", "\x01u")
+    inside = F.col("\x01d") + (F.col("\x01e") - F.col("\x01d")) * (F.col(t) - F.col("\x01t")) / (F.col("\x01u") - F.col("\x01t"))
+    outside = F.when(F.col(t) < ends["start"], F.lit(ends["first"])).when(F.col(t) >= ends["start"], F.lit(ends["last"])) if ends["start"] is not None else F.lit(None).cast("double")
+    return q.withColumn(name, F.coalesce(inside, outside)).drop("\x01t", "\x01d", "\x01u", "\x01e")

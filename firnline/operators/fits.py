@@ -210,16 +210,18 @@ def scattering_correction(df: DataFrame, cell: str, pid: str, t: str, h: str, pa
     """Per point: the height change explained by waveform parameters in its cell, 0 where that is no help.
 
     Centred, normalised parameters are regressed on detrended heights; a fit that makes the spread larger
-    by more than `worst` is not used. Columns pid, h_bs, r2, d_std and the coefficients b_<param>.
+    by more than `worst` is not used. Columns pid, h_bs, r2, d_std and the coefficients b_<param>. Points
+    with a missing height or parameter take no part in the fit and have a NULL h_bs.
     """
 
     def fit(k, g):
         import numpy as np
 
-        g = g.dropna().sort_values([t, pid])
+        lack = g[g[[t, h, *params]].isna().any(axis=1)]
+        g = g.drop(lack.index).sort_values([t, pid])
         n = len(g)
         if n < least:
-            return [(p, 0.0, 0.0, 0.0, *[0.0] * len(params)) for p in g[pid]]
+            return [(p, x, 0.0, 0.0, *[0.0] * len(params)) for q, x in ((g, 0.0), (lack, None)) for p in q[pid]]
         tt, hh = g[t].to_numpy(float), g[h].to_numpy(float)
         line = np.column_stack([np.ones(n), tt - tt.mean()])
         flat = hh - line @ np.linalg.lstsq(line, hh, rcond=None)[0]
@@ -236,7 +238,7 @@ def scattering_correction(df: DataFrame, cell: str, pid: str, t: str, h: str, pa
             c, cor, after = c * 0, cor * 0, before
         total = ((flat[good] - flat[good].mean()) ** 2).sum()
         r2 = 1 - ((flat[good] - cor[good]) ** 2).sum() / total if total > 0 else 0.0
-        return [(p, x, r2, after - before, *c) for p, x in zip(g[pid], cor)]
+        return [(p, x, r2, after - before, *c) for p, x in [*zip(g[pid], cor), *((p, None) for p in lack[pid])]]
 
     kind = df.schema[pid].dataType.simpleString()
     return by_group(df.select(cell, pid, t, h, *params), cell, fit, f"{pid} {kind}, h_bs double, r2 double, d_std double, " + ", ".join(f"b_{p} double" for p in params))

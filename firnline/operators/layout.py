@@ -16,7 +16,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once into the shared checkpoint folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="firnline-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="firnline-"))
     return df.checkpoint()
 
 
@@ -30,6 +33,13 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "\x01part").select(*df.columns, (F.col("\x01before") + F.col("\x01at") + 1).alias(name))
 
 
+def median_of_all(df: DataFrame, value: str) -> float | None:
+    """The exact median of a whole column, from places in ranges of values; the driver gets one number."""
+    values = ranked(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")), [F.col("v")], "place")
+    n = values.count()
+    return values.where(F.col("place").between((n + 1) // 2, n // 2 + 1)).agg(F.avg("v")).first()[0] if n else None
+
+
 def union_by_name(tables: list[DataFrame], names: list[str] | None = None) -> DataFrame:
     """All rows of all tables, numbers as doubles; the columns of the first table, or those named."""
     names = names or tables[0].columns

@@ -45,12 +45,13 @@ def radius_join(left: DataFrame, right: DataFrame, r: float, x: str = "x", y: st
     return candidates(left, right, r, 1, x, y).where(F.col("d2") <= r * r)
 
 
-def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, key: str, tie: str, rings: int = 1, max_rounds: int = 30, x: str = "x", y: str = "y", sectors: int = 0, exclude_self: bool = False) -> DataFrame:
+def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, key: str, tie: str, rings: int = 1, x: str = "x", y: str = "y", sectors: int = 0, exclude_self: bool = False) -> DataFrame:
     """The k nearest rows of `right` for each row of `left` (for each sector, if asked for), exactly.
 
     Rounds look at ever more rings of cells; a row is settled when its k-th neighbour is no farther than
     what the rings cover for certain. Rows of `left` are told apart by `key`, equal distances settled by
-    `tie`. Rows that never find k neighbours get what there is once the rings cover all points.
+    `tie`. Rows that never find k neighbours get what there is once the rings cover all points; as cells double
+    in each round, that is after some rounds at most. Rows without a place have no neighbours.
     """
     from .filters import sector as sector_of
     from .layout import cut
@@ -60,7 +61,7 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, key: str, t
         return candidates(left.limit(0), right, size, 1, x, y).withColumn("place", F.lit(1))
     part = [f"l_{key}"] + (["sector"] if sectors else [])
     open_, out = left, None
-    for step in range(max_rounds):
+    while True:
         found = candidates(open_, right, size, rings, x, y)
         if exclude_self:
             found = found.where(F.col(f"l_{key}") != F.col(f"r_{key}"))
@@ -78,11 +79,10 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, key: str, t
         settled = cut(nearest.where(F.col("\x01enough") | F.col("\x01all")).drop("\x01enough", "\x01all"))
         out = settled if out is None else out.unionByName(settled)
         whole = reduce(lambda a, b: a & b, [_cell(F.col(c), size) - rings <= int(lo // size) for c, lo in ((x, bounds[0]), (y, bounds[2]))] + [_cell(F.col(c), size) + rings >= int(hi // size) for c, hi in ((x, bounds[1]), (y, bounds[3]))])
-        open_ = cut(open_.join(settled.select(F.col(f"l_{key}").alias(key)).distinct(), key, "left_anti").where(~whole & F.col(x).isNotNull() & F.col(y).isNotNull()))
+        open_ = cut(open_.join(settled.select(F.col(f"l_{key}").alias(key)).distinct(), key, "left_anti").where(~whole & F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)))
         if open_.isEmpty():
             return out
         size = size * 2
-    return out
 
 
 def nearest_within(ref: DataFrame, obs: DataFrame, d: float, key: str, tie: str, t: str | None = None, span: float | None = None, clip: bool = True, x: str = "x", y: str = "y") -> DataFrame:
@@ -101,16 +101,25 @@ def nearest_within(ref: DataFrame, obs: DataFrame, d: float, key: str, tie: str,
 
 
 def interval_lookup(df: DataFrame, intervals: DataFrame, t: str, begin: str, end: str) -> DataFrame:
-    """`df` left-joined to the half-open interval that holds `t`.
+    """`df` left-joined to the half-open intervals that hold `t`.
 
-    A small interval table (its size is looked at) is broadcast; a larger one is cut into the days, or
-    whatever whole numbers `t` has, that it covers, and joined on those.
+    An equi-join on cells of `t`: as wide as the span of all intervals divided by their number, so that the
+    intervals lie in few cells each (in two on average if they don't overlap). The smaller side is broadcast
+    if it is small in all.
     """
-    within = (F.col(t) >= F.col(begin)) & (F.col(t) < F.col(end))
-    if intervals.count() <= SMALL:
-        return df.join(F.broadcast(intervals), within, "left")
-    spread = intervals.withColumn("\x01k", F.explode(F.sequence(F.floor(begin), F.floor(end))))
-    return df.withColumn("\x01k", F.floor(t)).join(spread.withColumnRenamed("\x01k", "\x01m"), (F.col("\x01k") == F.col("\x01m")) & within, "left").drop("\x01k", "\x01m")
+    reach = F.col(end).cast("double") - F.col(begin).cast("double")
+    intervals = intervals.where(reach > 0)
+    lo, hi, n, total = intervals.agg(F.min(begin).cast("double"), F.max(end).cast("double"), F.count("*"), F.sum(reach)).first()
+    lo, width = (lo, (hi - lo) / n) if n else (0.0, 1.0)
+
+    def cell(c: str) -> Column:
+        return F.floor((F.col(c).cast("double") - lo) / width)
+
+    spread = intervals.withColumn("\x01m", F.explode(F.sequence(cell(begin), cell(end))))
+    if not n or 2 * n + total / width <= SMALL:
+        spread = F.broadcast(spread)
+    within = (F.col("\x01k") == F.col("\x01m")) & (F.col(t) >= F.col(begin)) & (F.col(t) < F.col(end))
+    return df.withColumn("\x01k", cell(t)).join(spread, within, "left").drop("\x01k", "\x01m")
 
 
 def overlapping_boxes(a: DataFrame, b: DataFrame, sides: tuple[str, str, str, str], size: float) -> DataFrame:

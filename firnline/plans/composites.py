@@ -42,13 +42,13 @@ def prj13c(spark, sf):
 with f as (select *, h - (regr_intercept(h, t_year - 1998) over () + regr_slope(h, t_year - 1998) over () * (t_year - 1998)) as r from {points}), m as (select *, median(r) over () as md from f), s as (select *, 1.4826e0 * median(abs(r - md)) over () as sd from m)
 select mission, count(*) filter (where abs(r - md) <= 1.5e0 * sd) as kept, count(*) as n from s group by mission""")
 def out12(spark, sf):
-    """One line and one spread for the whole table, from aggregates that go to every row."""
+    """One line and one spread for the whole table; medians by ranges of values, not in one task."""
     p = points(spark, sf).withColumn("t", F.col("t_year") - 1998)
-    line = p.agg(F.regr_slope("h", "t").alias("b"), F.regr_intercept("h", "t").alias("a"))
-    q = p.join(F.broadcast(line)).withColumn("r", F.col("h") - F.col("a") - F.col("b") * F.col("t"))
-    q = q.join(F.broadcast(q.agg(F.median("r").alias("md"))))
-    q = q.join(F.broadcast(q.agg((robust.MAD_SCALE * F.median(F.abs(F.col("r") - F.col("md")))).alias("sd"))))
-    return q.groupBy("mission").agg(F.count_if(F.abs(F.col("r") - F.col("md")) <= 1.5 * F.col("sd")).alias("kept"), F.count("*").alias("n"))
+    b, a = p.agg(F.regr_slope("h", "t"), F.regr_intercept("h", "t")).first()
+    q = layout.cut(p.select("mission", (F.col("h") - F.lit(a) - F.lit(b) * F.col("t")).alias("r")))
+    off = q.withColumn("off", F.abs(F.col("r") - F.lit(layout.median_of_all(q, "r"))))
+    most = F.lit(layout.median_of_all(off, "off")) * robust.MAD_SCALE * 1.5
+    return off.groupBy("mission").agg(F.count_if(F.col("off") <= most).alias("kept"), F.count("*").alias("n"))
 
 
 @query("out20_mission_filter", """
@@ -239,9 +239,9 @@ def tid9(spark, sf):
 
 @query("src2_ascii_columns", "select part, part * 1.5e0 as a, (-part)::double as b from (select p_partkey as part from part)")
 def src2(spark, sf):
-    lines = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.format_string("  %s  %s,%s", F.col("p_partkey"), F.col("p_partkey") * 1.5, -F.col("p_partkey")).alias("value"))
-    parts = F.split(F.trim("value"), r"[\s,;]+")
-    return lines.select("part", F.get(parts, F.lit(1)).cast("double").alias("a"), F.get(parts, F.lit(2)).cast("double").alias("b"))
+    k = F.col("p_partkey")
+    lines = table(spark, sf, "part").select(F.explode(F.array(F.lit("# part, a and b"), F.format_string("  %s  %s,%s", k, k * 1.5, -k), F.lit(" "))).alias("value"))
+    return readers.parsed_columns(lines, ["part", "a", "b"]).withColumn("part", F.col("part").cast("long"))
 
 
 @query("src5_ascii_grid", "select r_regionkey as region, j, i, 10.0e0 + i as x, j::double as y, ((1 - j) * 3 + i + r_regionkey)::double as z from region, (select unnest(range(0, 3))::int as i), (select unnest(range(0, 2))::int as j)")

@@ -15,7 +15,12 @@ from pyspark.sql import functions as F
 
 def ascii_columns(spark: SparkSession, path: str, names: list[str] | None = None, columns: list[int] | None = None, comment: str = "#") -> DataFrame:
     """White-space or comma separated numbers: named columns, or one array column `data` without names."""
-    lines = spark.read.text(path).where(~F.trim("value").startswith(comment) & (F.trim("value") != ""))
+    return parsed_columns(spark.read.text(path), names, columns, comment)
+
+
+def parsed_columns(lines: DataFrame, names: list[str] | None = None, columns: list[int] | None = None, comment: str = "#") -> DataFrame:
+    """The same of lines (value) that have been read already."""
+    lines = lines.where(~F.trim("value").startswith(comment) & (F.trim("value") != ""))
     parts = F.split(F.trim("value"), r"[\s,;]+")
     if names is None:
         return lines.select(F.transform(parts, lambda x: x.try_cast("double")).alias("data"))
