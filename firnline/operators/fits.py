@@ -268,6 +268,16 @@ def cross_calibrate(df: DataFrame, cell: str, t: str, mission: str, value: str)
     return by_group(df.select(cell, t, mission, value), cell, fit, f"{cell} {kinds[0]}, {mission} {kinds[1]}, offset double")
 
 
+def fused(df: DataFrame, cell: str, t: str, mission: str, value: str, name: str = "fused") -> DataFrame:
+    """`df` with the values of all missions on one level: less the offset of their mission in their cell.
+
+    NULL where a cell has too few values for offsets, or the value is missing.
+    """
+    offsets = cross_calibrate(df, cell, t, mission, value).select(F.col(cell).alias("\x01c"), F.col(mission).alias("\x01m"), F.col("offset").alias("\x01o"))
+    q = df.join(offsets, F.col(cell).eqNullSafe(F.col("\x01c")) & F.col(mission).eqNullSafe(F.col("\x01m")), "left")
+    return q.withColumn(name, F.col(value) - F.col("\x01o")).drop("\x01c", "\x01m", "\x01o")
+
+
 # OUT-5, OUT-6
 def sigma_filter(df: DataFrame, key: str, pid: str, t: str, value: str, order: int = 1, rounds: int = 3, n_sigma: float = 3.0, window: float = 0.25, by_bins: bool = False) -> DataFrame:
     """(pid, value): NULL where a value is beyond n MADs of a polynomial fitted to binned medians, or of

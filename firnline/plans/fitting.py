@@ -68,6 +68,12 @@ def fit7(spark, sf):
     return _r(q, ["pid"], ["h_bs", "r2", "d_std", "b_bs", "b_lew", "b_tes"], 5)
 
 
+@query("fit8_fused_series")
+def fit8(spark, sf):
+    q = fits.fused(points(spark, sf), "y", "t_year", "mission", "h")
+    return _r(q, ["orbit", "line", "y", "mission"], ["fused"], 5)
+
+
 @query("fit9_cross_calibration")
 def fit9(spark, sf):
     return _r(fits.cross_calibrate(points(spark, sf), "y", "t_year", "mission", "h"), ["y", "mission"], ["offset"], 5)
