@@ -14,7 +14,8 @@ Equal texts are one node, so a text that a third of all rows repeat makes no lin
 Edge cases: words are separated by space and characters 9 to 13, A-Z lower-cased; a text of fewer words
 than a shingle is one shingle; null, empty and blank texts are near copies of each other; a null id is
 larger than all others; rows that repeat id and text are one document; texts whose 64-bit hashes collide
-count as equal.
+count as equal. Many different texts that all agree on a band are compared in pairs of parts, each of a
+bounded size, in different tasks: exact, and quadratic in the number of such texts.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ ROWS, BANDS = 2, 6
 RADIUS = 20
 #: Least hashes in a sketch, one byte each; a likeness of 0.8 is read to within 0.035 (standard deviation).
 SKETCH, MARGIN = 128, 0.1
-#: Documents that go are sent to all executors up to this many; beyond, texts are shuffled.
-BROADCAST_GONE = 500_000
+#: Documents that go, and texts whose sets are compared, are sent to all executors up to so many; beyond, texts are shuffled.
+BROADCAST_GONE, BROADCAST_NODES = 500_000, 1_000_000
 
 
 def _factors():
@@ -111,7 +112,8 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float)
     """(a, b, near): which links are near copies, by their whole shingle sets. `texts`: (node, text)."""
     import pyarrow as pa
 
-    asked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -143,14 +145,15 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float)
 
 def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, tile_rows: int = 8192, task_rows: int = 100_000) -> DataFrame:
     """(node, root) of all nodes that have near copies. `nodes`: (node, print, bands, sketch), cut; `texts`: (node, text)."""
-    keyed = nodes.select(F.col("node").alias("name"), "print", "sketch", F.posexplode("bands").alias("choice", "bits"))
-    # a tile of one row has no pair
-    n = nodes.count()
-    crowded = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits")
-    keyed = cut(keyed.join(crowded, ["choice", "bits"]))
-    round_, seen = keyed, None
+    thin = nodes.select(F.col("node").alias("name"), F.posexplode("bands").alias("choice", "bits"))
+    # a tile of one row has no pair; the others' rows get what is compared only then
+    crowded = thin.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits")
+    met = cut(thin.join(crowded, ["choice", "bits"]).select("name", "choice", "bits"))
+    n = met.count()
+    print_ = cut(nodes.join(met.select(F.col("name").alias("node")).distinct(), "node").select(F.col("node").alias("name"), "print", "sketch"))
+    round_, seen = met.join(print_, "name"), None
     while True:
-        links = tiled(round_, radius, tile_rows, task_rows, n * BANDS).groupBy("task").applyInPandas(lambda pdf: _candidates(pdf, radius, similarity), "a long, b long")
+        links = tiled(round_, radius, tile_rows, task_rows, n, by_count=False).groupBy("task").applyInPandas(lambda pdf: _candidates(pdf, radius, similarity), "a long, b long")
         links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if links.isEmpty():
             break
@@ -161,9 +164,9 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
             break
         # again, only the tiles in which a pair fell short, with what is known
         short = short.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        tiles = keyed.join(short, "name", "left_semi").select("choice", "bits").distinct()
+        tiles = met.join(short, "name", "left_semi").select("choice", "bits").distinct()
         known = seen.groupBy(F.col("a").alias("name")).agg(F.collect_list(F.when(F.col("near"), F.col("b"))).alias("near"), F.collect_list(F.when(~F.col("near"), F.col("b"))).alias("short"))
-        round_ = cut(keyed.join(tiles, ["choice", "bits"], "left_semi").join(known, "name", "left"))
+        round_ = cut(met.join(tiles, ["choice", "bits"], "left_semi").join(print_, "name").join(known, "name", "left"))
     if seen is None:
         return nodes.select("node", F.col("node").alias("root")).limit(0)
     return components(seen.where("near"))

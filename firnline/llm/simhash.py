@@ -31,6 +31,8 @@ from .graph import components
 BITS = 64
 #: Fingerprints with at least this part of all rows (1 / HEAVY) are joined by broadcast.
 HEAVY = 1000
+#: Tiles that are dealt out are sent to all executors up to this many; beyond, they are joined by shuffle.
+BROADCAST_TILES = 500_000
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -170,21 +172,24 @@ def skipped(group, pop, a: int, ea: int, b: int, radius: int) -> bool:
     return bool(group[b] == group[ea - 1] == group[a] and pop[b] - pop[ea - 1] > radius)
 
 
-def tiled(keyed: DataFrame, radius: int, tile_rows: int, task_rows: int, n: int) -> DataFrame:
+def tiled(keyed: DataFrame, radius: int, tile_rows: int, task_rows: int, n: int, by_count: bool = True) -> DataFrame:
     """`keyed` (print, choice, bits, ...; `n` rows) with a column `task`; rows that share a tile are in one task.
 
-    A tile is what agrees in choice and bits. Larger ones than `tile_rows` are dealt to parts by population
-    count and a hash; each pair of parts within the radius is a tile.
+    A tile is what agrees in choice and bits. Larger ones than `tile_rows` are dealt to parts, and each pair of
+    parts is a tile: parts by population count and a hash, paired up to the radius, or (for a radius that most
+    counts lie within) by a hash alone.
     """
     tasks = max(1, math.ceil(n / task_rows))
     hot = cut(keyed.groupBy("choice", "bits").count().where(F.col("count") > tile_rows))
     tiles = keyed.withColumn("part", F.lit(0).cast("long"))
-    if not hot.isEmpty():
-        known = keyed.join(hot, ["choice", "bits"], "left")
+    if many := hot.count():
+        known = keyed.join(F.broadcast(hot) if many <= BROADCAST_TILES else hot, ["choice", "bits"], "left")
         tiles = known.where("count is null").drop("count").withColumn("part", F.lit(0).cast("long"))
-        parts, pop = F.ceil(F.col("count") / tile_rows), F.bit_count("print")
-        mine = pop * 65536 + F.pmod(F.xxhash64("print"), parts)
-        others = F.flatten(F.transform(F.sequence(pop - radius, pop + radius), lambda p: F.transform(F.sequence(F.lit(0), parts - 1), lambda s: p * 65536 + s)))
+        pop = F.bit_count("print") if by_count else F.lit(0)
+        parts = F.ceil(F.col("count") / tile_rows) if by_count else F.ceil(2 * F.col("count") / tile_rows)
+        mine = pop * 65536 + F.pmod(F.xxhash64("name"), parts)
+        counts = F.sequence(pop - radius, pop + radius) if by_count else F.array(pop)
+        others = F.flatten(F.transform(counts, lambda p: F.transform(F.sequence(F.lit(0), parts - 1), lambda s: p * 65536 + s)))
         pair = F.transform(others, lambda o: F.xxhash64(F.least(o, mine), F.greatest(o, mine)))
         tiles = tiles.unionByName(known.where("count is not null").withColumn("part", F.explode(pair)).drop("count"))
     return tiles.withColumn("task", F.pmod(F.xxhash64("choice", "bits", "part"), F.lit(tasks)))
