@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Entries that a worker keeps of words and of pairs before it starts afresh.
-CACHE_WORDS = 300_000
-CACHE_PAIRS = 400_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 250_000
 #: Characters at the end of a word that may be the rest behind a known word.
 REST = 6
 
