@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,8 +67,11 @@ def measured(text: str) -> tuple[int, ...]:
             if seen[w] > 1:
                 repeated += k + 3 - max(k, upto)
                 upto = k + 3
-    letters = sum(map(str.isalpha, text)) if not text.isascii() else len(raw) - len(raw.translate(None, _ASCII_LETTERS))
-    upper = sum(map(str.isupper, text)) if not text.isascii() else len(raw) - len(raw.translate(None, _ASCII_UPPER))
+    if text.isascii():
+        letters, upper = (len(raw) - len(raw.translate(None, x)) for x in (_ASCII_LETTERS, _ASCII_UPPER))
+    else:  # by Unicode category: letters, and upper-case letters among them
+        of = [(category(c), k) for c, k in Counter(text).items()]
+        letters, upper = sum(k for c, k in of if c[0] == "L"), sum(k for c, k in of if c == "Lu")
     return n, chars, len(raw) - len(raw.translate(None, _SYMBOLS)), sum(lines.values()) - len(lines), repeated, sum(lines.values()), upper, letters
 
 
@@ -81,6 +85,8 @@ def ledger(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
 
     source = docs.select(*keep, text_of(text_col).alias("\x01text"))
     schema = source.drop("\x01text").schema
+    if clash := {k.lower() for k in keep} & {*MEASURES, "failed"}:
+        raise ValueError(f"columns to keep have the names of results: {sorted(clash)}")
     for m in MEASURES:
         schema = schema.add(m, "long")
 

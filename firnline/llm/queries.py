@@ -28,7 +28,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.ledger(documents(spark, sf_dir))
     base, kept = quality.kept_by(quality.BASE), quality.kept_by(quality.PROSE)
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & kept).alias("kept"), "failed")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (~base).alias("base_failed"), (base & kept).alias("kept"), "failed", "n_lines", "n_upper", "n_letters")
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ TOXIC = 0.7
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents whose labels no model may learn from."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model | None:
@@ -129,7 +129,8 @@ bits as (
   select *, (n_words < 50)::bigint + 2 * (100 * n_repeat_words > 50 * n_words)::bigint + 4 * (100 * n_symbols > 20 * n_words)::bigint
          + 8 * (100 * n_dup_lines > 50 * n_lines)::bigint + 16 * (word_chars < 2 * n_words or word_chars > 20 * n_words)::bigint
          + 32 * (100 * n_upper > 50 * n_letters)::bigint as failed from found)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed from bits
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 as base_failed, failed = 0 as kept, failed,
+  n_lines::bigint as n_lines, n_upper::bigint as n_upper, n_letters::bigint as n_letters from bits
 """
 
 

@@ -33,3 +33,16 @@ def test_repeats_symbols_and_policies(spark):
 
 def test_empty_table(empty):
     assert quality.ledger(empty).count() == 0
+
+
+def test_letters_are_those_of_unicode():
+    """Upper-case letters and letters by category, as the SQL twin counts them."""
+    assert quality.measured("Ⅷ a")[6:] == (0, 1)
+    assert quality.measured("É漢ß 😀 x² Ǆǅ")[6:] == (2, 6)
+
+
+def test_names_that_clash_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        quality.ledger(spark.createDataFrame([(1, "x")], "n_words long, text string"), keep=("n_words",))
