@@ -26,13 +26,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries that a worker keeps of words and of pairs before it starts afresh.
+#: Words in each of a cache's two generations, and pairs that a worker keeps before it starts afresh.
 CACHE_WORDS = 150_000
-CACHE_PAIRS = 250_000
+CACHE_PAIRS = 500_000
 #: Characters at the end of a word that may be the rest behind a known word.
 REST = 6
 
 
+class Words:
+    """Ids of words in two generations: a full young one becomes the old one, and words that are met again move back."""
+
+    __slots__ = ("young", "old")
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def put(self, word: str, ids: bytes) -> None:
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[word] = ids
+
+
 class PieceCodec:
     """Encoder and decoder of one byte-fallback BPE model file."""
 
@@ -81,8 +96,7 @@ class PieceCodec:
             self.number_of[i] = self.number(piece)
         self.spines: dict[str, tuple[list[str], list[str]] | None] = {}
         self.pairs: dict[int, bool] = {}
-        self.spaced: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
+        self.spaced, self.bare = Words(), Words()
 
     def merged(self, text: str) -> list[str]:
         """The encoding by definition: merge the best-scored neighbours, leftmost of equals, till none fit."""
@@ -181,15 +195,13 @@ class PieceCodec:
         found = self.pairs[before << 32 | token] = self.compatible(self.tokens[before], self.tokens[token])
         return found
 
-    def _known_and_rest(self, cache: dict[str, bytes], word: str) -> bytes | None:
+    def _known_and_rest(self, cache: Words, word: str) -> bytes | None:
         """The ids of a word that begins with one in `cache`, if the rest's ids may follow that one's."""
-        number_of, bare = self.number_of, self.bare
+        number_of, young, old, rests = self.number_of, cache.young, cache.old, self.bare.young
         for k in range(len(word) - 1, max(1, len(word) - REST) - 1, -1):
-            one = cache.get(word[:k])
+            one = young.get(word[:k]) or old.get(word[:k])
             if one:
-                two = bare.get(word[k:])
-                if two is None:
-                    two = self._word(bare, "", word[k:])
+                two = rests.get(word[k:]) or self._word(self.bare, "", word[k:])
                 before, token = number_of[int.from_bytes(one[-4:], "little")], number_of[int.from_bytes(two[:4], "little")]
                 if before is not None and token is not None:
                     fits = self.pairs.get(before << 32 | token)
@@ -197,14 +209,14 @@ class PieceCodec:
                         return one + two
         return None
 
-    def _word(self, cache: dict[str, bytes], lead: str, word: str) -> bytes:
-        got = cache.get(word)
+    def _word(self, cache: Words, lead: str, word: str) -> bytes:
+        got = cache.young.get(word)
         if got is None:
-            got = (self._known_and_rest(cache, word) if len(word) > 2 else None) or self._ids(lead + word)
+            got = cache.old.get(word)
+            if got is None:
+                got = (self._known_and_rest(cache, word) if len(word) > 2 else None) or self._ids(lead + word)
             if len(word) <= 64:
-                if len(cache) >= CACHE_WORDS:
-                    cache.clear()
-                cache[word] = got
+                cache.put(word, got)
         return got
 
     def encode(self, text: str) -> bytes:
@@ -236,7 +248,7 @@ class PieceCodec:
             if k == 0 and not words[0]:  # an empty first line still has the leading space
                 out.append(self._word(spaced, SPACE, ""))
             words = words[1:] if k or not words[0] else words
-            found = list(map(spaced.get, words))
+            found = list(map(spaced.young.get, words))
             if None in found:
                 found = [self._word(spaced, SPACE, word) if got is None else got for word, got in zip(words, found)]
             out += found
