@@ -143,7 +143,7 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float)
     return cut(both.select("a", "b", "one", "two").mapInArrow(compared, "a long, b long, near boolean"))
 
 
-def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, tile_rows: int = 8192, task_rows: int = 100_000) -> DataFrame:
+def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, tile_rows: int = 8192, task_rows: int = 20_000) -> DataFrame:
     """(node, root) of all nodes that have near copies. `nodes`: (node, print, bands, sketch), cut; `texts`: (node, text)."""
     thin = nodes.select(F.col("node").alias("name"), F.posexplode("bands").alias("choice", "bits"))
     # a tile of one row has no pair; the others' rows get what is compared only then

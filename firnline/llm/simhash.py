@@ -125,9 +125,8 @@ def forest(pdf, radius: int, alike=None, united=(), block: int = 256, others: in
     keys = np.stack([pdf[c].to_numpy()[order] for c in ("choice", "bits", "part")], axis=1)
     group = np.concatenate([[0], np.cumsum((keys[1:] != keys[:-1]).any(axis=1))])
     n, root = len(prints), np.arange(len(prints))
-    at = np.argsort(order)
-    for x, y in united:
-        root[root == max(root[at[x]], root[at[y]])] = min(root[at[x]], root[at[y]])
+    for k, r in _joined([(a, b) for a, b in np.argsort(order)[np.array(list(united), int).reshape(-1, 2)].tolist()]).items():
+        root[k] = r
     found: list = []
     for a in range(0, n, block):
         ea = min(a + block, n)
@@ -167,6 +166,22 @@ def forest(pdf, radius: int, alike=None, united=(), block: int = 256, others: in
     return pd.DataFrame({"a": name[i], "b": name[j]}).drop_duplicates()
 
 
+def _joined(pairs: list[tuple[int, int]]) -> dict[int, int]:
+    """For each number in the pairs the smallest one that they connect it with."""
+    up: dict[int, int] = {}
+
+    def top(k: int) -> int:
+        while up.setdefault(k, k) != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        up[b] = a
+    return {k: top(k) for k in up}
+
+
 def skipped(group, pop, a: int, ea: int, b: int, radius: int) -> bool:
     """Whether blocks a:ea and b: of one tile, in order of population count, are too far apart to be compared."""
     return bool(group[b] == group[ea - 1] == group[a] and pop[b] - pop[ea - 1] > radius)
