@@ -113,7 +113,8 @@ def forest(pdf, radius: int, alike=None, united=(), block: int = 256, others: in
     Rows of a tile agree in choice, bits and part. `united`: pairs of places in `pdf` that are linked already.
     Of the pairs that would join two groups, the one with the fewest different bits is taken. `alike(i, j)`
     says for places in `pdf`, all within the radius, how sure a link of two rows is: below 0 there is none,
-    below 1 some other pairs of these rows are taken as well, should this one fall short.
+    below 1 up to `others` more pairs of a row are taken as well, should this one fall short. Then the surest
+    pairs are taken first.
     """
     import numpy as np
     import pandas as pd
@@ -143,6 +144,7 @@ def forest(pdf, radius: int, alike=None, united=(), block: int = 256, others: in
             i, j = i + a, j + b
             if alike is not None and len(i):
                 sure = alike(order[i], order[j])
+                bits = -sure
                 open_ = np.nonzero((sure >= 0) & (sure < 1))[0]
                 by = open_[np.lexsort((bits[open_], i[open_]))]
                 new = np.concatenate([[True], i[by][1:] != i[by][:-1]])[: len(by)]
