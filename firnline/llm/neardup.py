@@ -36,7 +36,8 @@ ROWS, BANDS = 2, 6
 RADIUS = 20
 #: Least hashes in a sketch, one byte each; a likeness of 0.8 is read to within 0.035 (standard deviation).
 SKETCH, MARGIN = 128, 0.1
-#: Pairs of a row that are verified at once where sketches leave it open, and how many times more in each further round.
+#: Pairs of a row that are verified at once in the second round where sketches leave it open (in the first only those
+#: that join groups are), and how many times more in each further round.
 OTHERS, MORE = 8, 4
 #: Documents that go, and texts whose sets are compared, are sent to all executors up to so many; beyond, texts are shuffled.
 BROADCAST_GONE, BROADCAST_NODES = 500_000, 1_000_000
@@ -153,7 +154,7 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     met = cut(thin.join(crowded, ["choice", "bits"]).select("name", "choice", "bits"))
     n = met.count()
     print_ = cut(nodes.join(met.select(F.col("name").alias("node")).distinct(), "node").select(F.col("node").alias("name"), "print", "sketch"))
-    round_, seen, others = met.join(print_, "name"), None, OTHERS
+    round_, seen, others = met.join(print_, "name"), None, 0
     while True:
         links = tiled(round_, radius, tile_rows, task_rows, n, by_count=False).groupBy("task").applyInPandas(lambda pdf: _candidates(pdf, radius, similarity, others), "a long, b long")
         links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -165,7 +166,7 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
         if short.isEmpty():
             break
         # again, only the tiles in which a pair fell short, with what is known, and more pairs at once
-        others *= MORE
+        others = others * MORE or OTHERS
         short = short.select(F.explode(F.array("a", "b")).alias("name")).distinct()
         tiles = met.join(short, "name", "left_semi").select("choice", "bits").distinct()
         known = seen.groupBy(F.col("a").alias("name")).agg(F.collect_list(F.when(F.col("near"), F.col("b"))).alias("near"), F.collect_list(F.when(~F.col("near"), F.col("b"))).alias("short"))
