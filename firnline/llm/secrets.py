@@ -24,7 +24,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -121,9 +121,22 @@ class Ranks:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", max_words: int = 50_000) -> list[str]:
-    """The words of three to 24 letters a to z that stand most often in all texts, ties by alphabet."""
+    """The words of three to 24 letters a to z that stand most often in all texts, the most frequent first.
+
+    Those that stand at least twice and at least so often that they are `max_words` at most; the driver gets
+    them and one number for each count that occurs.
+    """
     words = docs.select(F.explode(F.regexp_extract_all(F.lower(text_of(text_col)), F.lit("[a-z]+"), F.lit(0))).alias("word")).where(F.length("word").between(3, 24))
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(max_words).collect()]
+    words = cut(words.groupBy("word").count().where("count > 1"))
+    least, before = None, 0
+    for count, kinds in sorted(words.groupBy("count").agg(F.count("*")).collect(), reverse=True):
+        before += kinds
+        if before > max_words:
+            break
+        least = count
+    if least is None:
+        return []
+    return [w for _, w in sorted((-r["count"], r["word"]) for r in words.where(F.col("count") >= least).collect())]
 
 
 def _starts(first: int, end: int, least: int) -> list[int]:

@@ -83,7 +83,9 @@ def test_words_of_the_table_are_guessable(spark):
     words = ["correct", "horse", "battery", "staple"]
     df = spark.createDataFrame([(1, "the password is correcthorsebatteryZ9 ok"), (2, " ".join(words * 30)), (3, None)], "doc_id long, text string")
     assert set(words) <= set(secrets.frequent_words(df))
-    assert secrets.frequent_words(df, max_words=2) == ["battery", "correct"]
+    more = spark.createDataFrame([(4, "horse battery horse once"), (5, "horse")], "doc_id long, text string")
+    assert secrets.frequent_words(df.union(more), max_words=2) == ["horse", "battery"]  # the others are two more
+    assert secrets.frequent_words(df.union(more), max_words=3) == ["horse", "battery"] and secrets.frequent_words(df.limit(0)) == []
     value = "correcthorsebatteryZ9"
     assert secrets.guess_cost(value, secrets.Ranks(words)) < 13 < secrets.guess_cost(value)
     a, b = (next(r.n_guess for r in secrets.scan(df, min_cost=15, max_words=n).collect() if r.doc_id == 1) for n in (100, 0))
