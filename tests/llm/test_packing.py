@@ -43,3 +43,17 @@ def test_rows_hold_every_document_whole(spark, odd):
 
 def test_empty_table(empty):
     assert packing.pack(empty, MODEL).count() == 0
+
+
+def test_sizes_that_do_not_fit_are_refused(empty):
+    import pytest
+
+    for options in ({"length": 0}, {"length": 70_000}, {"pad": -1}):
+        with pytest.raises(ValueError):
+            packing.pack(empty, MODEL, **options)
+
+
+def test_ids_may_be_strings(spark):
+    df = spark.createDataFrame([("a", "some words"), (None, "more of them")], "doc_id string, text string")
+    [row] = packing.pack(df.coalesce(1), MODEL, length=64).collect()
+    assert sorted(row.doc_ids, key=str) == [None, "a"]
