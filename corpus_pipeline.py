@@ -1,9 +1,10 @@
 """The corpus pipeline: documents in, encoded training text out. Each stage applies one operator.
 
 Every stage but the last returns the columns of documents. Toxic documents go; boilerplate lines that
-stand on many sites are taken out of the texts, but for their first copy; of documents that share four fifths
-of their five-word shingles the one with the smallest id stays; the mix repeats or leaves out documents so that the sources meet their
-target weights; the rest is encoded. Empty tables pass through; nulls are as the operators define them.
+stand on many sites are taken out of the texts, but for their first copy; of documents that share four
+fifths of their five-word shingles the one with the smallest id stays; the mix repeats or leaves out
+documents so that the sources meet their target weights; the rest is encoded. Empty tables pass through;
+nulls are as the operators define them.
 """
 
 from __future__ import annotations
