@@ -8,10 +8,12 @@ Groups with fewer values than a fit needs have no row in the result.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks
 from .spatial import radius_join
 
 
@@ -143,64 +145,241 @@ def robust_line(df: DataFrame, key: str, t: str, value: str, key_type: str = "lo
 
 
 # FIT-3
-def elevation_change(nodes: DataFrame, points: DataFrame, node: str, t: str, h: str, r: float, least: int = 25, min_span: float = 0.0, n_sigma: float = 3.5, max_rate: float = 15.0, surface: int = 1, season: bool = True, t_ref: float | None = None) -> DataFrame:
-    """Per node: rate, acceleration, amplitude and phase of the year, misfit, counts and span.
+@dataclass(frozen=True)
+class SurfaceModel:
+    """What `elevation_change` fits: a surface of order `surface`, a trend of order `trend`, a year's cycle, `params`
+    (centred on their medians) and a step for each of `missions` (values of the column `mission`; one that has the node
+    for itself gets no step). Observations weigh 1 / `sigma` squared, less by distance and time over the two scales.
+    """
+
+    surface: int = 1
+    trend: int = 2
+    season: bool = True
+    params: tuple[str, ...] = ()
+    mission: str | None = None
+    missions: tuple[float, ...] = ()
+    sigma: str | None = None
+    space_scale: float | None = None
+    time_scale: float | None = None
+
+    def columns(self) -> list[str]:
+        return [*self.params, *([self.mission] if self.mission else []), *([self.sigma] if self.sigma else [])]
+
+    def design(self, t, x, y, values, there):
+        """Stack of design matrices and root weights; x and y in search radii from the centre."""
+        import warnings
+
+        import numpy as np
+
+        values = list(values)
+        cols, factor = [np.ones_like(t)], 1.0
+        for k in range(1, self.trend + 1):
+            factor *= k
+            cols.append(t**k / factor)
+        if self.season:
+            cols += [np.cos(2 * np.pi * t), np.sin(2 * np.pi * t)]
+        self_time = len(cols)
+        if self.surface >= 1:
+            cols += [x, y]
+        if self.surface >= 2:
+            cols += [x * y, x * x, y * y]
+        for _ in self.params:
+            v = np.where(there, values.pop(0), np.nan)
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore", RuntimeWarning)
+                cols.append(v - np.nanmedian(v, axis=1)[:, None])
+        if self.mission:
+            m = values.pop(0)
+            first = np.take_along_axis(m, there.argmax(axis=1)[:, None], axis=1)
+            several = (there & (m != first)).any(axis=1)[:, None]
+            cols += [((m == k) & several).astype(float) for k in self.missions]
+        weight = 1.0 / values.pop(0) ** 2 if self.sigma else np.ones_like(t)
+        return np.stack(cols, axis=2), self_time, weight
+
+
+def _surface_fits(nodes, points, node, t, h, r, model, edit, keep, schema, block):
+    """`keep(solved)` of every stack of nodes; see `elevation_change` for what is fitted."""
+    least, min_span, n_sigma, max_rate, t_ref, relocations, months, limit = edit
+
+    def work(b):
+        import numpy as np
 
-    A surface with trend and season is fitted to the points within r; nodes with too few points, too
-    short a span or too large a rate have no row. Amplitude is that of the cosine and sine terms.
+        nx, ny = b["nodes"]
+        px, py, pt, ph, *pv = b["points"]
+        ok = np.isfinite(pt) & np.isfinite(ph) & np.isfinite(np.stack([px, *pv])).all(axis=0)
+        place = np.flatnonzero(ok)
+        px, py, pt, ph, pv = px[ok], py[ok], pt[ok], ph[ok], [v[ok] for v in pv]
+        at, point, cx, cy = blocks.neighbours(nx, ny, px, py, pt, r, relocations, months)
+        count = np.bincount(at, minlength=len(nx))
+        start = np.cumsum(count) - count
+        enough = np.flatnonzero(count >= max(least, 1))
+        k = 1 + model.trend + 2 * model.season + (0, 2, 5)[model.surface] + len(model.params) + len(model.missions)
+        for some in blocks.stacks(count[enough], k):
+            i = enough[some]
+            where, there = blocks.padded(start[i], count[i], int(count[i].max()))
+            p = point[where]
+            tt = pt[p]
+            low, high = np.where(there, tt, np.inf).min(axis=1), np.where(there, tt, -np.inf).max(axis=1)
+            ref = np.where(there, tt, 0.0).sum(axis=1) / count[i] if t_ref is None else np.full(len(i), float(t_ref))
+            dx, dy, dt = px[p] - cx[i][:, None], py[p] - cy[i][:, None], tt - ref[:, None]
+            a, n_time, weight = model.design(dt, dx / max(r, 1e-12), dy / max(r, 1e-12), [v[p] for v in pv], there)
+            dist = np.hypot(dx, dy)
+            if model.space_scale:
+                weight = weight * np.exp(-dist / model.space_scale)
+            if model.time_scale:
+                weight = weight * np.exp(-np.abs(dt) / model.time_scale)
+            value = ph[p]
+            c, e, good = blocks.lstsq(a, value, there, np.sqrt(weight), 5, n_sigma, limit)
+            fine = (high - low >= min_span) & ~(np.abs(c[:, 1]) > max_rate) & np.isfinite(c[:, 0])
+            if t_ref is not None and model.trend:
+                fine &= (low <= t_ref) & (high >= t_ref)
+            if not fine.any():
+                continue
+            solved = {"i": i, "p": place[p], "there": there, "t": tt, "dt": dt, "dist": dist, "a": a, "c": c, "e": e, "good": good, "resid": value - np.einsum("bnk,bk->bn", a, c), "value": value, "weight": weight, "n_time": n_time, "x": cx[i], "y": cy[i], "span": high - low, "ref": ref}
+            yield from keep({name: v[fine] if name != "n_time" else v for name, v in solved.items()}, b)
+
+    halo = r * (2 if relocations else 1)
+    return blocks.mapped(nodes, points, node, [t, h, *model.columns()], block or blocks.BLOCK * r, halo, work, schema)
+
+
+def elevation_change(nodes: DataFrame, points: DataFrame, node: str, t: str, h: str, r: float, least: int = 25, min_span: float = 0.0, n_sigma: float | None = 3.5, max_rate: float = 15.0, surface: int = 1, season: bool = True, t_ref: float | None = None, *, model: SurfaceModel | None = None, relocations: int = 0, months: int | None = None, limit: float | None = None, block: float | None = None) -> DataFrame:
+    """Per node: place, height, rate, acceleration and their errors, the year's amplitude and phase, misfit and more.
+
+    A surface with trend and season (or `model`) is fitted to the points within r of the node, or of the median
+    of its points after `relocations` (see `blocks.neighbours`). Points beyond `n_sigma` MADs or `limit` leave
+    the fit. Nodes with too few points, too short a span, too large a rate, or all points on one side of a
+    given `t_ref` have no row. Amplitude is that of the cosine and sine terms. `offsets` are the steps of
+    `model.missions`. Points with a missing value take no part. The points within `block` (a multiple of r) of
+    each other meet in one task.
     """
-    q = radius_join(nodes, points, r).select(F.col(f"l_{node}").alias("node"), F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col(f"r_{t}").alias("t"), F.col(f"r_{h}").alias("h"))
+    model = model or SurfaceModel(surface=surface, season=season)
+    kind = nodes.schema[node].dataType.simpleString()
+    names = ["x", "y", "p0", "p1", "p2", "p0_error", "p1_error", "p2_error", "amplitude", "phase", "rmse", "dmin", "tspan"]
 
-    def fit(k, g):
+    def keep(s, b):
         import numpy as np
+        import pyarrow as pa
+
+        c, e = s["c"], s["e"]
+        zero = np.zeros(len(c))
+        term = lambda v, k: v[:, k] if model.trend >= k else zero
+        cos, sin = (c[:, s["n_time"] - 2], c[:, s["n_time"] - 1]) if model.season else (zero, zero)
+        rmse = blocks.masked_mad(s["resid"], s["good"])
+        dmin = np.where(s["there"], s["dist"], np.inf).min(axis=1)
+        out = [s["x"], s["y"], c[:, 0], term(c, 1), term(c, 2), e[:, 0], term(e, 1), term(e, 2), np.hypot(cos, sin), np.degrees(np.arctan2(cos, sin)) % 360, rmse, dmin, s["span"]]
+        steps = c[:, c.shape[1] - len(model.missions) :] if model.missions else np.zeros((len(c), 0))
+        yield pa.record_batch([b["node"].take(pa.array(s["i"])), *map(pa.array, out), pa.array(s["good"].sum(axis=1)), pa.array(steps.tolist(), pa.list_(pa.float64()))], names=["node", *names, "nobs", "offsets"])
+
+    schema = f"node {kind}, {', '.join(f'{c} double' for c in names)}, nobs long, offsets array<double>"
+    return _surface_fits(nodes, points, node, t, h, r, model, (least, min_span, n_sigma, max_rate, t_ref, relocations, months, limit), keep, schema, block)
 
-        g = g.dropna().sort_values(["t", "x", "y", "h"])
-        tt = g["t"].to_numpy()
-        if len(g) < least or tt.max() - tt.min() < min_span:
-            return []
-        ref = tt.mean() if t_ref is None else t_ref
-        x, y = g["x"].to_numpy() - g["x0"].to_numpy(), g["y"].to_numpy() - g["y0"].to_numpy()
-        scale = max(r, 1e-12)
-        a = surface_design(tt - ref, x / scale, y / scale, trend=2, surface=surface, season=season)
-        c, e, good = lstsq(a, g["h"].to_numpy(), 5, n_sigma)
-        if abs(c[1]) > max_rate:
-            return []
-        resid = g["h"].to_numpy() - a @ c
-        cos, sin = (c[-2], c[-1]) if season else (0.0, 0.0)
-        amp = float(np.hypot(cos, sin))
-        return [(k, c[0], c[1], c[2], e[0], e[1], e[2], amp, float(np.degrees(np.arctan2(cos, sin)) % 360), mad(resid[good]), int(good.sum()), float(tt.max() - tt.min()))]
 
+def elevation_series(nodes: DataFrame, points: DataFrame, node: str, t: str, h: str, r: float, t0: float, step: float, window: float, n_bins: int, least: int = 25, min_span: float = 0.0, n_sigma: float | None = 3.5, max_rate: float = 15.0, t_ref: float | None = None, *, model: SurfaceModel | None = None, relocations: int = 0, months: int | None = None, limit: float | None = None, block: float | None = None) -> DataFrame:
+    """(node, k, time, height, variance, n): the height change of each node of `elevation_change` in time bins.
+
+    A point's height change is its residual with the trend and season of the fit put back; residuals beyond
+    `n_sigma` MADs are left out. Bin k is centred on t0 + (k + 1/2) step and `window` wide, its edges
+    closed; its height is the weighted mean after an edit by 3.5 MADs, as in `bins.resampled`. Empty bins have no row.
+    """
+    model = model or SurfaceModel()
     kind = nodes.schema[node].dataType.simpleString()
-    return by_group(q, "node", fit, f"node {kind}, p0 double, p1 double, p2 double, p0_error double, p1_error double, p2_error double, amplitude double, phase double, rmse double, nobs long, tspan double")
+
+    def keep(s, b):
+        import numpy as np
+        import pyarrow as pa
+
+        inside = s["there"] & (np.abs(s["resid"]) <= (n_sigma or np.inf) * blocks.masked_mad(s["resid"], s["there"])[:, None])
+        time_part = np.einsum("bnk,bk->bn", s["a"][:, :, 1 : s["n_time"]], s["c"][:, 1 : s["n_time"]])
+        row, col = np.nonzero(inside)
+        tt, hh, w = s["t"][row, col], (s["resid"] + time_part)[row, col], s["weight"][row, col]
+        first = np.floor((tt - window / 2 - t0) / step - 0.5).astype(np.int64) - 1
+        reach = int(np.ceil(window / step)) + 4
+        k = (first[:, None] + np.arange(reach)).ravel()
+        row, tt, hh, w = (np.repeat(v, reach) for v in (row, tt, hh, w))
+        centre = t0 + (k + 0.5) * step
+        ok = (k >= 0) & (k < n_bins) & (tt >= centre - window / 2) & (tt <= centre + window / 2)
+        row, k, hh, w = row[ok], k[ok], hh[ok], w[ok]
+        cells, group = np.unique(row * n_bins + k, return_inverse=True)
+        mid = blocks.medians(group, hh, len(cells))
+        spread = 1.4826 * blocks.medians(group, np.abs(hh - mid[group]), len(cells))
+        ok = np.abs(hh - mid[group]) <= 3.5 * spread[group]
+        group, hh, w = group[ok], hh[ok], w[ok]
+        total = np.bincount(group, w, len(cells))
+        n = np.bincount(group, minlength=len(cells))
+        some = n > 0
+        mean = np.bincount(group, w * hh, len(cells))[some] / total[some]
+        full = np.zeros(len(cells))
+        full[some] = mean
+        var = np.bincount(group, w * (hh - full[group]) ** 2, len(cells))[some] / total[some]
+        at, kk = cells[some] // n_bins, cells[some] % n_bins
+        yield pa.record_batch([b["node"].take(pa.array(s["i"][at])), pa.array(kk), pa.array(t0 + (kk + 0.5) * step), pa.array(mean), pa.array(var), pa.array(n[some])], names=["node", "k", "time", "height", "variance", "n"])
+
+    schema = f"node {kind}, k long, time double, height double, variance double, n long"
+    return _surface_fits(nodes, points, node, t, h, r, model, (least, min_span, n_sigma, max_rate, t_ref, relocations, months, limit), keep, schema, block)
 
 
 # FIT-5
-def topography_residuals(nodes: DataFrame, points: DataFrame, node: str, pid: str, t: str, h: str, r: float, least: int = 20, quad_from: int = 50, n_sigma: float = 3.5) -> DataFrame:
+def topography_residuals(nodes: DataFrame, points: DataFrame, node: str, pid: str, t: str, h: str, r: float, least: int = 20, quad_from: int = 50, n_sigma: float | None = 3.5, *, t_ref: float | None = None, min_span: float = 0.0, relocations: int = 0, months: int | None = None, mission: str | None = None, scale: float | None = None, limit: float | None = None, block: float | None = None) -> DataFrame:
     """Per point: residual of its best node's surface (smallest misfit, of equals the first node).
 
+    A surface with a trend about `t_ref` (the mean time of the node's points without one) is fitted around each
+    node; of second order from more than `quad_from` points on. `mission` is a column that shifts heights
+    linearly, `scale` weighs points by 1 / (1 + (distance / scale)^2), `limit` drops residuals and nodes beyond it.
     Columns pid, res (height less all terms but the trend), mod, err, order, t_ref, slope_x, slope_y, node.
+    Points that no node's fit keeps have no row.
     """
-    q = radius_join(nodes, points, r).select(F.col(f"l_{node}").alias("node"), F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col(f"r_{pid}").alias("pid"), F.col(f"r_{t}").alias("t"), F.col(f"r_{h}").alias("h"))
+    kinds = points.schema[pid].dataType.simpleString(), nodes.schema[node].dataType.simpleString()
 
-    def fit(k, g):
+    def work(b):
         import numpy as np
-
-        g = g.dropna().sort_values(["t", "pid"])
-        if len(g) < least:
-            return []
-        tt, hh = g["t"].to_numpy(), g["h"].to_numpy()
-        x, y = (g["x"] - g["x0"]).to_numpy() / r, (g["y"] - g["y0"]).to_numpy() / r
-        order = 2 if len(g) > quad_from else 1
-        ref = float(tt.mean())
-        a = surface_design(tt - ref, x, y, trend=1, surface=order)
-        c, _, good = lstsq(a, hh, 5, n_sigma)
-        resid = hh - a @ c
-        rmse = mad(resid[good])
-        model = a @ c - a[:, 1] * c[1]
-        return [(p, res, mod, rmse, order, ref, c[2] / r, c[3] / r, k) for p, res, mod, ok in zip(g["pid"], hh - model, model, good) if ok]
-
-    kinds = points.schema[pid].dataType.simpleString(), nodes.schema[node].dataType.simpleString()
-    solutions = by_group(q, "node", fit, f"pid {kinds[0]}, res double, mod double, err double, order int, t_ref double, slope_x double, slope_y double, node {kinds[1]}")
+        import pyarrow as pa
+
+        nx, ny = b["nodes"]
+        px, py, pt, ph, *pv = b["points"]
+        ok = np.isfinite(np.stack([px, pt, ph, *pv])).all(axis=0) & b["pid"].is_valid().to_numpy(zero_copy_only=False)
+        place = np.flatnonzero(ok)
+        px, py, pt, ph, pv = px[ok], py[ok], pt[ok], ph[ok], [v[ok] for v in pv]
+        at, point, cx, cy = blocks.neighbours(nx, ny, px, py, pt, r, relocations, months)
+        count = np.bincount(at, minlength=len(nx))
+        start = np.cumsum(count) - count
+        found = []
+        for order in (1, 2):
+            enough = np.flatnonzero((count >= max(least, 1)) & ((count > quad_from) == (order == 2)))
+            for some in blocks.stacks(count[enough], 7 + bool(mission)):
+                i = enough[some]
+                where, there = blocks.padded(start[i], count[i], int(count[i].max()))
+                p = point[where]
+                tt = pt[p]
+                low, high = np.where(there, tt, np.inf).min(axis=1), np.where(there, tt, -np.inf).max(axis=1)
+                ref = np.where(there, tt, 0.0).sum(axis=1) / count[i] if t_ref is None else np.full(len(i), float(t_ref))
+                dx, dy = px[p] - cx[i][:, None], py[p] - cy[i][:, None]
+                x, y, one = dx / r, dy / r, np.ones_like(tt)
+                cols = [one, tt - ref[:, None], x, y, *([x * y, x * x, y * y] if order == 2 else []), *(v[p] for v in pv)]
+                a = np.stack(cols, axis=2)
+                root = None if scale is None else np.sqrt(1 / (1 + (dx * dx + dy * dy) / scale**2))
+                c, _, good = blocks.lstsq(a, ph[p], there, root, 5, n_sigma)
+                fit = np.einsum("bnk,bk->bn", a, c)
+                mod = fit - a[:, :, 1] * c[:, 1:2]
+                err = blocks.masked_mad(ph[p] - fit, good)
+                fine = high - low >= min_span
+                if t_ref is not None:
+                    fine &= (low < t_ref) & (high > t_ref)
+                if limit is not None:
+                    good = good & (np.abs(ph[p] - fit) <= limit)
+                    fine &= err <= limit
+                row, col = np.nonzero(good & fine[:, None])
+                found.append((p[row, col], i[row], (ph[p] - mod)[row, col], mod[row, col], err[row], np.full(len(row), order), ref[row], c[row, 2] / r, c[row, 3] / r))
+        if not found:
+            return
+        point, i, res, mod, err, order, ref, sx, sy = (np.concatenate(v) for v in zip(*found))
+        sort = np.lexsort((i, err, point))
+        best = sort[np.flatnonzero(np.diff(point[sort], prepend=-1))]
+        out = [b["pid"].take(pa.array(place[point[best]])), *(pa.array(v[best]) for v in (res, mod, err)), pa.array(order[best].astype(np.int32)), *(pa.array(v[best]) for v in (ref, sx, sy)), b["node"].take(pa.array(i[best]))]
+        yield pa.record_batch(out, names=["pid", "res", "mod", "err", "order", "t_ref", "slope_x", "slope_y", "node"])
+
+    schema = f"pid {kinds[0]}, res double, mod double, err double, order int, t_ref double, slope_x double, slope_y double, node {kinds[1]}"
+    columns = [t, h, *([mission] if mission else [])]
+    solutions = blocks.mapped(nodes, points, node, columns, block or blocks.BLOCK * r, r * (2 if relocations else 1), work, schema, pid)
     best = solutions.groupBy("pid").agg(F.min_by(F.struct("res", "mod", "err", "order", "t_ref", "slope_x", "slope_y", "node"), F.struct("err", "node")).alias("b"))
     return best.select("pid", "b.*")
 

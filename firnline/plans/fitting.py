@@ -50,6 +50,15 @@ def fit3(spark, sf):
     return _r(q, ["node", "nobs"], ["p0", "p1", "p2", "amplitude", "phase", "rmse", "tspan"])
 
 
+@query("fit3_elevation_series")
+def fit3_series(spark, sf):
+    """Monthly height changes of half-yearly windows about each node, its centre moved to its points."""
+    p = points(spark, sf)
+    model = fits.SurfaceModel(surface=2, sigma="s", space_scale=2500.0)
+    q = fits.elevation_series(_nodes(spark, p, FIT_STEP), p, "node", "t_year", "h", 4000.0, 1992.0, 1 / 12, 0.5, 84, relocations=2, model=model)
+    return _r(q, ["node", "k", "n"], ["time", "height", "variance"], 5)
+
+
 @query("fit4_robust_line")
 def fit4(spark, sf):
     return _r(fits.robust_line(tracks(spark, sf).withColumn("d", (F.col("t") - 1704067200) / 86400), "orbit", "d", "h"), ["orbit", "n"], ["slope", "level"])
