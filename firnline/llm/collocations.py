@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +34,9 @@ SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Bits of the map of frequent shorter parts: 8 MB.
 BITS = 1 << 26
 #: n-grams and words that a task holds before it emits them.
-HELD, HELD_WORDS = 4_000_000, 1_000_000
+HELD, HELD_WORDS = 2_500_000, 400_000
 #: Texts are read in slices of about so many bytes; rows are emitted so many at a time.
-SLICE, EMITTED = 8 << 20, 50_000
+SLICE, EMITTED = 1 << 21, 20_000
 SALTS = 64
 
 ROWS = "lang string, words int, phrase string, times long"
@@ -79,16 +80,19 @@ class _Counts:
         self.clear()
 
     def clear(self) -> None:
-        self.words, self.hashes, self.held = _Words(), np.zeros(0, np.uint64), 0
+        self.words, self.hashes, self.held, self.per = _Words(), np.zeros(0, np.uint64), 0, 3
         self.found: dict[int, list[tuple[np.ndarray, ...]]] = {n: [] for n in self.sizes}
 
     def add(self, texts: list[bytes]) -> None:
         tokens = b" . ".join(texts).translate(_FOLD).replace(b".", b" . ").split(b" ")
         at = self.words
         w = np.fromiter(map(at.__getitem__, filter(None, tokens)), np.int64)
+        del tokens
+        if self.per == 3 and len(at) >= 1 << 21:  # more words than 21 bits can tell apart
+            self.found = {n: [(*_pack(_unpack(f[:-1], n, 3), 2), f[-1]) for f in found] for n, found in self.found.items()}
+            self.per = 2
         if self.bitmap is not None and len(at) > len(self.hashes):
-            new = _hashes(list(at)[len(self.hashes) :])
-            self.hashes = np.concatenate([self.hashes, new])
+            self.hashes = np.concatenate([self.hashes, _hashes(list(islice(at, len(self.hashes), None)))])
         for n in self.sizes:
             parts = [w[k : len(w) - n + 1 + k] for k in range(n)] if len(w) >= n else [w[:0]] * n
             ok = reduce(np.logical_and, [p > 0 for p in parts])
@@ -96,10 +100,9 @@ class _Counts:
             if self.bitmap is not None and len(parts[0]):
                 h = [self.hashes[p] for p in parts]
                 ok = _set(self.bitmap, _bit(h[:-1], self.lang))
-                parts, h = [p[ok] for p in parts], [x[ok] for x in h]
-                ok = _set(self.bitmap, _bit(h[1:], self.lang))
+                ok[ok] = _set(self.bitmap, _bit([x[ok] for x in h[1:]], self.lang))
                 parts = [p[ok] for p in parts]
-            self.found[n].append(_summed(parts, np.ones(len(parts[0]), np.int64)))
+            self.found[n].append(_summed(_pack(parts, self.per), np.ones(len(parts[0]), np.int64)))
             self.held += len(self.found[n][-1][0])
 
     def full(self) -> bool:
@@ -110,26 +113,38 @@ class _Counts:
         for n, found in self.found.items():
             if not found:
                 continue
-            *parts, times = _summed([np.concatenate([f[k] for f in found]) for k in range(n)], np.concatenate([f[n] for f in found]))
+            *keys, times = _summed([np.concatenate(f) for f in list(zip(*found))[:-1]], np.concatenate([f[-1] for f in found]))
+            found.clear()
             for s in range(0, len(times), EMITTED):
-                here = [words.take(pa.array(p[s : s + EMITTED])) for p in parts]
+                here = [words.take(pa.array(p)) for p in _unpack([k[s : s + EMITTED] for k in keys], n, self.per)]
                 phrase = pc.binary_join_element_wise(*here, " ") if n > 1 else here[0]
                 yield pa.record_batch([pa.array([self.lang] * len(phrase), pa.string()), pa.array([n] * len(phrase), pa.int32()), phrase, pa.array(times[s : s + EMITTED])], names=["lang", "words", "phrase", "times"])
         self.clear()
 
 
-def _summed(parts: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Equal n-grams once, with the sum of their times. Two or three words are sorted as one whole number."""
+def _pack(parts: list[np.ndarray], per: int) -> list[np.ndarray]:
+    """The words of n-grams as whole numbers, `per` words in each."""
+    return [reduce(lambda a, b: (a << 63 // per) | b, parts[k : k + per]) for k in range(0, len(parts), per)]
+
+
+def _unpack(keys, n: int, per: int) -> list[np.ndarray]:
+    bits, out = 63 // per, []
+    for k, key in enumerate(keys):
+        size = min(per, n - k * per)
+        out += [(key >> bits * (size - 1 - i)) & ((1 << bits) - 1) for i in range(size)]
+    return out
+
+
+def _summed(keys: list[np.ndarray], times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Equal n-grams once, with the sum of their times."""
     if not len(times):
-        return *parts, times
-    per = 3 if max(p.max() for p in parts) < 1 << 21 else 2
-    groups = [parts[k : k + per] for k in range(0, len(parts), per)]
-    keys = [reduce(lambda a, b: (a << 63 // per) | b, g) for g in groups]
+        return *keys, times
     order = np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys)
+    keys = [k[order] for k in keys]
     new = np.ones(len(order), bool)
-    new[1:] = reduce(np.logical_or, [np.diff(k[order]) != 0 for k in keys])
+    new[1:] = reduce(np.logical_or, [k[1:] != k[:-1] for k in keys])
     first = np.flatnonzero(new)
-    return *(p[order][first] for p in parts), np.add.reduceat(times[order], first)
+    return *(k[first] for k in keys), np.add.reduceat(times[order], first)
 
 
 def _ngrams(docs: DataFrame, sizes: tuple[int, ...], bitmap=None) -> DataFrame:
