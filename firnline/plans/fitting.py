@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from firnline.operators import fits, interpolation
+from firnline.operators import crosscal, fits, interpolation
 
 from .registry import cloud, points, query, series, tracks
 
@@ -88,6 +88,24 @@ def fit9(spark, sf):
     return _r(fits.cross_calibrate(points(spark, sf), "y", "t_year", "mission", "h"), ["y", "mission"], ["offset"], 5)
 
 
+def _epochs(spark, sf):
+    """Heights by cell, month and mission; the missions are three times as many, of shorter lives."""
+    p = points(spark, sf)
+    k = F.floor((F.col("t_year") - 1992.0) * 12.0)
+    return p.withColumns({"k": k, "mission": F.concat("mission", (F.floor(k / 24) % 3).cast("string"))})
+
+
+@query("fit9_chained_biases")
+def fit9_chained(spark, sf):
+    q = crosscal.monthly(_epochs(spark, sf), "y", "k", "mission", "h")
+    return _r(crosscal.chained_biases(q, "y", "k", "mission", "h"), ["y", "mission", "parent", "common"], ["bias"], 5)
+
+
+@query("fit9_chained_series")
+def fit9_series(spark, sf):
+    return _r(crosscal.chained_series(_epochs(spark, sf), "y", "k", "mission", "h", reference=36), ["y", "k", "missions"], ["h"], 5)
+
+
 @query("fit10_covariance_model")
 def fit10(spark, sf):
     from firnline.operators import bins, spatial
