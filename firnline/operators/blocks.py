@@ -18,6 +18,63 @@ from pyspark.sql import functions as F
 STACK = 2_000_000
 #: Side of a block in search radii.
 BLOCK = 24
+#: Rows of one batch of small groups' results.
+GATHERED = 10_000
+
+
+def runs(batches: Iterator, keys: int) -> Iterator:
+    """Consecutive rows with equal values in the first `keys` columns, as lists of record batches."""
+    import numpy as np
+
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for k in range(keys):
+            codes = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            change |= np.diff(codes) != 0
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(edges, edges[1:]):
+            value = tuple(batch.column(k)[lo].as_py() for k in range(keys))
+            if held and value != now:
+                yield held
+                held = []
+            now = value
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held
+
+
+def by_runs(df: DataFrame, keys: list[str], columns: list[str], order: list[str], work: Callable, schema: str) -> DataFrame:
+    """`work(key, arrays)` for each value of `keys`: arrays of `columns`, in the given order, null as None or NaN.
+
+    A partition's groups are read one after another from sorted Arrow batches, without a frame for each
+    group. `work` gives a tuple of columns of `schema`, or None. Memory is one group's.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    rows = df.select(*keys, *columns).repartition(*keys).sortWithinPartitions(*keys, *order)
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        waiting, n = [], 0
+        for parts in runs(batches, len(keys)):
+            t = pa.Table.from_batches(parts)
+            found = work(tuple(parts[0].column(k)[0].as_py() for k in range(len(keys))), [t.column(len(keys) + k).to_numpy() for k in range(len(columns))])
+            if found is None:
+                continue
+            waiting.append(pa.record_batch([v if isinstance(v, pa.Array) else pa.array(v, f.type) for v, f in zip(found, arrow)], schema=arrow))
+            n += waiting[-1].num_rows
+            if n >= GATHERED:
+                yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+                waiting, n = [], 0
+        if n:
+            yield pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    return rows.mapInArrow(run, schema)
 
 
 def mapped(nodes: DataFrame, points: DataFrame, node: str, columns: list[str], block: float, halo: float, work: Callable, schema: str, pid: str | None = None) -> DataFrame:
@@ -51,20 +108,8 @@ def mapped(nodes: DataFrame, points: DataFrame, node: str, columns: list[str], b
             n, p = t.slice(0, split), t.slice(split)
             yield from work({"nodes": (get("x", n), get("y", n)), "points": [get("x", p), get("y", p), *(get(f"v{k}", p) for k in range(len(columns)))], "node": n["id"].combine_chunks(), "pid": p["pid"].combine_chunks()})
 
-        held, now = [], None
-        for batch in batches:
-            bx, by = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            edges = [0, *(np.flatnonzero((np.diff(bx) != 0) | (np.diff(by) != 0)) + 1).tolist(), len(bx)]
-            for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                if now is not None and now != (bx[lo], by[lo]):
-                    yield from done(held)
-                    held = []
-                now = (bx[lo], by[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from done(held)
+        for parts in runs(batches, 2):
+            yield from done(parts)
 
     return rows.mapInArrow(run, schema)
 

@@ -2,57 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def by_runs(df: DataFrame, key: str, columns: list[str], order: list[str], work: Callable, schema: str) -> DataFrame:
-    """`work(key, arrays)` for each value of `key`: arrays of `columns`, null as None or NaN, in the given order.
-
-    A partition's groups are read one after another from sorted Arrow batches, without a frame for each
-    group. `work` gives tuples of `schema`. Memory is one group's.
-    """
-    rows = df.select(key, *columns).repartition(key).sortWithinPartitions(key, *order)
-    names = [f.split()[0] for f in schema.split(", ")]
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        def done(parts: list) -> list[tuple]:
-            t = pa.Table.from_batches(parts)
-            arrays = [t.column(k + 1).to_numpy() for k in range(len(columns))]
-            return list(work(parts[0].column(0)[0].as_py(), arrays))
-
-        held, now, out = [], None, []
-        for batch in batches:
-            k = batch.column(0)
-            codes = k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
-            for lo, hi in zip(edges, edges[1:]):
-                if lo == hi:
-                    continue
-                value = k[lo].as_py()
-                if held and value != now:
-                    out += done(held)
-                    held = []
-                now = value
-                held.append(batch.slice(lo, hi - lo))
-            if len(out) >= 5000:
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
-                out = []
-        if held:
-            out += done(held)
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], schema=arrow)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
-    return rows.mapInArrow(run, schema)
-
+from .blocks import by_runs
 
 def overlap_tree(series: dict) -> list[tuple]:
     """(mission, parent, bias, common) of every mission of `series` ({mission: (epochs, values)}), the root first.
@@ -119,6 +72,7 @@ def chained_biases(df: DataFrame, cell: str, k: str, mission: str, value: str, w
     def work(c, arrays):
         import numpy as np
 
+        (c,) = c
         missions, epochs, values = arrays
         series = {}
         for m in dict.fromkeys(missions.tolist()):
@@ -128,10 +82,10 @@ def chained_biases(df: DataFrame, cell: str, k: str, mission: str, value: str, w
                 half = window // 2
                 padded = np.concatenate([[v[0]] * half, v, [v[-1]] * half])
                 series[m] = (epochs[at], np.convolve(padded, weights[::-1], "valid"))
-        return [(c, m, parent, bias, common) for m, parent, bias, common in overlap_tree(series)]
+        return tuple(zip(*((c, *found) for found in overlap_tree(series)))) or None
 
     kinds = df.schema[cell].dataType.simpleString(), df.schema[mission].dataType.simpleString()
-    return by_runs(df, cell, [mission, k, value], [mission, k], work, f"{cell} {kinds[0]}, {mission} {kinds[1]}, parent {kinds[1]}, bias double, common long")
+    return by_runs(df, [cell], [mission, k, value], [mission, k], work, f"{cell} {kinds[0]}, {mission} {kinds[1]}, parent {kinds[1]}, bias double, common long")
 
 
 def chained_series(df: DataFrame, cell: str, k: str, mission: str, value: str, reference: int | None = None, window: int = 5, least: int = 5) -> DataFrame:

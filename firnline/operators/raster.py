@@ -1,8 +1,8 @@
 """Rasters and cubes in long form: cells (i, j) or (i, j, k) with values.
 
 A sample at a point is an equi-join on the cells around it: 2 a dimension for linear interpolation, one
-for nearest. Stencils (filters, gradients) are equi-joins of a cell with its neighbours through an array
-of offsets, so a raster of any size is spread over executors.
+for nearest. Stencils (filters, gradients) work on blocks of cells with halos (`gridblocks`), so a raster of
+any size is spread over executors and shuffled about once.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import gridblocks
+
 
 def _place(c: str, lo: float, step: float, n: int) -> Column:
     return F.least(F.greatest((F.col(c) - lo) / step, F.lit(0.0)), F.lit(float(n - 1)))
@@ -60,68 +62,66 @@ def fill_from(a: DataFrame, b: DataFrame, value: str, where: Column) -> DataFram
     return q.withColumn(value, F.coalesce(F.col(value), F.when(where, F.col("\x01b")))).drop("\x01b")
 
 
-def stencil(df: DataFrame, offsets: list[tuple[int, int]], value: str, extra: list[str] = ()) -> DataFrame:
-    """For each cell and offset (di, dj) the neighbour's value: columns i, j, di, dj, v, and `extra` keys."""
-    shifts = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in offsets])
-    spread = df.select(*extra, "i", "j", F.col(value).alias("v"), F.explode(shifts).alias("\x01o"))
-    return spread.select(*extra, (F.col("i") - F.col("\x01o.di")).alias("i"), (F.col("j") - F.col("\x01o.dj")).alias("j"), F.col("\x01o.di").alias("di"), F.col("\x01o.dj").alias("dj"), "v")
-
-
 def _square(k: int) -> list[tuple[int, int]]:
     h = k // 2
     return [(a, b) for a in range(-h, h + 1) for b in range(-h, h + 1)]
 
 
+def _reach(weights: dict[tuple[int, int], float]) -> int:
+    return max(max(abs(a), abs(b)) for a, b in weights)
+
+
 def kernel(df: DataFrame, weights: dict[tuple[int, int], float], value: str, extra: list[str] = (), normalise: bool = True, whole: bool = False) -> DataFrame:
     """Weighted sum over neighbours, over the weights of those present if `normalise`.
 
     With `whole`, cells that miss a neighbour (at the edge, or NULL) become NULL. Only cells of `df` have
     a row.
     """
-    table = F.create_map(*[x for (a, b), w in weights.items() for x in (F.lit(f"{a},{b}"), F.lit(float(w)))])
-    s = stencil(df, list(weights), value, extra).where(F.col("v").isNotNull())
-    w = F.element_at(table, F.concat_ws(",", "di", "dj"))
-    s = s.withColumn("\x01w", w)
-    total = F.sum(F.col("\x01w") * F.col("v"))
-    out = F.try_divide(total, F.sum("\x01w")) if normalise else total
-    got = s.groupBy(*extra, "i", "j").agg((F.when(F.count("*") == len(weights), out) if whole else out).alias("\x01k"))
-    return df.join(got, [*extra, "i", "j"], "left").withColumn(value, F.col("\x01k")).drop("\x01k")
+    halo = _reach(weights)
+    return gridblocks.mapped(df, [value], halo, lambda a: [gridblocks.weighted(a[0], weights, halo, normalise, whole)], [value], extra)
 
 
-def gaussian_weights(sigma: float, half: int | None = None) -> dict[tuple[int, int], float]:
-    import math
-
-    half = half if half is not None else max(1, int(4 * sigma + 0.5))
-    return {(a, b): math.exp(-(a * a + b * b) / (2 * sigma * sigma)) for a in range(-half, half + 1) for b in range(-half, half + 1)}
+def _half(sigma: float, half: int | None) -> int:
+    return half if half is not None else max(1, int(4 * sigma + 0.5))
 
 
 def gaussian_fill(df: DataFrame, value: str, sigma: float, half: int | None = None, only_missing: bool = True, extra: list[str] = ()) -> DataFrame:
     """Gaussian-weighted mean of the neighbours present, for missing cells only or for all."""
-    smooth = kernel(df.withColumn("\x01old", F.col(value)), gaussian_weights(sigma, half), value, extra)
-    return (smooth.withColumn(value, F.coalesce("\x01old", value)) if only_missing else smooth).drop("\x01old")
+    halo = _half(sigma, half)
+
+    def work(arrays):
+        import numpy as np
+
+        old = gridblocks.shifted(arrays[0], 0, 0, halo)
+        smooth = gridblocks.gaussian(arrays[0], sigma, halo)
+        return [np.where(np.isfinite(old), old, smooth) if only_missing else smooth]
+
+    return gridblocks.mapped(df, [value], halo, work, [value], extra)
 
 
 def median_filter(df: DataFrame, k: int, value: str, extra: list[str] = ()) -> DataFrame:
-    """Median of the k x k neighbours that exist; NULLs are left out."""
-    got = stencil(df, _square(k), value, extra).groupBy(*extra, "i", "j").agg(F.median("v").alias("\x01m"))
-    return df.join(got, [*extra, "i", "j"], "left").withColumn(value, F.col("\x01m")).drop("\x01m")
+    """Median of the k x k neighbours that exist, k odd; NULLs are left out."""
+    return gridblocks.mapped(df, [value], k // 2, lambda a: [gridblocks.median(a[0], k)], [value], extra)
 
 
 def low_pass(df: DataFrame, k: int, value: str, extra: list[str] = ()) -> DataFrame:
     """Mean of k x k cells where all exist; others keep their value."""
-    q = kernel(df.withColumn("\x01old", F.col(value)), {o: 1.0 for o in _square(k)}, value, extra, whole=True)
-    return q.withColumn(value, F.coalesce(value, "\x01old")).drop("\x01old")
+    weights, halo = {o: 1.0 for o in _square(k)}, k // 2
+
+    def work(arrays):
+        import numpy as np
+
+        mean = gridblocks.weighted(arrays[0], weights, halo, True, True)
+        return [np.where(np.isfinite(mean), mean, gridblocks.shifted(arrays[0], 0, 0, halo))]
+
+    return gridblocks.mapped(df, [value], halo, work, [value], extra)
 
 
 def horn_gradient(df: DataFrame, value: str, dx: float, dy: float, extra: list[str] = ()) -> DataFrame:
     """dzdx and dzdy of the 3 x 3 neighbourhood (weights 1, 2, 1); NULL where it is not whole."""
-    s = stencil(df, _square(3), value, extra).where(F.col("v").isNotNull())
-    c = F.col
-    wx = c("di") * (2 - F.abs("dj")) / (8 * dx)
-    wy = c("dj") * (2 - F.abs("di")) / (8 * dy)
-    full = F.count("*") == 9
-    got = s.groupBy(*extra, "i", "j").agg(F.when(full, F.sum(wx * c("v"))).alias("dzdx"), F.when(full, F.sum(wy * c("v"))).alias("dzdy"))
-    return df.join(got, [*extra, "i", "j"], "left")
+    along_x = {(a, b): a * (2 - abs(b)) / (8 * dx) for a, b in _square(3)}
+    along_y = {(a, b): b * (2 - abs(a)) / (8 * dy) for a, b in _square(3)}
+    return gridblocks.mapped(df, [value], 1, lambda a: [gridblocks.weighted(a[0], w, 1, False, True) for w in (along_x, along_y)], ["dzdx", "dzdy"], extra)
 
 
 def savgol2d_weights(window: int, order: int, deriv: str | None = None) -> dict[tuple[int, int], float]:
@@ -156,36 +156,47 @@ def hillshade(df: DataFrame, value: str, dx: float, dy: float, azimuth: float =
 
 def flux_divergence(df: DataFrame, h: str, u: str, v: str, dx: float, dy: float, window: int = 3, order: int = 1, extra: list[str] = ()) -> DataFrame:
     """div, stretching and advection of the flux h (u, v), from surface derivatives of the three fields."""
-    base = df.select(*extra, "i", "j", h, u, v)
-    parts = {}
-    for c, d in ((u, "x"), (v, "y"), (h, "x"), (h, "y")):
-        parts[c, d] = savgol2d(df.select(*extra, "i", "j", F.col(c).alias("\x01q")), window, order, "\x01q", d, extra).select(*extra, "i", "j", (F.col("\x01q") / (dx if d == "x" else dy)).alias(f"\x01{c}{d}"))
-    q = reduce(lambda a, b: a.join(b, [*extra, "i", "j"]), parts.values(), base)
-    stretch = F.col(h) * (F.col(f"\x01{u}x") + F.col(f"\x01{v}y"))
-    advect = F.col(u) * F.col(f"\x01{h}x") + F.col(v) * F.col(f"\x01{h}y")
-    return q.select(*extra, "i", "j", (stretch + advect).alias("div"), stretch.alias("stretching"), advect.alias("advection"))
+    wx, wy, halo = savgol2d_weights(window, order, "x"), savgol2d_weights(window, order, "y"), window // 2
+
+    def work(arrays):
+        hh, uu, vv = (gridblocks.shifted(a, 0, 0, halo) for a in arrays)
+        slope = lambda k, w, step: gridblocks.weighted(arrays[k], w, halo, False, True) / step
+        stretch = hh * (slope(1, wx, dx) + slope(2, wy, dy))
+        advect = uu * slope(0, wx, dx) + vv * slope(0, wy, dy)
+        return [stretch + advect, stretch, advect]
 
+    out = ["div", "stretching", "advection"]
+    return gridblocks.mapped(df, [h, u, v], halo, work, out, extra).select(*extra, "i", "j", *out)
 
-def distance_to(df: DataFrame, zero: Column, most: int, extra: list[str] = ()) -> DataFrame:
-    """Distance in cells to the nearest cell where `zero` holds, up to `most`; farther is NULL."""
-    marked = df.withColumn("\x01z", F.when(zero, 1.0))
-    disc = [(a, b) for a in range(-most, most + 1) for b in range(-most, most + 1) if a * a + b * b <= most * most]
-    s = stencil(marked.where("`\x01z` = 1"), disc, "\x01z", extra)
-    near = s.groupBy(*extra, "i", "j").agg(F.min(F.sqrt(F.col("di") * F.col("di") + F.col("dj") * F.col("dj"))).alias("distance"))
-    return df.join(near, [*extra, "i", "j"], "left")
+
+def distance_to(df: DataFrame, zero: Column, extra: list[str] = ()) -> DataFrame:
+    """`df` with the distance in cells to the nearest cell where `zero` holds, however far; NULL if there is none."""
+    near = gridblocks.squared_distance(df, zero, extra).select(*[F.col(c).alias(f"\x01e{k}") for k, c in enumerate(extra)], F.col("i").alias("\x01i"), F.col("j").alias("\x01j"), F.sqrt("squared").alias("distance"))
+    same = [F.col(c).eqNullSafe(F.col(f"\x01e{k}")) for k, c in enumerate(extra)]
+    q = df.join(near, [*same, F.col("i") == F.col("\x01i"), F.col("j") == F.col("\x01j")], "left")
+    return q.drop("\x01i", "\x01j", *[f"\x01e{k}" for k in range(len(extra))])
 
 
 def buffer_class(df: DataFrame, zero: Column, classes: int = 5, extra: list[str] = ()) -> DataFrame:
     """1 .. classes for cells so many steps from the zero cells, 0 inside them, NULL beyond."""
-    q = distance_to(df, zero, classes, extra)
-    return q.withColumn("class", F.ceil("distance").cast("int"))
+    return distance_to(df, zero, extra).withColumn("class", F.when(F.col("distance") <= classes, F.ceil("distance").cast("int")))
 
 
 def extend_field(df: DataFrame, value: str, sigmas: list[float], mask: Column | None = None) -> DataFrame:
-    """Missing cells filled by ever wider Gaussians; cells outside the mask become NULL."""
-    out = df
-    for s in sigmas:
-        out = gaussian_fill(out, value, s, half=max(1, int(2 * s)))
+    """Missing cells filled by ever wider Gaussians, one after another; cells outside the mask become NULL."""
+    halves = [max(1, int(2 * s)) for s in sigmas]
+
+    def work(arrays):
+        import numpy as np
+
+        a, row = arrays
+        for s, half in zip(sigmas, halves):
+            inner, a_row = gridblocks.shifted(a, 0, 0, half), gridblocks.shifted(row, 0, 0, half)
+            filled = np.where(np.isfinite(inner), inner, gridblocks.gaussian(a, s, half))
+            a, row = np.where(np.isfinite(a_row), filled, np.nan), a_row
+        return [a]
+
+    out = gridblocks.mapped(df.withColumn("\x01row", F.lit(1.0)), [value, "\x01row"], sum(halves), work, [value]).drop("\x01row")
     return out if mask is None else out.withColumn(value, F.when(mask, F.col(value)))
 
 
