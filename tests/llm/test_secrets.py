@@ -58,38 +58,87 @@ def span_costs(part):
         yield math.log10(120 if len(part) == 4 else 365 * 120)
     if len(part) > 2 and all((a, b) in secrets._NEXT for a, b in zip(low, low[1:])):
         yield math.log10(47 * 4 * len(part))
-    for u in range(1, 5):
-        if len(part) >= max(3, 2 * u) and all(a == b for a, b in zip(part, part[u:])):
-            yield sum(map(secrets._char_cost, part[:u])) + math.log10(len(part) / u)
+
+
+def repeats(value, s, e):
+    """How often the shortest unit that fits stands again in value[s:e] after it has stood before s; 0 if none does."""
+    for u in range(1, s + 1):
+        m, rest = divmod(e - s, u)
+        if not rest and value[s:e] == value[s - u : s] * m:
+            return m
+    return 0
 
 
 def brute_cost(value):
     """Cheapest of all splits into spans."""
     best = [0.0]
     for e in range(1, len(value) + 1):
-        best.append(min(best[s] + c + (secrets._STEP if s or k else 0) for s in range(e) for k, c in enumerate(span_costs(value[s:e]))))
+        costs = [best[s] + c + (secrets._STEP if s or k else 0) for s in range(e) for k, c in enumerate(span_costs(value[s:e]))]
+        costs += [best[s] + secrets._STEP + math.log10(m + 1) for s in range(1, e) if (m := repeats(value, s, e))]
+        best.append(min(costs))
     return best[-1]
 
 
 def test_dynamic_programming_is_brute_force():
     r = random.Random(3)
-    parts = ["admin", "welcome", "P@ssw0rd", "2024", "2024-01-15", "31121999", "qwert", "asdf", "zzzz", "abab", "xyzxyz", "1234", "k", "Q", "#", "7", "vq", "é"]
+    parts = ["admin", "welcome", "P@ssw0rd", "2024", "2024-01-15", "31121999", "qwert", "asdf", "zzzz", "abab", "xyzxyz", "1234", "hunter2hunter2", "ab1ab1ab1", "k", "Q", "#", "7", "vq", "é"]
     values = ["zadminq", "xtrwelcomevv", "kkqmasterpw", "hvtsummerkd", "", *("".join(r.choices(parts, k=r.randint(1, 4))) for _ in range(300))]
     for value in values:
         assert abs(secrets.guess_cost(value) - brute_cost(value)) < 1e-9, value
 
 
+def test_long_units_are_repeats():
+    assert secrets.guess_cost("hunter2hunter2") < 11 and secrets.guess_cost("Xk9#mQ2$" * 3) < secrets.guess_cost("Xk9#mQ2$") + 2
+    assert secrets.guess_cost("ab" * 3000) < 11 and secrets.guess_cost("z" * 20000) < 11
+
+
+def n_guess(spark, rows, **more):
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(3)
+    return [r.n_guess for r in sorted(secrets.scan(df, **more).collect(), key=lambda r: r.doc_id)]
+
+
 def test_words_of_the_table_are_guessable(spark):
     words = ["correct", "horse", "battery", "staple"]
-    df = spark.createDataFrame([(1, "the password is correcthorsebatteryZ9 ok"), (2, " ".join(words * 30)), (3, None)], "doc_id long, text string")
-    assert set(words) <= set(secrets.frequent_words(df))
-    more = spark.createDataFrame([(4, "horse battery horse once"), (5, "horse")], "doc_id long, text string")
-    assert secrets.frequent_words(df.union(more), max_words=2) == ["horse", "battery"]  # the others are two more
-    assert secrets.frequent_words(df.union(more), max_words=3) == ["horse", "battery"] and secrets.frequent_words(df.limit(0)) == []
+    prose = [" ".join(words) + f" {k}" for k in range(40)]
     value = "correcthorsebatteryZ9"
-    assert secrets.guess_cost(value, secrets.Ranks(words)) < 13 < secrets.guess_cost(value)
-    a, b = (next(r.n_guess for r in secrets.scan(df, min_cost=15, max_words=n).collect() if r.doc_id == 1) for n in (100, 0))
-    assert (a, b) == (0, 1)
+    assert secrets.guess_cost(value, secrets.Ranks({w: k + 1 for k, w in enumerate(words)})) < 13 < secrets.guess_cost(value)
+    assert n_guess(spark, [f"the password is {value} ok", None, *prose], min_cost=15)[0] == 0
+    assert n_guess(spark, [f"the password is {value} ok", None, " ".join(words * 30)], min_cost=15)[0] == 1  # words of one text only
+
+
+def test_a_secret_in_copies_and_other_texts_is_no_word(spark):
+    for value in ("qhzvkwpxmbtrgfdj", "Tr7-xkqjwzvbhhmr"):
+        line = f"password is {value}"
+        assert n_guess(spark, [line]) == [1] and n_guess(spark, [line] * 5) == [1] * 5
+        assert n_guess(spark, [line, f"now the {line}", f"old text. {line} too", f"bearer {value}"]) == [1] * 4
+        note = f"see {value.split('-')[-1]} here"  # outside a context, in one text and its copies: still no word
+        assert n_guess(spark, [line, note, note, note]) == [1, 0, 0, 0]
+
+
+def test_texts_of_words_are_counted_once_and_without_values(spark):
+    rows = ["horse one", "horse one", "Horse, two", "password is horsehorse", "password is horsehorse horse", "seahorse", None, ""]
+    df = spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)
+    asked = spark.createDataFrame([("horse",), ("two",), ("never",)], "word string")
+    assert {r.word: r.texts for r in secrets.word_texts(df, asked).collect()} == {"horse": 3, "two": 1}
+
+
+def test_costs_of_all_credential_values_are_returned(spark):
+    text = "password: hunter2hunter2 and token=Xk9mQ2vLw8Zp3Rt7 or pwd is monkey12"
+    df = spark.createDataFrame([(1, text), (2, "nothing")], "doc_id long, text string")
+    one, two = sorted(secrets.scan(df).collect(), key=lambda r: r.doc_id)
+    costs = {text[int(a) : int(b)]: float(c) for a, b, c in (x.split(":") for x in one.costs.split(","))}
+    assert costs.keys() == {"hunter2hunter2", "Xk9mQ2vLw8Zp3Rt7", "monkey12"} and two.costs == ""
+    assert all(abs(c - secrets.value_cost(v)) < 1e-3 for v, c in costs.items())
+    assert (one.n_assign, one.n_guess) == (2, 0)  # what a known shape holds is no second span
+
+
+def test_rows_and_their_columns_stay(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "password is Xk9#mQ2$vLw8", "a"), (1, "password is Xk9#mQ2$vLw8", "a"), (None, None, "b")], "doc_id long, text string, spans string")
+    assert sorted(str(r.doc_id) for r in secrets.scan(df).collect()) == ["1", "1", "None"]
+    with pytest.raises(ValueError):
+        secrets.scan(df, keep=("doc_id", "spans"))
 
 
 def test_white_space_of_any_length_before_a_value():
