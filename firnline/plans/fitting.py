@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from firnline.operators import crosscal, fits, interpolation
+from firnline.operators import crosscal, fits, interpolation, scattering
+from firnline.operators.layout import cut
 
 from .registry import cloud, points, query, series, tracks
 
@@ -77,6 +78,26 @@ def fit7(spark, sf):
     return _r(q, ["pid"], ["h_bs", "r2", "d_std", "b_bs", "b_lew", "b_tes"], 5)
 
 
+#: Cells of this radius hold some 70 points at sf0.1 and their neighbours' halves.
+SCATTER_R, SCATTER_STEP = 6000.0, 8000.0
+
+
+@query("fit6_best_cell_correction")
+def fit6(spark, sf):
+    """Of the overlapping cells around each point, the correction that lowers the spread most."""
+    p = _pid(spark, sf).dropDuplicates(["pid"])
+    q = scattering.correction_of_best_cell(_nodes(spark, p, SCATTER_STEP), p, "node", "pid", "t_year", "h", ["bs", "lew", "tes"], SCATTER_R, least=30, min_months=12)
+    return _r(q, ["pid", "node"], ["h_bs", "r2", "d_std", "p_std", "b_bs", "b_lew", "b_tes"], 5)
+
+
+@query("fit7_spread_correction")
+def fit7_spread(spark, sf):
+    """Corrections by the best solved cell within reach, else by the nearest solved one."""
+    p = _pid(spark, sf).dropDuplicates(["pid"])
+    solved = cut(scattering.cell_solutions(_nodes(spark, p, SCATTER_STEP), p, "node", "t_year", "h", ["bs", "lew", "tes"], SCATTER_R, error="s"))
+    return _r(scattering.spread_correction(solved, p, "pid", ["bs", "lew", "tes"], SCATTER_R), ["pid", "node", "inside"], ["h_bs", "r2"], 5)
+
+
 @query("fit8_fused_series")
 def fit8(spark, sf):
     q = fits.fused(points(spark, sf), "y", "t_year", "mission", "h")
