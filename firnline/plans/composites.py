@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from firnline.functions import columns as C
 from firnline.functions import tides
-from firnline.operators import alongtrack, fits, interpolation, layout, raster, robust, spatial
+from firnline.operators import alongtrack, fits, interpolation, layout, raster, robust, spatial, triangulation
 from firnline.sources import readers
 
 from .grids import _CUBE_SQL, _cube, _grid
@@ -145,6 +145,12 @@ def int9(spark, sf):
     return interpolation.inverse_distance(_nodes(spark), cloud(spark, sf), "node", "pid", "z", 3, 0.3, 0.05).select("node", F.round("z", 8).alias("z"))
 
 
+@query("int9_linear_regrid")
+def int9_linear(spark, sf):
+    """Scattered data to nodes by the Delaunay triangles that hold them."""
+    return triangulation.linear(_nodes(spark), cloud(spark, sf), "node", "z", 0.25, 0.05).select("node", F.round("z", 8).alias("z"))
+
+
 @query("cub8_extend_field")
 def cub8(spark, sf):
     g = _grid(spark, sf).withColumn("z", F.when(F.col("z") <= 80, F.col("z")))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firnline.functions import columns as C
+from firnline.functions import geodesic
 from firnline.operators import filters
 
 from .registry import cloud, points, query, table, tracks
@@ -145,6 +146,38 @@ def prj16(spark, sf):
     return points(spark, sf).select("orbit", "line", _r(C.slope_correction(r, a, F.lit(6370000.0)), 4).alias("direct"), _r(C.slope_correction(r, a, F.lit(6370000.0), True), 4).alias("relocated"))
 
 
+def _forward_sql(source: str, rounds: int = 6) -> str:
+    """Layers of SQL with lon_echo and lat_echo at `d` metres from lon, lat in the direction `az` (degrees), of a table q."""
+    f, b, a = "(1 / 298.257223563e0)", "(6378137.0e0 * (1 - 1 / 298.257223563e0))", "6378137.0e0"
+    step = "bb * sin(s) * (cos(2 * s1 + s) + bb / 4 * (cos(s) * (-1 + 2 * pow(cos(2 * s1 + s), 2)) - bb / 6 * cos(2 * s1 + s) * (-3 + 4 * pow(sin(s), 2)) * (-3 + 4 * pow(cos(2 * s1 + s), 2))))"
+    layers = [
+        source,
+        f"select *, radians(az) as z, (1 - {f}) * tan(radians(lat)) as tu from q",
+        "select *, 1 / sqrt(1 + tu * tu) as cu, tu / sqrt(1 + tu * tu) as su, atan2(tu, cos(z)) as s1, sin(z) / sqrt(1 + tu * tu) as sa from q",
+        f"select *, (1 - sa * sa) as c2, (1 - sa * sa) * ({a} * {a} - {b} * {b}) / ({b} * {b}) as u from q",
+        "select *, 1 + u / 16384 * (4096 + u * (-768 + u * (320 - 175 * u))) as aa, u / 1024 * (256 + u * (-128 + u * (74 - 47 * u))) as bb from q",
+        f"select *, d / ({b} * aa) as s0, d / ({b} * aa) as s from q",
+        *[f"select * replace (s0 + {step} as s) from q"] * rounds,
+        f"select *, atan2(sin(s) * sin(z), cu * cos(s) - su * sin(s) * cos(z)) as lam, {f} / 16 * c2 * (4 + {f} * (4 - 3 * c2)) as k from q",
+        f"select *, degrees(atan2(su * cos(s) + cu * sin(s) * cos(z), (1 - {f}) * sqrt(sa * sa + pow(su * sin(s) - cu * cos(s) * cos(z), 2)))) as lat_echo, lon + degrees(lam - (1 - k) * {f} * sa * (s + k * sin(s) * (cos(2 * s1 + s) + k * cos(s) * (-1 + 2 * pow(cos(2 * s1 + s), 2))))) as lon_echo from q",
+    ]
+    names = [f"q{k}" for k in range(len(layers))]
+    return "with " + ", ".join(f"{n} as ({text.replace(' from q', f' from {names[k - 1]}') if k else text})" for k, (n, text) in enumerate(zip(names, layers)))
+
+
+@query("prj16_geodesic_relocation", _forward_sql("""
+select orbit, line, h, 800000.0e0 + h as r, lew / 10 as slope, x / 1e6 * 350 - 175 as lon, -60 - y / 1e6 * 25 as lat, h * 3.6e0 as az, (800000.0e0 + h) * sin(lew / 10) as d from {points}""") + """
+select orbit, line, round(lon_echo, 8) as lon_echo, round(lat_echo, 8) as lat_echo, round(h + r - (r * cos(slope) + d * d / (2 * (
+  (6378137.0e0 * (1 - e2) / pow(1 - e2 * pow(sin(radians(lat)), 2), 1.5) * 6378137.0e0 / sqrt(1 - e2 * pow(sin(radians(lat)), 2)))
+  / (6378137.0e0 / sqrt(1 - e2 * pow(sin(radians(lat)), 2)) * pow(cos(z), 2) + 6378137.0e0 * (1 - e2) / pow(1 - e2 * pow(sin(radians(lat)), 2), 1.5) * pow(sin(z), 2))))), 4) as h_echo, round(d, 4) as dist_cor
+from (select *, (1 / 298.257223563e0) * (2 - 1 / 298.257223563e0) as e2 from q13)""")
+def prj16_relocated(spark, sf):
+    """Echoes moved up the slope along geodesics."""
+    p = points(spark, sf).select("orbit", "line", "h", (800000.0 + F.col("h")).alias("r"), (F.col("lew") / 10).alias("slope"), (F.col("x") / 1e6 * 350 - 175).alias("lon"), (-60 - F.col("y") / 1e6 * 25).alias("lat"), (F.col("h") * 3.6).alias("az"))
+    q = geodesic.relocated(p, "lon", "lat", "h", "r", "slope", "az")
+    return q.select("orbit", "line", _r(F.col("lon_echo"), 8).alias("lon_echo"), _r(F.col("lat_echo"), 8).alias("lat_echo"), _r(F.col("h_echo"), 4).alias("h_echo"), _r(F.col("dist_cor"), 4).alias("dist_cor"))
+
+
 @query("prj17_time_conversion", """
 select event_id as pid, round(1970.0e0 + epoch_us(ts) / 1e6 / 31557600.0e0, 9) as t_year, round(40587.0e0 + epoch_us(ts) / 86400e6, 9) as mjd, round(719529.0e0 + epoch_us(ts) / 86400e6, 9) as datenum,
   round(year(ts) + (epoch_us(ts) - epoch_us(make_timestamp(year(ts), 1, 1, 0, 0, 0))) / (epoch_us(make_timestamp(year(ts) + 1, 1, 1, 0, 0, 0)) - epoch_us(make_timestamp(year(ts), 1, 1, 0, 0, 0)))::double, 9) as cal_year,
