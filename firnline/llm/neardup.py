@@ -6,8 +6,10 @@ them. So tiles are formed by least hashes of the sets instead: texts meet that a
 of one of BANDS bands (at likeness 0.8 a pair misses all with a chance of 0.36^6 = 0.2 %). Inside a tile,
 fingerprints are compared exactly as in `simhash`; a pair within RADIUS bits whose sketches look alike too
 becomes a candidate, if it joins two groups of the tile. The candidates' shingle sets are then compared
-in full. Where one falls short, the tiles that it stands in are searched again without it, until they
-have no candidates left: groups are those of all pairs that meet and are near copies.
+in full. Where one falls short, the tiles that it stands in are settled at once: their rows come together with
+their whole shingle sets, and every pair within RADIUS bits that would join two groups is compared. So there are two
+rounds, and groups are those of all pairs that meet and are near copies (a tile without a short candidate has its
+groups by then; a pair that sketches misjudge by more than MARGIN counts only in the second round).
 
 Equal texts are one node, so a text that a third of all rows repeat makes no links.
 
@@ -36,9 +38,8 @@ ROWS, BANDS = 2, 6
 RADIUS = 20
 #: Least hashes in a sketch, one byte each; a likeness of 0.8 is read to within 0.035 (standard deviation).
 SKETCH, MARGIN = 128, 0.1
-#: Pairs of a row that are verified at once in the second round where sketches leave it open (in the first only those
-#: that join groups are), and how many times more in each further round.
-OTHERS, MORE = 8, 4
+#: Rows of a tile, and of a task, that are settled by their whole sets.
+SETTLED_ROWS, SETTLED_TASK = 2048, 4096
 #: Documents that go, and texts whose sets are compared, are sent to all executors up to so many; beyond, texts are shuffled.
 BROADCAST_GONE, BROADCAST_NODES = 500_000, 1_000_000
 
@@ -84,16 +85,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return source.mapInArrow(run, schema.add("bands", ArrayType(LongType())).add("sketch", BinaryType()))
 
 
-def _candidates(pdf, radius: int, similarity: float, others: int):
-    """Candidates of one task's tiles: within the radius, sketches alike, and neither seen nor refused yet."""
+def _candidates(pdf, radius: int, similarity: float):
+    """Candidates of one task's tiles: within the radius, sketches alike, joining two groups; the surest ones."""
     import numpy as np
 
     sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), SKETCH)
-    name = pdf["name"].to_numpy()
-    tile = list(zip(pdf["choice"], pdf["bits"], pdf["part"]))
-    at = {(t, n): k for k, (t, n) in enumerate(zip(tile, name.tolist()))} if "near" in pdf and pdf["near"].notna().any() else {}
-    united = [(k, at[tile[k], b]) for k, others in enumerate(pdf["near"]) if others is not None for b in others if (tile[k], b) in at] if at else []
-    refused = {(a, b) for a, others in zip(name.tolist(), pdf["short"]) if others is not None for b in others} if "short" in pdf else set()
 
     def alike(i, j):
         out = np.zeros(len(i))
@@ -101,21 +97,49 @@ def _candidates(pdf, radius: int, similarity: float, others: int):
             x, y = i[k : k + 8192], j[k : k + 8192]
             # 0 where it may just reach the similarity, 1 where it surely does
             out[k : k + 8192] = ((sketch[x] == sketch[y]).mean(axis=1) - similarity + MARGIN) / (2 * MARGIN)
-        if refused:
-            for k in np.nonzero(out >= 0)[0]:
-                a, b = int(name[i[k]]), int(name[j[k]])
-                if (a, b) in refused or (b, a) in refused:
-                    out[k] = -1
         return out
 
-    return forest(pdf, radius, alike, united, others=others)
+    return forest(pdf, radius, alike, others=0)
 
 
-def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(a, b, near): which links are near copies, by their whole shingle sets. `texts`: (node, text)."""
+def _settled(pdf, radius: int, similarity: float):
+    """Near copies (a, b) that join the groups of each tile of one task, by whole sets; `root` are the groups known so far."""
+    import numpy as np
+    import pandas as pd
+
+    out = []
+    for _, tile in pdf.groupby(["choice", "bits", "part"], sort=False):
+        tile = tile.drop_duplicates("name").sort_values("name")
+        names, prints = tile["name"].to_numpy(), tile["print"].to_numpy().view(np.uint64)
+        group = np.unique(tile["root"].to_numpy(), return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint32) for x in tile["held"]]
+        size = np.array([len(x) for x in sets])
+        edges = np.concatenate([[0], np.cumsum(size)])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if edges[-1] else np.zeros(0, np.int64)
+        mark = np.zeros(edges[-1] + 1, np.int32)
+        for k in range(len(names) - 1):
+            later = np.flatnonzero((group[k + 1 :] != group[k]) & (np.bitwise_count(prints[k + 1 :] ^ prints[k]) <= radius)) + k + 1
+            # sizes that differ by more than the similarity allows share too little
+            later = later[np.minimum(size[later], size[k]) >= similarity * np.maximum(size[later], size[k]) - 1e-9]
+            if not len(later):
+                continue
+            mark[ids[edges[k] : edges[k + 1]]] = 1
+            n = size[later]
+            at = np.repeat(edges[later] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            held = np.concatenate([[0], np.cumsum(mark[ids[at]])])
+            common = np.diff(held[np.concatenate([[0], np.cumsum(n)])])
+            mark[ids[edges[k] : edges[k + 1]]] = 0
+            for j in later[common >= similarity * (n + size[k] - common) - 1e-9].tolist():
+                if group[j] != group[k]:
+                    out.append((names[k], names[j]))
+                    group[group == group[j]] = group[k]
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+
+def shingle_sets(asked: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(node, held): the 32-bit hashes of the shingles of each of the `asked` nodes, sorted; cut. `texts`: (node, text)."""
     import pyarrow as pa
 
-    asked = cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +153,14 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "held"])
 
     one = texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    held = cut(one.mapInArrow(sets, "node long, held binary"))
+    return cut(one.mapInArrow(sets, "node long, held binary"))
+
+
+def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(a, b, near): which links are near copies, by their whole shingle sets. `texts`: (node, text)."""
+    import pyarrow as pa
+
+    held = shingle_sets(cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct()), texts, size)
     both = links.join(held.select(F.col("node").alias("a"), F.col("held").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("two")), "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,26 +185,25 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     met = cut(thin.join(crowded, ["choice", "bits"]).select("name", "choice", "bits"))
     n = met.count()
     print_ = cut(nodes.join(met.select(F.col("name").alias("node")).distinct(), "node").select(F.col("node").alias("name"), "print", "sketch"))
-    round_, seen, others = met.join(print_, "name"), None, 0
-    while True:
-        links = tiled(round_, radius, tile_rows, task_rows, n, by_count=False).groupBy("task").applyInPandas(lambda pdf: _candidates(pdf, radius, similarity, others), "a long, b long")
-        links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        if links.isEmpty():
-            break
-        new = _verified(links, texts, size, similarity)
-        seen = new if seen is None else cut(seen.union(new))
-        short = new.where(~F.col("near"))
-        if short.isEmpty():
-            break
-        # again, only the tiles in which a pair fell short, with what is known, and more pairs at once
-        others = others * MORE or OTHERS
-        short = short.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        tiles = met.join(short, "name", "left_semi").select("choice", "bits").distinct()
-        known = seen.groupBy(F.col("a").alias("name")).agg(F.collect_list(F.when(F.col("near"), F.col("b"))).alias("near"), F.collect_list(F.when(~F.col("near"), F.col("b"))).alias("short"))
-        round_ = cut(met.join(tiles, ["choice", "bits"], "left_semi").join(print_, "name").join(known, "name", "left"))
-    if seen is None:
+    first = tiled(met.join(print_, "name"), radius, tile_rows, task_rows, n, by_count=False).groupBy("task").applyInPandas(lambda pdf: _candidates(pdf, radius, similarity), "a long, b long")
+    first = cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if first.isEmpty():
         return nodes.select("node", F.col("node").alias("root")).limit(0)
-    return components(seen.where("near"))
+    tried = _verified(first, texts, size, similarity)
+    short, near = tried.where(~F.col("near")), tried.where("near").select("a", "b")
+    if short.isEmpty():
+        return components(near)
+    # the tiles in which a candidate fell short are settled with all that is known
+    asked = short.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    tiles = met.join(asked, "name", "left_semi").select("choice", "bits").distinct()
+    rows = cut(met.join(tiles, ["choice", "bits"], "left_semi"))
+    held = shingle_sets(cut(rows.select(F.col("name").alias("node")).distinct()), texts, size).withColumnRenamed("node", "name")
+    roots = components(near).withColumnRenamed("node", "name")
+    known = cut(print_.drop("sketch").join(held, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")))
+    dealt = tiled(rows.join(known.select("name", "print", "root"), "name"), radius, SETTLED_ROWS, SETTLED_TASK, rows.count(), by_count=False)
+    # the sets join last, so that counts of tiles don't carry them
+    last = dealt.join(known.select("name", "held"), "name").groupBy("task").applyInPandas(lambda pdf: _settled(pdf, radius, similarity), "a long, b long")
+    return components(near.union(cut(last)))
 
 
 def gone(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
