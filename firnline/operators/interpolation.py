@@ -95,19 +95,71 @@ def _model(kind: str, d, c0: float, a: float):
     return c0 * np.exp(-d / (a * 1.4427))
 
 
-def solve(x0: float, y0: float, x, y, z, s, a: float, kind: str = "markov", same=None, same_error: float = 0.0) -> tuple[float, float]:
-    """Estimate and error at one node: simple kriging about the median with noise variances s2."""
+#: Points of a node whose system is solved as one matrix; larger ones are solved by rows of so many numbers at a time.
+DENSE, ROWS = 3_000, 4_000_000
+#: Points whose view of a large system speeds up its solution.
+LANDMARKS = 600
+
+
+def _by_gradients(rows, noise, right, parts, landmarks: int, tolerance: float = 1e-10):
+    """Solution of (rows + diagonal `noise`) w = right by conjugate gradients; `rows(k)` makes rows of the matrix.
+
+    Preconditioned by the same system with the matrix as some evenly chosen points see it.
+    """
+    import numpy as np
+
+    n = len(right)
+    at = np.unique(np.linspace(0, n - 1, min(landmarks, n)).astype(int))
+    seen = rows(at).T
+    scaled = seen / noise[:, None]
+    core = np.linalg.inv((seen[at] + seen[at].T) / 2 + 1e-9 * np.abs(seen[at]).max() * np.eye(len(at)) + seen.T @ scaled)
+    near = lambda v: v / noise - scaled @ (core @ (scaled.T @ v))
+    times = lambda v: np.concatenate([rows(k) @ v for k in parts]) + noise * v
+    x, r = np.zeros(n), right.copy()
+    z = near(r)
+    p, rz, goal = z.copy(), r @ z, tolerance * np.sqrt(right @ right)
+    for _ in range(2 * n):
+        q = times(p)
+        step = rz / (p @ q)
+        x, r = x + step * p, r - step * q
+        if np.sqrt(r @ r) <= goal:
+            break
+        z = near(r)
+        rz, before = r @ z, rz
+        p = z + rz / before * p
+    return x
+
+
+def solve(x0: float, y0: float, x, y, z, s, a: float, kind: str = "markov", same=None, same_error: float = 0.0, t=None, t0: float = 0.0, tau: float | None = None, dense: int = DENSE) -> tuple[float, float]:
+    """Estimate and error at one node: simple kriging about the median with noise variances s2.
+
+    With `tau`, covariances also fall with the time between points, exp(-(dt / tau)^2), and to the epoch t0.
+    Up to `dense` points are one matrix. For more the matrix is never held: its rows are made anew, some at a time, for each
+    step of conjugate gradients, which end at a residual of 10^-10; time grows with the square of the points.
+    """
     import numpy as np
 
     mean, c0 = np.median(z), max(np.var(z), 1e-12)
-    cov = _model(kind, np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :]), c0, a)
-    noise = np.diag(s**2)
-    if same is not None and same_error:
-        noise = noise + same_error**2 * ((same[:, None] == same[None, :]) & ~np.eye(len(z), dtype=bool))
+
+    def rows(k):
+        cov = _model(kind, np.hypot(x[k, None] - x[None, :], y[k, None] - y[None, :]), c0, a)
+        if tau:
+            cov = cov * np.exp(-(((t[k, None] - t[None, :]) / tau) ** 2))
+        if same is not None and same_error:
+            cov = cov + same_error**2 * ((same[k, None] == same[None, :]) & (k[:, None] != np.arange(len(z))[None, :]))
+        return cov
+
+    noise = s**2 + 1e-10 * c0
     to = _model(kind, np.hypot(x - x0, y - y0), c0, a)
-    system = cov + noise
-    system[np.diag_indices(len(z))] += 1e-10 * c0
-    weights = np.linalg.solve(system, to)
+    if tau:
+        to = to * np.exp(-(((t - t0) / tau) ** 2))
+    if len(z) <= dense:
+        system = rows(np.arange(len(z)))
+        system[np.diag_indices(len(z))] += noise
+        weights = np.linalg.solve(system, to)
+    else:
+        parts = np.array_split(np.arange(len(z)), max(1, len(z) * len(z) // ROWS))
+        weights = _by_gradients(rows, noise, to, parts, LANDMARKS)
     return float(mean + weights @ (z - mean)), float(np.sqrt(max(c0 - weights @ to, 0.0)))
 
 
@@ -129,12 +181,13 @@ def kriging(nodes: DataFrame, points: DataFrame, key: str, tie: str, z: str, s:
     return q.groupBy("key").applyInPandas(one, f"key {nodes.schema[key].dataType.simpleString()}, z double, err double, n long").withColumnRenamed("key", key)
 
 
-def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: str, track: str, r: float, a: float, kind: str = "markov", least: int = 25, n_sigma: float = 3.0, track_error: float = 0.0, most: int = 5_000) -> DataFrame:
+def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: str, track: str, r: float, a: float, kind: str = "markov", least: int = 25, n_sigma: float = 3.0, track_error: float = 0.0, most: int | None = None, tau: float | None = None, t_ref: float | None = None, sectors: int = 0, per_sector: int = 0) -> DataFrame:
     """Optimal interpolation from all points within r: (key, z, err, n, t_mean, t_span, d_mean).
 
-    Values beyond n MADs of the node's median are left out first; nodes with fewer than `least` points
-    have no row; points of one track share `track_error`. A node's points are one dense system: 5,000 take
-    200 MB and some seconds. A node with more than `most` is an error: choose a smaller radius, or thin the points first.
+    Values beyond n MADs of the node's median are left out first; then, with `sectors`, all but the nearest `per_sector`
+    points of each of so many equal directions (first east; of equal distances the first in x, y, z, t). Nodes with fewer
+    than `least` points have no row; points of one track share `track_error`. With `tau` the covariance falls with time
+    too, to `t_ref`, or to the mean time of the node's points. See `solve` for how large systems are solved.
     """
     q = radius_join(nodes, points, r).select(F.col(f"l_{key}").alias("key"), F.col("l_x").alias("x0"), F.col("l_y").alias("y0"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col(f"r_{z}").alias("z"), F.col(f"r_{s}").alias("s"), F.col(f"r_{t}").alias("t"), F.col(f"r_{track}").cast("string").alias("track"))
 
@@ -144,17 +197,27 @@ def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: st
 
         rows = []
         for node, g in pdf.groupby("key", sort=False):
-            g = g.dropna(subset=["x", "y", "z", "s"])
+            g = g.dropna(subset=["x", "y", "z", "s", *(["t"] if tau else [])])
             dev = (g["z"] - g["z"].median()).abs()
             g = g[dev <= n_sigma * 1.4826 * dev.median()] if dev.median() > 0 else g
             if len(g) < least:
                 continue
-            if len(g) > most:
-                raise ValueError(f"node {node} has {len(g)} points within {r}; at most {most} fit one system")
+            if most is not None and len(g) > most:
+                raise ValueError(f"node {node} has {len(g)} points within {r}; at most {most} are wanted")
             g = g.sort_values(["x", "y", "z", "t"])
-            x, y = g["x"].to_numpy(), g["y"].to_numpy()
             x0, y0 = g["x0"].iloc[0], g["y0"].iloc[0]
-            est, err = solve(x0, y0, x, y, g["z"].to_numpy(), g["s"].to_numpy(), a, kind, pd.factorize(g["track"])[0], track_error)
+            if sectors:
+                turn = np.floor(np.arctan2(g["y"] - y0, g["x"] - x0) / (2 * np.pi) * sectors) % sectors
+                near = np.hypot(g["x"] - x0, g["y"] - y0)
+                order = np.lexsort((near, turn))
+                rank = np.empty(len(g), int)
+                rank[order] = np.arange(len(g)) - np.searchsorted(turn.to_numpy()[order], turn.to_numpy()[order])
+                g = g[rank < per_sector]
+                if len(g) < least:
+                    continue
+            x, y, tt = (g[c].to_numpy(float) for c in ("x", "y", "t"))
+            at = float(np.nanmean(tt)) if t_ref is None else t_ref
+            est, err = solve(x0, y0, x, y, g["z"].to_numpy(), g["s"].to_numpy(), a, kind, pd.factorize(g["track"])[0], track_error, tt, at, tau)
             rows.append((node, est, err, len(g), g["t"].mean(), g["t"].max() - g["t"].min(), float(np.hypot(x - x0, y - y0).mean())))
         return pd.DataFrame(rows, columns=["key", "z", "err", "n", "t_mean", "t_span", "d_mean"])
 
@@ -162,6 +225,74 @@ def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: st
     return q.groupBy("key").applyInPandas(one, schema).withColumnRenamed("key", key)
 
 
+def running_median(v, k: int):
+    """Median of the k values around each, fewer at the ends."""
+    import numpy as np
+
+    h = k // 2
+    return np.array([np.median(v[max(0, i - h) : i + h + 1]) for i in range(len(v))])
+
+
+# FIT-10
+def robust_covariance(lags, cov, kind: str = "markov", window: int = 3, scale: float = 0.1, rounds: int = 200) -> dict:
+    """c0, a and misfit of a covariance model fitted to the running medians of `cov` by soft-L1 loss, with its lengths.
+
+    Residuals larger than `scale` times the largest covariance count less and less (square root of one plus the square). `half`
+    and `efold` are the lags at which the model has fallen to a half and to 1/e, `zero` is the lag at which the medians
+    first cross zero (None if they don't). One number a lag, so this is worked out where it is called.
+    """
+    import numpy as np
+
+    order = np.argsort(lags)
+    d, c = np.asarray(lags, float)[order], np.asarray(cov, float)[order]
+    c = running_median(c, window)
+    unit = scale * np.abs(c).max() or 1.0
+
+    def loss(p):
+        z = ((_model(kind, d, *p) - c) / unit) ** 2
+        return (2 * (np.sqrt(1 + z) - 1)).sum()
+
+    def search(p):  # damped steps of reweighted least squares
+        damp, now = 1e-3, loss(p)
+        for _ in range(rounds):
+            res = (_model(kind, d, *p) - c) / unit
+            step = 1e-6 * np.maximum(np.abs(p), 1e-9)
+            jac = np.stack([(_model(kind, d, *(p + np.eye(2)[k] * step[k])) - _model(kind, d, *(p - np.eye(2)[k] * step[k]))) / (2 * step[k] * unit) for k in (0, 1)], axis=1)
+            w = 1 / np.sqrt(1 + res**2)
+            normal, slope = (jac * w[:, None]).T @ jac, (jac * w[:, None]).T @ res
+            try:
+                new = p - np.linalg.solve(normal + damp * np.diag(np.diag(normal) + 1e-300), slope)
+            except np.linalg.LinAlgError:
+                break
+            if new[1] > 0 and (there := loss(new)) <= now:
+                done = now - there <= 1e-14 * (now + 1e-300)
+                p, now, damp = new, there, damp / 5
+                if done:
+                    break
+            else:
+                damp *= 5
+                if damp > 1e12:
+                    break
+        return now, p
+
+    starts = [np.array([c[0] if c[0] > 0 else np.abs(c).max(), f * d[-1]]) for f in (0.05, 0.15, 0.4, 1.0)]
+    _, (c0, a) = min((search(p) for p in starts), key=lambda found: found[0])
+    shape = lambda x: _model(kind, x, 1.0, a)
+
+    def falls_to(level):
+        lo, hi = 0.0, a
+        while shape(hi) > level:
+            hi *= 2
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if shape(mid) > level else (lo, mid)
+        return float(hi)
+
+    cross = np.flatnonzero(np.sign(c[:-1]) * np.sign(c[1:]) < 0)
+    zero = float(d[cross[0]] - c[cross[0]] * (d[cross[0] + 1] - d[cross[0]]) / (c[cross[0] + 1] - c[cross[0]])) if len(cross) else None
+    return {"c0": float(c0), "a": float(a), "misfit": float(np.sqrt(np.mean((c0 * shape(d) - c) ** 2))), "half": falls_to(0.5), "efold": falls_to(1 / np.e), "zero": zero}
+
+
 def fit_covariance(lags: list[float], cov: list[float], kind: str = "markov", rounds: int = 200) -> tuple[float, float, float]:
     """c0, a and root mean square misfit of a covariance model, by a search that halves its steps."""
     import numpy as np

@@ -139,6 +139,14 @@ def int5(spark, sf):
     return q.select("node", F.round("z", 6).alias("z"), F.round("err", 6).alias("err"), "n")
 
 
+@query("int6_space_time_interpolation")
+def int6_space_time(spark, sf):
+    """Optimal interpolation in space and time from the nearest points of eight directions."""
+    c = cloud(spark, sf).withColumns({"s": F.lit(0.05), "t": F.col("pid") % 12, "track": F.col("pid") % 20})
+    q = interpolation.optimal(_nodes(spark), c, "node", "z", "s", "t", "track", 0.2, 0.1, least=8, track_error=0.02, tau=6.0, t_ref=6.0, sectors=8, per_sector=12)
+    return q.select("node", "n", *[F.round(v, 7).alias(v) for v in ("z", "err", "t_mean", "d_mean")])
+
+
 @query("int9_scattered_regrid", f"with k as (select a.node, b.z, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) as d2, row_number() over (partition by a.node order by (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), b.pid) as r from {_NODES_SQL} a, {{cloud}} b) select node, round(sum(z / d2) / sum(1 / d2), 8) as z from k where r <= 3 and d2 <= 0.09e0 group by node")
 def int9(spark, sf):
     """Scattered data to nodes by the three nearest points (in place of a triangulation)."""

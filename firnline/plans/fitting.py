@@ -139,6 +139,19 @@ def fit10(spark, sf):
     return _r(spark.createDataFrame(out, "model string, c0 double, a double, misfit double"), ["model"], ["c0", "a", "misfit"])
 
 
+@query("fit10_robust_covariance")
+def fit10_robust(spark, sf):
+    """Robust covariance models of the cloud's medians by lag, with their lengths."""
+    from firnline.operators import bins, spatial
+
+    c = cut(cloud(spark, sf))
+    c = c.withColumn("z", F.col("z") - F.lit(c.agg(F.avg("z")).first()[0] or 0.0))
+    rows = bins.lag_covariance(spatial.lag_pairs(c, "pid", 0.3), "l_z", "r_z", "dist", 0.02).orderBy("k").collect()
+    out = [(kind, *interpolation.robust_covariance([r["lag"] for r in rows], [r["cov"] for r in rows], kind).values()) for kind in ("gauss", "markov", "generic", "exp")] if len(rows) > 2 else []
+    q = spark.createDataFrame(out, "model string, c0 double, a double, misfit double, half double, efold double, zero double")
+    return _r(q, ["model"], ["c0", "a", "misfit", "half", "efold", "zero"])
+
+
 @query("out5_sigma_filter")
 def out5(spark, sf):
     t = tracks(spark, sf).withColumn("d", (F.col("t") - 1704067200) / 86400)
