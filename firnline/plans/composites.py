@@ -12,7 +12,7 @@ from firnline.functions import tides
 from firnline.operators import alongtrack, fits, interpolation, layout, raster, robust, spatial, triangulation
 from firnline.sources import readers
 
-from .grids import _CUBE_SQL, _cube, _grid
+from .grids import _CUBE_SQL, _GRID_SQL, _cube, _grid
 from .neighbours import _NODES_SQL, _RASTER_SQL, _nodes, _raster
 from .registry import cloud, points, query, series, table, tracks
 
@@ -166,11 +166,11 @@ def cub8(spark, sf):
 
 
 @query("cub11_mean_sea_level", f"""
-with m as (select r.i, r.j, z - 0.1e0 * r.i as mdt, j >= 15 as ocean from {_RASTER_SQL} r), o as (select avg(mdt) as off from m where ocean) select i, j, round(mdt - off + 0.1e0 * i, 6) as msl from m, o""")
+with m as (select r.i, r.j, z - 0.1e0 * r.i as mdt, j >= 10 as ocean from {_GRID_SQL} r), o as (select avg(mdt) as off from m where ocean) select i, j, round(mdt - off + 0.1e0 * i, 6) as msl from m, o""")
 def cub11(spark, sf):
     """Dynamic topography relative to the open ocean, back on the geoid."""
-    g = _raster(spark).withColumns({"geoid": 0.1 * F.col("i"), "mdt": F.col("z") - 0.1 * F.col("i")})
-    off = g.where("j >= 15").agg(F.avg("mdt").alias("off"))
+    g = _grid(spark, sf).withColumns({"geoid": 0.1 * F.col("i"), "mdt": F.col("z") - 0.1 * F.col("i")})
+    off = g.where("j >= 10").agg(F.avg("mdt").alias("off"))
     return g.join(F.broadcast(off)).select("i", "j", F.round(F.col("mdt") - F.col("off") + F.col("geoid"), 6).alias("msl"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from firnline.operators import crossover, interpolation, raster, spatial
 
+from .grids import _GRID_SQL, _grid
 from .registry import cloud, points, query, series, tracks
 
 _D2 = "((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))"
@@ -150,11 +151,11 @@ def jn17(spark, sf):
     return s.join(static, "cell", "left").select("cell", "k", F.coalesce(F.when(F.col("k") % 4 == 0, F.col("v")), "v0").alias("v"))
 
 
-@query("jn19_poleward_fill", f"with p as (select i, j, case when j > 15 then null else z end as a, z + 1 as b from {_RASTER_SQL}) select i, j, coalesce(a, case when j >= 15 then b end) as v from p")
+@query("jn19_poleward_fill", f"with p as (select i, j, case when j > 10 then null else z end as a, z + 1 as b from {_GRID_SQL}) select i, j, round(coalesce(a, case when j >= 10 then b end), 8) as v from p")
 def jn19(spark, sf):
-    r = _raster(spark)
-    first = r.withColumn("z", F.when(F.col("j") <= 15, F.col("z")))
-    return raster.fill_from(first, r.withColumn("z", F.col("z") + 1), "z", F.col("j") >= 15).select("i", "j", F.col("z").alias("v"))
+    r = _grid(spark, sf)
+    first = r.withColumn("z", F.when(F.col("j") <= 10, F.col("z")))
+    return raster.fill_from(first, r.withColumn("z", F.col("z") + 1), "z", F.col("j") >= 10).select("i", "j", F.round("z", 8).alias("v"))
 
 
 @query("jn20_nearest_gap_fill", f"""
@@ -204,7 +205,12 @@ def int8(spark, sf):
     return interpolation.inverse_distance(_nodes(spark), cloud(spark, sf), "node", "pid", "z", 10, 0.1, 0.05).select("node", F.round("z", 8).alias("z"))
 
 
-@query("int11_grid_nodes", "select i::int as i, j::int as j, round(-1000 + i * (2500 / 8.0e0), 6) as x, round(100 + j * (950 / 3.0e0), 6) as y from range(0, 9) t(i), range(0, 4) u(j)")
+@query("int11_grid_nodes", """
+with b as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from {points}), n as (select *, floor((x1 - x0) / 20000.0e0)::bigint + 1 as nx, floor((y1 - y0) / 10000.0e0)::bigint + 1 as ny from b),
+k as (select *, unnest(range(0, nx)) as i from n), l as (select *, unnest(range(0, ny)) as j from k)
+select i::int as i, j::int as j, round(x0 + i * ((x1 - x0) / greatest(1, nx - 1)), 6) as x, round(y0 + j * ((y1 - y0) / greatest(1, ny - 1)), 6) as y from l""")
 def int11(spark, sf):
-    g = interpolation.grid(spark, -1000, 1500, 100, 1050, 300, 300)
+    """Nodes about 20 and 10 km apart over the place of the points."""
+    box = points(spark, sf).agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    g = interpolation.grid(spark, *(v or 0.0 for v in box), 20000.0, 10000.0)
     return g.select("i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))

@@ -190,10 +190,12 @@ def prj17(spark, sf):
 
 
 @query("prj18_mid_months", """
-select strftime(make_date(y, m, 15), '%Y-%m-%d') as day, round(y + (dayofyear(make_date(y, m, 15)) - 1) / (case when y % 4 = 0 then 366.0e0 else 365.0e0 end), 9) as t from (select unnest(range(1995, 2002)) as y), (select unnest(range(1, 13)) as m)""")
+select strftime(make_date(y, m, 15), '%Y-%m-%d') as day, round(y + (dayofyear(make_date(y, m, 15)) - 1) / (case when y % 4 = 0 then 366.0e0 else 365.0e0 end), 9) as t, count(*) as n
+from (select year(l_shipdate)::int as y, month(l_shipdate)::int as m from lineitem) group by y, m""")
 def prj18(spark, sf):
-    days = spark.range(1).select(F.explode(F.expr("sequence(date'1995-01-15', date'2001-12-15', interval 1 month)")).alias("d"))
-    return days.select(F.date_format("d", "yyyy-MM-dd").alias("day"), _r(C.calendar_year(F.col("d").cast("timestamp")), 9).alias("t"))
+    """The middle of every month in which there are points, and how many."""
+    months = table(spark, sf, "lineitem").groupBy((F.trunc("l_shipdate", "month") + F.expr("interval 14 days")).cast("date").alias("d")).agg(F.count("*").alias("n"))
+    return months.select(F.date_format("d", "yyyy-MM-dd").alias("day"), _r(C.calendar_year(F.col("d").cast("timestamp")), 9).alias("t"), "n")
 
 
 @query("flt1_drop_missing", "select orbit, line, h from {points} where line <> 3")

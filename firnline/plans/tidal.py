@@ -42,9 +42,15 @@ def tid2(spark, sf):
     return _days(spark, sf).select("orbit", "pid", *[F.round(tides.nodal(w[2:], lon, "otis")["fu".index(w[0])], 8).alias(w) for w in wanted])
 
 
-@query("tid3_constituents", "select * from (values " + ", ".join(f"('{c[0]}', {c[1]!r}::double, {c[2]!r}::double, {c[3]!r}::double, {c[4]!r}::double, {c[5]}::int)" for c in tides.CONSTITUENTS) + ") t(name, amplitude, phase, omega, alpha, species)")
+_CONSTITUENTS_SQL = "(select * from (values " + ", ".join(f"('{c[0]}', {c[1]!r}::double, {c[2]!r}::double, {c[3]!r}::double, {c[4]!r}::double, {c[5]}::int)" for c in tides.CONSTITUENTS) + ") t(name, amplitude, phase, omega, alpha, species))"
+
+
+@query("tid3_constituents", f"with f as (select kind, min(t) as t from {{tracks}} group by kind) select kind, name, amplitude, phase, omega, alpha, species, round(phase + omega * (t - 694224000.0e0), 4) as angle from f, {_CONSTITUENTS_SQL} c")
 def tid3(spark, sf):
-    return tides.constituents(spark)
+    """The constants of every constituent, and its angle at the first time of each kind of track."""
+    first = tracks(spark, sf).groupBy("kind").agg(F.min("t").alias("t"))
+    q = first.join(F.broadcast(tides.constituents(spark)))
+    return q.select("kind", "name", "amplitude", "phase", "omega", "alpha", "species", F.round(F.col("phase") + F.col("omega") * (F.col("t") - 694224000.0), 4).alias("angle"))
 
 
 @query("tid4_harmonic_prediction", f"""
