@@ -215,3 +215,34 @@ def classes(df: DataFrame, value: str, named: dict[str, list[int]]) -> DataFrame
 def relative_to_first(df: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return df.withColumn(value, F.col(value) - F.first(value).over(w))
+
+
+# SRC-12
+def patched_tides(cells: DataFrame, xlim: tuple[float, float] = (0.0, 360.0), ylim: tuple[float, float] = (-90.0, 90.0), per_degree: int = 30) -> DataFrame:
+    """(constituent, i, j, lon, lat, re, im, patch): a compact tide model on one fine grid of `per_degree` cells a degree.
+
+    `cells` are what `readers.compact_tide_elevations` gives of one file. Where a local patch has a value it is taken (of
+    several the last patch's); elsewhere the global grid is interpolated bilinearly, NULL next to cells without a tide. i and j
+    count from longitude 0 and latitude -90; only cells whose centres lie inside the half-open limits have rows.
+    """
+    whole = cells.where("patch = 0")
+    lon0, lon1, lat0, lat1, n, m = whole.agg(F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat"), F.max("i"), F.max("j")).first()
+    columns = ["constituent", "i", "j", "lon", "lat", "re", "im", "patch"]
+    if n is None:
+        return cells.withColumn("patch", F.col("patch").cast("int")).select(*columns).limit(0)
+    first = lambda lo, base: max(0, -int(-((lo - base) * per_degree - 0.5) // 1))
+    i0, i1, j0, j1 = first(xlim[0], 0.0), first(xlim[1], 0.0), first(ylim[0], -90.0), first(ylim[1], -90.0)
+    wide = max(0, i1 - i0)
+    at = cells.sparkSession.range(wide * max(0, j1 - j0)).select((F.col("id") % max(wide, 1) + i0).cast("int").alias("gi"), (F.floor(F.col("id") / max(wide, 1)) + j0).cast("int").alias("gj"))
+    at = at.withColumns({"lon": (F.col("gi") + 0.5) / per_degree, "lat": (F.col("gj") + 0.5) / per_degree - 90.0})
+    corners = _corners(at, [("lon", "i", lon0, (lon1 - lon0) / max(n, 1) or 1.0, n + 1), ("lat", "j", lat0, (lat1 - lat0) / max(m, 1) or 1.0, m + 1)])
+    found = corners.join(whole.select("constituent", "i", "j", "re", "im"), ["i", "j"])
+    known = F.count_if(F.col("re").isNull() & (F.col("\x01w") > 0)) == 0
+    mean = {c: F.when(known, F.sum(F.coalesce(F.col("\x01w") * F.col(c), F.lit(0.0)))).alias(c) for c in ("re", "im")}
+    coarse = found.groupBy("constituent", "gi", "gj", "lon", "lat").agg(*mean.values())
+    lon = F.when(F.col("lon") <= 0, F.col("lon") + 360).otherwise(F.col("lon"))
+    local = cells.where("patch > 0").select("constituent", F.floor(lon * per_degree).cast("int").alias("gi"), F.floor((F.col("lat") + 90) * per_degree).cast("int").alias("gj"), F.struct("patch", "re", "im").alias("p"))
+    local = local.groupBy("constituent", "gi", "gj").agg(F.max("p").alias("p"))
+    both = coarse.join(local, ["constituent", "gi", "gj"], "left")
+    value = lambda c: F.when(F.col("p").isNotNull(), F.col(f"p.{c}")).otherwise(F.col(c)).alias(c)
+    return both.select("constituent", F.col("gi").alias("i"), F.col("gj").alias("j"), "lon", "lat", value("re"), value("im"), F.col("p.patch").alias("patch"))

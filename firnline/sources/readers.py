@@ -156,6 +156,65 @@ def tide_elevations(spark: SparkSession, path: str) -> DataFrame:
     return files_.mapInArrow(decode, "path string, constituent string, i int, j int, re double, im double")
 
 
+def _records(raw: bytes) -> Iterator[bytes]:
+    """The records of a file in which each stands between two copies of its length."""
+    at = 0
+    while at + 4 <= len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        if raw[at + 4 + size : at + 8 + size] != raw[at : at + 4]:
+            raise ValueError(f"no record at byte {at}")
+        yield raw[at + 4 : at + 4 + size]
+        at += size + 8
+
+
+def compact_tide_elevations(spark: SparkSession, path: str) -> DataFrame:
+    """Constituents of compact tide models: path, patch, name, constituent, i, j, lon, lat, re, im.
+
+    A file holds a global grid (patch 0, no name), as `tide_elevations` reads it, and then local patches, numbered in
+    order: a header (sizes, limits, names of the constituents and of the patch), the places of their wet cells, and a record
+    of these cells' values for each constituent. lon and lat are cells' centres; global cells without a tide have
+    NULLs, of patches only wet cells have rows. One task a file; constituents are emitted one at a time.
+    """
+    import pyarrow as pa
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def rows(file, patch, name, constituent, i, j, size, limits, values):
+            (lat0, lat1), (lon0, lon1) = limits
+            lon, lat = lon0 + (i + 0.5) * (lon1 - lon0) / size[0], lat0 + (j + 0.5) * (lat1 - lat0) / size[1]
+            void = (values == 0).all(axis=1) if not patch else None
+            same = lambda v, kind: pa.array([v] * len(i), kind)
+            cols = [same(file, pa.string()), same(patch, pa.int32()), same(name, pa.string()), same(constituent, pa.string()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(lon), pa.array(lat), pa.array(values[:, 0], mask=void), pa.array(values[:, 1], mask=void)]
+            return pa.RecordBatch.from_arrays(cols, names=["path", "patch", "name", "constituent", "i", "j", "lon", "lat", "re", "im"])
+
+        def limits(record, at):
+            return np.frombuffer(record, ">f4", 4, at).astype(float).reshape(2, 2)
+
+        def names(record, at, n):
+            return [record[at + 4 * k : at + 4 * k + 4].decode("ascii").strip() for k in range(n)]
+
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                records = _records(content.as_py())
+                head = next(records)
+                nx, ny, nc = (int(v) for v in np.frombuffer(head, ">i4", 3))
+                j, i = np.divmod(np.arange(nx * ny), nx)
+                for constituent in names(head, 28, nc):
+                    yield rows(file, 0, None, constituent, i, j, (nx, ny), limits(head, 12), np.frombuffer(next(records), ">f4").astype(float).reshape(-1, 2))
+                patch = 0
+                for head in records:
+                    patch += 1
+                    nx, ny, nc, n = (int(v) for v in np.frombuffer(head, ">i4", 4))
+                    name = head[32 + 4 * nc : 52 + 4 * nc].decode("ascii").strip()
+                    places = np.frombuffer(next(records), ">i4").astype(np.int64)
+                    for constituent in names(head, 32, nc):
+                        yield rows(file, patch, name, constituent, places[:n] - 1, places[n : 2 * n] - 1, (nx, ny), limits(head, 16), np.frombuffer(next(records), ">f4").astype(float).reshape(-1, 2))
+
+    files_ = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files_.mapInArrow(decode, "path string, patch int, name string, constituent string, i int, j int, lon double, lat double, re double, im double")
+
+
 def amplitude_phase_grids(spark: SparkSession, path: str, missing: float = 999.0, header: int = 7) -> DataFrame:
     """ASCII grids of amplitude and then phase (degrees), each after its header lines: path, i, j, re, im.
 
