@@ -39,7 +39,9 @@ RADIUS = 20
 #: Least hashes in a sketch, one byte each; a likeness of 0.8 is read to within 0.035 (standard deviation).
 SKETCH, MARGIN = 128, 0.1
 #: Rows of a tile, and of a task, that are settled by their whole sets.
-SETTLED_ROWS, SETTLED_TASK = 2048, 4096
+SETTLED_ROWS, SETTLED_TASK = 1024, 1024
+#: Numbers of shingles that are compared with a text at once.
+COMPARED = 200_000
 #: Documents that go, and texts whose sets are compared, are sent to all executors up to so many; beyond, texts are shuffled.
 BROADCAST_GONE, BROADCAST_NODES = 500_000, 1_000_000
 
@@ -115,8 +117,8 @@ def _settled(pdf, radius: int, similarity: float):
         sets = [np.frombuffer(x, np.uint32) for x in tile["held"]]
         size = np.array([len(x) for x in sets])
         edges = np.concatenate([[0], np.cumsum(size)])
-        ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if edges[-1] else np.zeros(0, np.int64)
-        mark = np.zeros(edges[-1] + 1, np.int32)
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32) if edges[-1] else np.zeros(0, np.int32)
+        mark = np.zeros(edges[-1] + 1, np.int8)
         for k in range(len(names) - 1):
             later = np.flatnonzero((group[k + 1 :] != group[k]) & (np.bitwise_count(prints[k + 1 :] ^ prints[k]) <= radius)) + k + 1
             # sizes that differ by more than the similarity allows share too little
@@ -124,12 +126,15 @@ def _settled(pdf, radius: int, similarity: float):
             if not len(later):
                 continue
             mark[ids[edges[k] : edges[k + 1]]] = 1
-            n = size[later]
-            at = np.repeat(edges[later] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            held = np.concatenate([[0], np.cumsum(mark[ids[at]])])
-            common = np.diff(held[np.concatenate([[0], np.cumsum(n)])])
+            common = np.zeros(len(later), np.int64)
+            parts = np.searchsorted(np.cumsum(size[later]), np.arange(0, size[later].sum() + 1, COMPARED))
+            for a, b in zip([0, *(parts[1:] + 1)], [*(parts[1:] + 1), len(later)]):
+                n = size[later[a:b]]
+                at = np.repeat(edges[later[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                held = np.concatenate([[0], np.cumsum(mark[ids[at]], dtype=np.int64)])
+                common[a:b] = np.diff(held[np.concatenate([[0], np.cumsum(n)])])
             mark[ids[edges[k] : edges[k + 1]]] = 0
-            for j in later[common >= similarity * (n + size[k] - common) - 1e-9].tolist():
+            for j in later[common >= similarity * (size[later] + size[k] - common) - 1e-9].tolist():
                 if group[j] != group[k]:
                     out.append((names[k], names[j]))
                     group[group == group[j]] = group[k]

@@ -232,15 +232,8 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def _features(tables: Tables, texts: list[str | None], known: dict[str, float]):
-    """For each text: mean ratio for a character, its strongest expressions' ratios, log of the length."""
-    import numpy as np
-
-    parts = [_features_of(tables, texts[k : k + 200], known) for k in range(0, len(texts), 200)]
-    return np.concatenate(parts) if parts else np.zeros((0, FEATURES))
-
-
 def _features_of(tables: Tables, texts: list[str | None], known: dict[str, float]):
+    """For each text: mean ratio for a character, its strongest expressions' ratios, log of the length."""
     import numpy as np
 
     split = [words_of(t) for t in texts]
@@ -323,15 +316,18 @@ def _with_evidence(rows: DataFrame, model: Model, text_col: str, name: str) -> D
         return rows.withColumns(keys).join(found, list(keys), "left").withColumn(name, F.coalesce(name, none)).select(*rows.columns, name)
     shared = model.shared
 
-    import pandas as pd
+    import numpy as np
+    import pyarrow as pa
 
-    def judged(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def judged(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words: dict[str, float] = {}
-        for texts in parts:
-            yield pd.Series(list(_features(shared.value, texts.tolist(), words)))
+        for texts in parts:  # a few texts in Python at a time, as a batch may have long ones
+            found = [_features_of(shared.value, texts.slice(k, 200).to_pylist(), words) for k in range(0, len(texts), 200)]
+            flat = pa.array(np.concatenate(found).ravel() if found else np.zeros(0))
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32()), flat)
 
-    judged.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return rows.withColumn(name, F.pandas_udf(judged, "array<double>")(text_of(text_col)))
+    judged.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return rows.withColumn(name, F.arrow_udf(judged, "array<double>")(text_of(text_col)))
 
 
 def _logistic(x, y, ridge: float = 1e-2, rounds: int = 50):
