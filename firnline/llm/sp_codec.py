@@ -29,6 +29,8 @@ SPACE = "▁"
 #: Words in each of a cache's two generations, and pairs that a worker keeps before it starts afresh.
 CACHE_WORDS = 150_000
 CACHE_PAIRS = 500_000
+#: Rows of one batch of results, which may hold all ids of their texts.
+ROWS = 500
 #: Characters at the end of a word that may be the rest behind a known word.
 REST = 6
 
@@ -317,7 +319,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model_path)
         head, tail = struct.pack("<I", c.bos), struct.pack("<I", c.eos)
-        for batch in batches:
+        for batch in (part for whole in batches for part in (whole.slice(k, ROWS) for k in range(0, whole.num_rows, ROWS))):
             col = batch.column(batch.num_columns - 1)
             n, ids, sha, back = [], [], [], []
             for k in range(batch.num_rows):
