@@ -46,8 +46,11 @@ def _half_turn(degrees: Column) -> Column:
     return F.pmod(degrees + 180, F.lit(360.0)) - 180
 
 
-def forward(lon: Column, lat: Column, azimuth: Column, distance: Column, rounds: int = ROUNDS) -> Column:
-    """Struct (lon, lat) of the place at `distance` metres from a place, in degrees, in the direction `azimuth`, degrees from north."""
+def forward(lon: Column, lat: Column, azimuth: Column, distance: Column, rounds: int = ROUNDS, turns: bool = False) -> Column:
+    """Struct (lon, lat) of the place at `distance` metres from a place, in degrees, in the direction `azimuth`, degrees from north.
+
+    Longitudes are -180 to 180; with `turns` they go on from that of the first place, on whatever turn it is.
+    """
 
     def sphere(g: Column) -> Column:  # tangent of the reduced latitude
         cu = 1 / F.sqrt(1 + g["t"] * g["t"])
@@ -74,7 +77,7 @@ def forward(lon: Column, lat: Column, azimuth: Column, distance: Column, rounds:
         phi = F.atan2(g["su"] * k["cos"] + g["cu"] * k["sin"] * g["ca"], (1 - FLAT) * F.sqrt(g["sin_a"] * g["sin_a"] + across * across))
         lam = F.atan2(k["sin"] * g["sa"], g["cu"] * k["cos"] - g["su"] * k["sin"] * g["ca"])
         out = g["lon"] + F.degrees(lam - _shift(g["cos2"], g["sin_a"], k["m"], k["sin"], k["cos"], h["s"]))
-        return F.struct(_half_turn(out).alias("lon"), F.degrees(phi).alias("lat"))
+        return F.struct((out if turns else _half_turn(out)).alias("lon"), F.degrees(phi).alias("lat"))
 
     return bound(sphere, t=(1 - FLAT) * F.tan(F.radians(lat)), ca=F.cos(F.radians(azimuth)), sa=F.sin(F.radians(azimuth)), lon=lon, d=distance)
 
@@ -130,15 +133,15 @@ def curvature_radius(lat: Column, azimuth: Column) -> Column:
 
 
 # PRJ-16
-def relocated(df: DataFrame, lon: str, lat: str, h: str, rng: str, slope: str, aspect: str) -> DataFrame:
+def relocated(df: DataFrame, lon: str, lat: str, h: str, rng: str, slope: str, aspect: str, turns: bool = False) -> DataFrame:
     """`df` with lon_echo, lat_echo, h_echo and dist_cor: the echo's point of origin up the slope, and the height there.
 
     `rng` is the range in metres, `slope` in radians, `aspect` the direction up the slope in degrees from north. The Earth's
-    curvature in that direction is taken off the height. On flat ground the point stays.
+    curvature in that direction is taken off the height. On flat ground the point stays. `turns`: see `forward`.
     """
     c = F.col
     d = c(rng) * F.sin(slope)
     height = c(h) + c(rng) - (c(rng) * F.cos(slope) + d * d / (2 * curvature_radius(c(lat), c(aspect))))
-    q = df.withColumns({"\x01at": forward(c(lon), c(lat), c(aspect), d), "\x01h": height, "\x01d": d})
+    q = df.withColumns({"\x01at": forward(c(lon), c(lat), c(aspect), d, turns=turns), "\x01h": height, "\x01d": d})
     out = {"lon_echo": c("\x01at")["lon"], "lat_echo": c("\x01at")["lat"], "h_echo": c("\x01h"), "dist_cor": c("\x01d")}
     return q.withColumns(out).drop("\x01at", "\x01h", "\x01d")
