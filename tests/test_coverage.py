@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from firnline.plans import registry
+from firnline.plans import fitting, registry
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +66,14 @@ def test_one_sample_has_no_line(spark, tmp_path):
     got, want = rows_of_both(spark, tmp_path, "cub17_error_cube")
     assert want["err_h"].isna().any()
     assert (got["err_h"].isna() == want["err_h"].isna()).all() and (got["err_h"] - want["err_h"]).abs().max() < 2e-6
+
+
+def test_nodes_stand_at_occupied_cells(spark, tmp_path):
+    """Points in two far corners have nodes there, not all over the box between, and the same rows as apart."""
+    t = spark.read.parquet(f"{SF}/lineitem.parquet")
+    shift = {"l_partkey": F.col("l_partkey") + 10_000_000, "l_suppkey": F.col("l_suppkey") + 500_000}
+    t.unionByName(t.withColumns(shift)).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    p = registry.points(spark, str(tmp_path))
+    assert fitting._nodes(spark, p, 5000.0).count() < 200
+    n = QUERIES["fit3_elevation_change"](spark, SF).count()
+    assert n > 0 and QUERIES["fit3_elevation_change"](spark, str(tmp_path)).count() == 2 * n
