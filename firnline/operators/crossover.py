@@ -31,9 +31,9 @@ def _pairs_of_tracks(one: DataFrame, two: DataFrame, same_table: bool) -> int:
     return n * (n - 1) // 2 if same_table else n * two.count() - one.join(two, F.col("l_track") == F.col("r_track")).count()
 
 
-def _crossing(one: DataFrame, two: DataFrame, cell: float, order, crossed: DataFrame | None) -> DataFrame:
+def _crossing(one: DataFrame, two: DataFrame, cell: float, wanted, crossed: DataFrame | None) -> DataFrame:
     """The first crossing of each pair of tracks, as a pair of segments with u and v; none for pairs in `crossed`."""
-    pairs = overlapping_boxes(one, two, ("xlo", "xhi", "ylo", "yhi"), cell).where(order)
+    pairs = overlapping_boxes(one, two, ("xlo", "xhi", "ylo", "yhi"), cell).where(wanted)
     if crossed is not None:
         pairs = pairs.join(crossed.select("l_track", "r_track"), ["l_track", "r_track"], "left_anti")
     c = F.col
@@ -58,13 +58,13 @@ def crossovers(a: DataFrame, b: DataFrame, track: str, order: list[str], t: str,
     one = cut(one)
     two = one if same_table else cut(two)
     tracks = one.select("track").distinct().select(F.col("track").alias("l_track")), two.select("track").distinct().select(F.col("track").alias("r_track"))
-    order = F.col("l_track") < F.col("r_track") if same_table else F.col("l_track") != F.col("r_track")
+    wanted = F.col("l_track") < F.col("r_track") if same_table else F.col("l_track") != F.col("r_track")
     total = _pairs_of_tracks(*tracks, same_table)
     last = one.agg(F.max("at")).first()[0] or 0
     q, low, high = None, 0, FIRST
     while q is None or low < last:
         some = one.where((F.col("at") > low) & (F.col("at") <= high))
-        found = _crossing(some, two, cell, order, q)
+        found = _crossing(some, two, cell, wanted, q)
         q = found if q is None else q.unionByName(found)
         if q.count() >= total:
             break

@@ -214,3 +214,15 @@ def test_stream_of_granules(spark, tmp_path):
     q.awaitTermination()
     assert sorted((r.orbit, r.mean, r.n) for r in spark.table("binned").collect()) == [(1, 2.0, 2), (2, 5.0, 1)]
     assert schema
+
+
+def test_crossings_late_on_a_track_are_found(spark):
+    """First crossings at segments of several rounds, in any order, and none for the pair that has none."""
+    line = [("a", float(k), k + 0.0, 0.0, float(k)) for k in range(400)]
+    rows = list(line)
+    for name, at in (("b", 5.5), ("c", 40.25), ("d", 300.5)):
+        rows += [(name, 0.0, at, -1.0, 0.0), (name, 1.0, at, 1.0, 0.0), (name, 2.0, at + 60.0, -1.0, 0.0)]
+    rows += [("e", 0.0, 0.0, 50.0, 0.0), ("e", 1.0, 399.0, 50.0, 0.0)]
+    df = spark.createDataFrame(rows, "orbit string, t double, x double, y double, h double")
+    got = {(r.track_1, r.track_2): r.x for r in crossover.crossovers(df, df, "orbit", ["t"], "t", "h", 20.0, same_table=True).collect() if r.track_1 == "a"}
+    assert got == pytest.approx({("a", "b"): 5.5, ("a", "c"): 40.25, ("a", "d"): 300.5})
