@@ -95,8 +95,8 @@ def _model(kind: str, d, c0: float, a: float):
     return c0 * np.exp(-d / (a * 1.4427))
 
 
-#: Points of a node whose system is solved as one matrix; larger ones are solved by rows of so many numbers at a time.
-DENSE, ROWS = 3_000, 4_000_000
+#: Points of a node whose system is solved as one matrix (512 MB and a copy); larger ones are solved by rows of so many numbers at a time.
+DENSE, ROWS = 8_000, 4_000_000
 #: Points whose view of a large system speeds up its solution.
 LANDMARKS = 600
 
@@ -153,12 +153,14 @@ def solve(x0: float, y0: float, x, y, z, s, a: float, kind: str = "markov", same
     to = _model(kind, np.hypot(x - x0, y - y0), c0, a)
     if tau:
         to = to * np.exp(-(((t - t0) / tau) ** 2))
+    parts = np.array_split(np.arange(len(z)), max(1, len(z) * len(z) // ROWS))
     if len(z) <= dense:
-        system = rows(np.arange(len(z)))
+        system = np.empty((len(z), len(z)))
+        for k in parts:
+            system[k] = rows(k)
         system[np.diag_indices(len(z))] += noise
         weights = np.linalg.solve(system, to)
     else:
-        parts = np.array_split(np.arange(len(z)), max(1, len(z) * len(z) // ROWS))
         weights = _by_gradients(rows, noise, to, parts, LANDMARKS)
     return float(mean + weights @ (z - mean)), float(np.sqrt(max(c0 - weights @ to, 0.0)))
 
