@@ -8,6 +8,7 @@ Rows with a NULL coordinate match nothing.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,18 +32,21 @@ def _around(x: Column, y: Column, size: float, rings: int = 1) -> Column:
     return F.flatten(F.transform(steps, lambda i: F.transform(steps, lambda j: F.struct((_cell(x, size) + i).alias("cx"), (_cell(y, size) + j).alias("cy")))))
 
 
-def candidates(left: DataFrame, right: DataFrame, size: float, rings: int = 1, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs whose cells are at most `rings` apart, with columns l_*, r_* and d2."""
+def candidates(left: DataFrame, right: DataFrame, size: float, rings: int = 1, x: str = "x", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs whose cells are at most `rings` apart and that agree in `by`, with columns l_*, r_* and d2."""
     probe = _prefixed(left, "l_").withColumn("\x01c", F.explode(_around(F.col(f"l_{x}"), F.col(f"l_{y}"), size, rings)))
     probe = probe.select(*[f"l_{c}" for c in left.columns], F.col("\x01c.cx").alias("\x01x"), F.col("\x01c.cy").alias("\x01y"))
     build = _prefixed(right, "r_").withColumns({"\x01x": _cell(F.col(f"r_{x}"), size), "\x01y": _cell(F.col(f"r_{y}"), size)})
     dx, dy = F.col(f"l_{x}") - F.col(f"r_{x}"), F.col(f"l_{y}") - F.col(f"r_{y}")
-    return probe.join(build, ["\x01x", "\x01y"]).drop("\x01x", "\x01y").withColumn("d2", dx * dx + dy * dy)
+    probe = probe.withColumns({f"\x01b{k}": F.col(f"l_{c}") for k, c in enumerate(by)})
+    build = build.withColumns({f"\x01b{k}": F.col(f"r_{c}") for k, c in enumerate(by)})
+    same = [f"\x01b{k}" for k in range(len(by))]
+    return probe.join(build, ["\x01x", "\x01y", *same]).drop(*same).drop("\x01x", "\x01y").withColumn("d2", dx * dx + dy * dy)
 
 
-def radius_join(left: DataFrame, right: DataFrame, r: float, x: str = "x", y: str = "y") -> DataFrame:
-    """All pairs at most `r` apart (closed), with columns l_*, r_* and d2."""
-    return candidates(left, right, r, 1, x, y).where(F.col("d2") <= r * r)
+def radius_join(left: DataFrame, right: DataFrame, r: float, x: str = "x", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs at most `r` apart (closed) that agree in `by`, with columns l_*, r_* and d2."""
+    return candidates(left, right, r, 1, x, y, by).where(F.col("d2") <= r * r)
 
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, key: str, tie: str, rings: int = 1, x: str = "x", y: str = "y", sectors: int = 0, exclude_self: bool = False) -> DataFrame:
@@ -50,15 +54,18 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, size: float, key: str, t
 
     Rounds look at ever more rings of cells; a row is settled when its k-th neighbour is no farther than
     what the rings cover for certain. Rows of `left` are told apart by `key`, equal distances settled by
-    `tie`. Rows that never find k neighbours get what there is once the rings cover all points; as cells double
+    `tie`. Cells begin at `size`, or smaller where the points are so many that a cell would hold more than about 2 k.
+    Rows that never find k neighbours get what there is once the rings cover all points; as cells double
     in each round, that is after some rounds at most. Rows without a place have no neighbours.
     """
     from .filters import sector as sector_of
     from .layout import cut
 
-    bounds = right.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    bounds = right.agg(F.min(x), F.max(x), F.min(y), F.max(y), F.count("*")).first()
     if bounds[0] is None:
         return candidates(left.limit(0), right, size, 1, x, y).withColumn("place", F.lit(1))
+    dense = math.sqrt((bounds[1] - bounds[0]) * (bounds[3] - bounds[2]) * 2 * k * max(sectors, 1) / bounds[4])
+    size = min(size, dense) if 0 < dense < math.inf else size
     part = [f"l_{key}"] + (["sector"] if sectors else [])
     open_, out = left, None
     while True:
@@ -146,9 +153,9 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crosses) % 2 == 1
 
 
-def lag_pairs(df: DataFrame, key: str, most: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Pairs of different rows at most `most` apart, each once, with their distance."""
-    return radius_join(df, df, most, x, y).where(F.col(f"l_{key}") < F.col(f"r_{key}")).withColumn("dist", F.sqrt("d2"))
+def lag_pairs(df: DataFrame, key: str, most: float, x: str = "x", y: str = "y", by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of different rows at most `most` apart that agree in `by`, each once, with their distance."""
+    return radius_join(df, df, most, x, y, by).where(F.col(f"l_{key}") < F.col(f"r_{key}")).withColumn("dist", F.sqrt("d2"))
 
 
 def as_of(obs: DataFrame, ref: DataFrame, by: list[str], t: str, value: str, name: str) -> DataFrame:
