@@ -86,7 +86,7 @@ with z as (select pid, mission, x, y, z - avg(z) over (partition by mission) as
 select mission, floor(d / 0.05e0)::bigint as k, round(avg(zz), 8) as cov, count(*) as n from p group by 1, 2 having count(*) >= 3""")
 def agg8(spark, sf):
     c = cloud(spark, sf).withColumn("z", F.col("z") - F.avg("z").over(Window.partitionBy("mission")))
-    pairs = spatial.lag_pairs(c, "pid", 0.3).where("l_mission = r_mission").withColumnRenamed("l_mission", "mission")
+    pairs = spatial.lag_pairs(c, "pid", 0.3, by=("mission",)).withColumnRenamed("l_mission", "mission")
     q = bins.lag_covariance(pairs, "l_z", "r_z", "dist", 0.05, 3, ["mission"])
     return q.select("mission", "k", F.round("cov", 8).alias("cov"), "n")
 

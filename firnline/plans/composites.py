@@ -280,7 +280,7 @@ def src17(spark, sf):
 @query("jn14_same_track_pairs", "select a.mission, count(*) as n, round(sum(a.z * b.z), 6) as zz from {cloud} a join {cloud} b on a.mission = b.mission and a.pid <> b.pid and (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 0.04e0 group by 1")
 def jn14(spark, sf):
     c = cloud(spark, sf)
-    q = spatial.radius_join(c, c, 0.2).where("l_mission = r_mission and l_pid <> r_pid")
+    q = spatial.radius_join(c, c, 0.2, by=("mission",)).where("l_pid <> r_pid")
     return q.groupBy(F.col("l_mission").alias("mission")).agg(F.count("*").alias("n"), F.round(F.sum(F.col("l_z") * F.col("r_z")), 6).alias("zz"))
 
 

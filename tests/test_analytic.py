@@ -226,3 +226,10 @@ def test_crossings_late_on_a_track_are_found(spark):
     df = spark.createDataFrame(rows, "orbit string, t double, x double, y double, h double")
     got = {(r.track_1, r.track_2): r.x for r in crossover.crossovers(df, df, "orbit", ["t"], "t", "h", 20.0, same_table=True).collect() if r.track_1 == "a"}
     assert got == pytest.approx({("a", "b"): 5.5, ("a", "c"): 40.25, ("a", "d"): 300.5})
+
+
+def test_lag_pairs_of_one_mission_are_those_of_all(spark):
+    r = random.Random(3)
+    df = spark.createDataFrame([(k, r.random(), r.random(), k % 3) for k in range(60)], "pid long, x double, y double, mission long")
+    pairs = lambda q: {(p.l_pid, p.r_pid) for p in q.collect()}
+    assert pairs(spatial.lag_pairs(df, "pid", 0.3, by=("mission",))) == pairs(spatial.lag_pairs(df, "pid", 0.3).where("l_mission = r_mission"))
