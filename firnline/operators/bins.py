@@ -6,11 +6,15 @@ are exploded to their bins by arithmetic, never joined to a table of bins.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .robust import MAD_SCALE
 
+#: Points in a part of a block whose pairs are counted together, and pairs of parts in a task.
+BLOCK, PART_PAIRS = 1000, 200
 
 def overlap_bins(df: DataFrame, by: list[str], x: str, x0: float, dx: float, window: float, n_bins: int) -> DataFrame:
     """One row for each bin (column k, 0 .. n_bins - 1) that a value lies in."""
@@ -81,6 +85,56 @@ def lag_covariance(pairs: DataFrame, zl: str, zr: str, dist: str, step: float, a
     return out.where(F.col("n") >= at_least).withColumn("lag", (F.col("k") + 0.5) * step)
 
 
+def binned_products(df: DataFrame, key: str, value: str, most: float, step: float, at_least: int = 15, x: str = "x", y: str = "y") -> DataFrame:
+    """`lag_covariance` of all pairs at most `most` apart, counted in the tasks: k, cov, n and lag; no row is made for a pair.
+
+    Points go to square blocks half as wide as `most`, parts of at most about BLOCK points; each part meets those of its
+    own and of the blocks around, a pair of parts in one row. In a task a slab of distances is all that is held.
+    Every pair counts once; rows without a place or key have no pairs. Time grows with the pairs, memory does not.
+    """
+    import pyarrow as pa
+
+    from .layout import cut
+
+    size = most / 2
+    rows = df.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.coalesce(F.col(value).cast("double"), F.lit(0.0)).alias("v"), F.col(value).isNotNull().cast("int").alias("has"))
+    rows = rows.dropna().where(~F.isnan("x") & ~F.isnan("y")).withColumns({"i": F.floor(F.col("x") / size), "j": F.floor(F.col("y") / size)})
+    rows = rows.join(rows.groupBy("i", "j").agg(F.ceil(F.count("*") / BLOCK).alias("of")), ["i", "j"])
+    parts = cut(rows.groupBy("i", "j", F.pmod(F.xxhash64("k"), "of").alias("part")).agg(F.collect_list(F.struct("k", "x", "y", "v", "has")).alias("points")))
+    around = F.sequence(F.lit(-3), F.lit(3))
+    probe = parts.select("i", "j", "part", F.col("points").alias("here"), F.explode(around).alias("di")).withColumn("dj", F.explode(around))
+    probe = probe.select("i", "j", "part", "here", (F.col("i") + F.col("di")).alias("oi"), (F.col("j") + F.col("dj")).alias("oj"))
+    there = parts.select(F.col("i").alias("oi"), F.col("j").alias("oj"), F.col("part").alias("opart"), F.col("points").alias("there"))
+    pairs = probe.join(there, ["oi", "oj"]).where(F.struct("i", "j", "part") <= F.struct(F.col("oi").alias("i"), F.col("oj").alias("j"), F.col("opart").alias("part")))
+    same = (F.col("i") == F.col("oi")) & (F.col("j") == F.col("oj")) & (F.col("part") == F.col("opart"))
+    n_bins = int(most / step) + 2
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        total, n, valid = np.zeros(n_bins), np.zeros(n_bins, np.int64), np.zeros(n_bins, np.int64)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                a, b = ([batch.column(c)[r].values.field(f).to_numpy() for f in ("k", "x", "y", "v", "has")] for c in (0, 1))
+                one = batch.column(2)[r].as_py()
+                slab = max(1, 250_000 // len(b[0]))
+                for s in range(0, len(a[0]), slab):
+                    k, px, py, v, has = (c[s : s + slab, None] for c in a)
+                    d2 = (px - b[1]) ** 2 + (py - b[2]) ** 2
+                    ok = d2 <= most * most
+                    ok &= (k < b[0]) if one else (k != b[0])
+                    at = np.floor(np.sqrt(d2[ok]) / step).astype(np.int64)
+                    n += np.bincount(at, minlength=n_bins)
+                    here = (has * b[4])[ok] == 1
+                    valid += np.bincount(at[here], minlength=n_bins)
+                    total += np.bincount(at[here], (v * b[3])[ok][here], n_bins)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_bins)), pa.array(total), pa.array(n), pa.array(valid)], names=["k", "total", "n", "valid"])
+
+    spread = pairs.select("here", "there", same.alias("same")).repartition(max(8, -(-(parts.count() ** 2) // (2 * PART_PAIRS))))
+    out = spread.mapInArrow(count, "k long, total double, n long, valid long").groupBy("k").agg(F.try_divide(F.sum("total"), F.sum("valid")).alias("cov"), F.sum("n").alias("n"))
+    return out.where(F.col("n") >= at_least).withColumn("lag", (F.col("k") + 0.5) * step)
+
+
 def autocovariance(df: DataFrame, by: list[str], order: list[str], value: str, most: int) -> DataFrame:
     """Sum of products of a centred series with itself at lags 0 .. most rows, over its sum of squares, times its variance."""
     from functools import reduce

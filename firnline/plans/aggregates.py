@@ -77,7 +77,7 @@ select floor(d / 0.02e0)::bigint as k, round(avg(zz), 8) as cov, count(*) as n,
 def agg7(spark, sf):
     c = cloud(spark, sf)
     c = c.join(F.broadcast(c.agg(F.avg("z").alias("m")))).withColumn("z", F.col("z") - F.col("m"))
-    q = bins.lag_covariance(spatial.lag_pairs(c, "pid", 0.2), "l_z", "r_z", "dist", 0.02)
+    q = bins.binned_products(c, "pid", "z", 0.2, 0.02)
     return q.select("k", F.round("cov", 8).alias("cov"), "n", F.round("lag", 6).alias("lag"))
 
 

@@ -134,12 +134,12 @@ def fit9_series(spark, sf):
 
 @query("fit10_covariance_model")
 def fit10(spark, sf):
-    from firnline.operators import bins, spatial
+    from firnline.operators import bins
 
     c = cloud(spark, sf)
     c = c.join(F.broadcast(c.agg(F.avg("z").alias("m")))).withColumn("z", F.col("z") - F.col("m"))
     # a covariance table has as many rows as lags, so its model is fitted on the driver
-    rows = bins.lag_covariance(spatial.lag_pairs(c, "pid", 0.3), "l_z", "r_z", "dist", 0.02).orderBy("k").collect()
+    rows = bins.binned_products(c, "pid", "z", 0.3, 0.02).orderBy("k").collect()
     out = [(kind, *map(float, interpolation.fit_covariance([r["lag"] for r in rows], [r["cov"] for r in rows], kind))) for kind in ("gauss", "markov", "generic", "exp")]
     return _r(spark.createDataFrame(out, "model string, c0 double, a double, misfit double"), ["model"], ["c0", "a", "misfit"])
 
@@ -147,11 +147,11 @@ def fit10(spark, sf):
 @query("fit10_robust_covariance")
 def fit10_robust(spark, sf):
     """Robust covariance models of the cloud's medians by lag, with their lengths."""
-    from firnline.operators import bins, spatial
+    from firnline.operators import bins
 
     c = cut(cloud(spark, sf))
     c = c.withColumn("z", F.col("z") - F.lit(c.agg(F.avg("z")).first()[0] or 0.0))
-    rows = bins.lag_covariance(spatial.lag_pairs(c, "pid", 0.3), "l_z", "r_z", "dist", 0.02).orderBy("k").collect()
+    rows = bins.binned_products(c, "pid", "z", 0.3, 0.02).orderBy("k").collect()
     out = [(kind, *interpolation.robust_covariance([r["lag"] for r in rows], [r["cov"] for r in rows], kind).values()) for kind in ("gauss", "markov", "generic", "exp")] if len(rows) > 2 else []
     q = spark.createDataFrame(out, "model string, c0 double, a double, misfit double, half double, efold double, zero double")
     return _r(q, ["model"], ["c0", "a", "misfit", "half", "efold", "zero"])
