@@ -102,8 +102,8 @@ def nearest_within(ref: DataFrame, obs: DataFrame, d: float, key: str, tie: str,
         lo, hi = (max(a[0], b[0]), max(a[2], b[2])), (min(a[1], b[1]), min(a[3], b[3]))
         box = (F.col(x) > lo[0]) & (F.col(x) < hi[0]) & (F.col(y) > lo[1]) & (F.col(y) < hi[1])
         ref, obs = ref.where(box), obs.where(box)
-    pairs = radius_join(ref, obs, d, x, y)
-    best = pairs.withColumn("\x01at", F.row_number().over(Window.partitionBy(f"l_{key}").orderBy("d2", f"r_{tie}"))).where(F.col("\x01at") == 1).drop("\x01at")
+    ref, obs = (q.where(~F.isnan(x) & ~F.isnan(y)) for q in (ref, obs))
+    best = knn_join(ref, obs, 1, d, key, tie, x=x, y=y).where((F.col("place") == 1) & (F.col("d2") <= d * d)).drop("place")
     return best if t is None else best.where(F.abs(F.col(f"l_{t}") - F.col(f"r_{t}")) <= span)
 
 
