@@ -27,11 +27,8 @@ def quadratic(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
 
 
 def plane_trend(df: DataFrame, by: list[str], x: str, y: str, value: str) -> DataFrame:
-    """value = c + a x + b y for each group, by normal equations: columns a, b, c, n."""
-    w = Window.partitionBy(*by)
-    q = df.dropna(subset=[x, y, value]).withColumns({"\x01x": F.col(x) - F.avg(x).over(w), "\x01y": F.col(y) - F.avg(y).over(w)})
-    X, Y, V = F.col("\x01x"), F.col("\x01y"), F.col(value)
-    s = q.groupBy(*by).agg(F.sum(X * X).alias("xx"), F.sum(X * Y).alias("xy"), F.sum(Y * Y).alias("yy"), F.sum(X * V).alias("xv"), F.sum(Y * V).alias("yv"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(value).alias("mv"), F.count("*").alias("n"))
+    """value = c + a x + b y for each group, by normal equations: columns a, b, c, n. Groups may be of any size: tasks hold centred moments only."""
+    s = df.dropna(subset=[x, y, value]).groupBy(*by).agg(F.var_pop(x).alias("xx"), F.covar_pop(x, y).alias("xy"), F.var_pop(y).alias("yy"), F.covar_pop(x, value).alias("xv"), F.covar_pop(y, value).alias("yv"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.avg(value).alias("mv"), F.count("*").alias("n"))
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     s = s.withColumns({"a": F.try_divide(F.col("xv") * F.col("yy") - F.col("yv") * F.col("xy"), det), "b": F.try_divide(F.col("yv") * F.col("xx") - F.col("xv") * F.col("xy"), det)})
     return s.select(*by, "a", "b", (F.col("mv") - F.col("a") * F.col("mx") - F.col("b") * F.col("my")).alias("c"), "n")
