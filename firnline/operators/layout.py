@@ -23,6 +23,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a task where `spread` deals them.
+ROWS = 200_000
+
+
+def spread(df: DataFrame, by: list[str]) -> DataFrame:
+    """`df` dealt by the columns `by` to as many tasks as give each about `ROWS` rows, for windows and groups that follow.
+
+    The number of tasks grows with the table, so what one of them sorts or gathers does not. Rows are counted first:
+    for tables as they were read, which is cheap.
+    """
+    n = max(-(-df.count() // ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(n, *by)
+
+
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """`df` with its place (from 1) in the given total order."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from firnline.operators import bins, robust, spatial
+from firnline.operators import bins, layout, robust, spatial
 
 from .registry import cloud, points, query, series, tracks
 
@@ -148,7 +148,7 @@ select i, j, round(regr_slope(yb, 1995.0e0 + k * 0.1e0 + 0.125e0), 6) as trend,
 def flagship(spark, sf):
     """Height change of each cell: outliers out, overlapping bins, trend of the bin means."""
     p = points(spark, sf).withColumns({"i": F.floor(F.col("x") / 10000.0), "j": F.floor(F.col("y") / 10000.0)})
-    clean = robust.clip(p, ["i", "j"], "h", 2.0, "std").where(F.col("h").isNotNull())
+    clean = robust.clip(layout.spread(p, ["i", "j"]), ["i", "j"], "h", 2.0, "std").where(F.col("h").isNotNull())
     b = bins.overlap_bins(clean, ["i", "j"], "t_year", 1995.0, 0.1, 0.25, 70).groupBy("i", "j", "k").agg(F.avg("h").alias("yb"), F.count("h").alias("nb"))
     t = 1995.0 + F.col("k") * 0.1 + 0.125
     return b.groupBy("i", "j").agg(F.round(F.regr_slope(F.col("yb"), t), 6).alias("trend"), F.count("*").alias("n_bins"), F.sum("nb").alias("n_values"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.operators import bins, fits, spatial
+from firnline.operators import bins, fits, layout, spatial
 
 
 def cloud(spark, n, seed):
@@ -48,3 +48,11 @@ def test_plane_of_large_groups_needs_no_window(spark):
     assert "Window" not in q._jdf.queryExecution().optimizedPlan().toString()
     r = q.where("not isnan(a)").first() or fits.plane_trend(c.where("not isnan(x)"), ["g"], "x", "y", "z").first()
     assert abs(r.a - 2) < 1e-9 and abs(r.b + 1) < 1e-9 and abs(r.c - 3) < 1e-9
+
+
+def test_cells_are_dealt_to_more_tasks_as_the_table_grows(spark, monkeypatch):
+    from __spark_entry__ import queries
+
+    monkeypatch.setattr(layout, "ROWS", 5_000, raising=False)
+    for name in ("flagship_height_change",):
+        assert queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 12, name
