@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from firnline.functions import columns as C
-from firnline.operators import alongtrack, raster, robust
+from firnline.operators import alongtrack, layout, raster, robust
 
 from .registry import points, query
 
@@ -20,8 +20,8 @@ def _grid(spark, sf):
 
 
 def _cube(spark, sf):
-    p = points(spark, sf)
-    return p.groupBy(F.floor(F.col("x") / 20000.0).alias("i"), F.floor(F.col("y") / 10000.0).alias("j"), F.floor("t_year").alias("k")).agg(F.round(F.avg("h") * 1.4142135623730951, 12).alias("v"))
+    p = points(spark, sf).withColumns({"i": F.floor(F.col("x") / 20000.0), "j": F.floor(F.col("y") / 10000.0)})
+    return layout.spread(p, ["i", "j"]).groupBy("i", "j", F.floor("t_year").alias("k")).agg(F.round(F.avg("h") * 1.4142135623730951, 12).alias("v"))
 
 
 _NEAR = "from {grid} a join {grid} b on abs(a.i - b.i) <= {k} and abs(a.j - b.j) <= {k}"

@@ -54,5 +54,5 @@ def test_cells_are_dealt_to_more_tasks_as_the_table_grows(spark, monkeypatch):
     from __spark_entry__ import queries
 
     monkeypatch.setattr(layout, "ROWS", 5_000, raising=False)
-    for name in ("flagship_height_change",):
+    for name in ("flagship_height_change", "cub22_summary_fields", "cub23_trend_acceleration", "cub19_dem_series", "prj13_cyclic_difference"):
         assert queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 12, name
