@@ -124,6 +124,21 @@ def median(a, k: int):
     return out
 
 
+def distance_within(a, most: int):
+    """Distance to the nearest finite cell at most `most` away, else NaN, of the array without `most` cells at each side: along rows, then columns."""
+    import numpy as np
+
+    there = np.isfinite(a)
+    n, m = a.shape[0] - 2 * most, a.shape[1] - 2 * most
+    along = np.full((a.shape[0], m), np.inf)
+    for d in range(most, -1, -1):
+        along[there[:, most - d : most - d + m] | there[:, most + d : most + d + m]] = d * d
+    best = np.full((n, m), np.inf)
+    for d in range(-most, most + 1):
+        np.minimum(best, along[most + d : most + d + n] + d * d, out=best)
+    return np.where(best <= most * most, np.sqrt(best), np.nan)
+
+
 def envelope(at, height, to):
     """min over k of height[k] + (to - at[k])^2 for each of the sorted places `to`, by the lower envelope of the parabolas.
 

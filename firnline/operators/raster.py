@@ -7,6 +7,7 @@ any size is spread over executors and shuffled about once.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,8 +143,6 @@ def savgol2d(df: DataFrame, window: int, order: int, value: str, deriv: str | No
 
 def hillshade(df: DataFrame, value: str, dx: float, dy: float, azimuth: float = 315.0, altitude: float = 45.0) -> DataFrame:
     """Shade 0 to 255, stretched between the raster's extremes."""
-    import math
-
     g = horn_gradient(df, value, dx, dy)
     slope = F.atan(F.hypot("dzdx", "dzdy"))
     aspect = F.atan2(F.col("dzdy"), -F.col("dzdx"))
@@ -178,8 +177,15 @@ def distance_to(df: DataFrame, zero: Column, extra: list[str] = ()) -> DataFrame
 
 
 def buffer_class(df: DataFrame, zero: Column, classes: int = 5, extra: list[str] = ()) -> DataFrame:
-    """1 .. classes for cells so many steps from the zero cells, 0 inside them, NULL beyond."""
-    return distance_to(df, zero, extra).withColumn("class", F.when(F.col("distance") <= classes, F.ceil("distance").cast("int")))
+    """1 .. classes for cells so many steps from the zero cells, 0 inside them, NULL beyond; `distance` is NULL there too.
+
+    Looks no farther than `classes`, so blocks with a halo do, where `distance_to` needs whole rows and columns.
+    """
+    halo = max(0, math.ceil(classes))
+    marked = df.withColumn("\x01zero", F.when(zero, 1.0))
+    near = gridblocks.mapped(marked, ["\x01zero"], halo, lambda arrays: [gridblocks.distance_within(arrays[0], halo)], ["distance"], extra).drop("\x01zero")
+    lost = df.where("i is null or j is null").withColumn("distance", F.lit(None).cast("double"))
+    return near.unionByName(lost).withColumn("class", F.when(F.col("distance") <= classes, F.ceil("distance").cast("int")))
 
 
 def extend_field(df: DataFrame, value: str, sigmas: list[float], mask: Column | None = None) -> DataFrame:

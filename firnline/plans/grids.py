@@ -15,8 +15,8 @@ _CUBE_SQL = "(select floor(x / 20000.0e0)::bigint as i, floor(y / 10000.0e0)::bi
 
 
 def _grid(spark, sf):
-    p = points(spark, sf)
-    return p.groupBy(F.floor(F.col("y") / 5000.0).alias("j"), (F.col("line") + 7 * F.floor(F.col("x") / 20000.0)).cast("long").alias("i")).agg(F.round(F.avg("h") * 1.4142135623730951, 12).alias("z"))
+    p = points(spark, sf).withColumns({"j": F.floor(F.col("y") / 5000.0), "i": (F.col("line") + 7 * F.floor(F.col("x") / 20000.0)).cast("long")})
+    return layout.spread(p, ["i", "j"]).groupBy("j", "i").agg(F.round(F.avg("h") * 1.4142135623730951, 12).alias("z"))
 
 
 def _cube(spark, sf):

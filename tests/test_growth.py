@@ -1,11 +1,12 @@
 """Steps that must not hold or make more than their input."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from firnline.operators import bins, fits, layout, spatial
+from firnline.operators import bins, fits, gridblocks, layout, raster, spatial
 
 
 def cloud(spark, n, seed):
@@ -56,3 +57,15 @@ def test_cells_are_dealt_to_more_tasks_as_the_table_grows(spark, monkeypatch):
     monkeypatch.setattr(layout, "ROWS", 5_000, raising=False)
     for name in ("flagship_height_change", "cub22_summary_fields", "cub23_trend_acceleration", "cub19_dem_series", "prj13_cyclic_difference"):
         assert queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 12, name
+
+
+def test_buffer_classes_look_no_farther_than_they_reach(spark, monkeypatch):
+    r = random.Random(9)
+    at = {(a + i, b + j) for a, b in ((-6, 250), (90_000, -70_000)) for i in range(14) for j in range(14) if r.random() < 0.9}
+    rows = [(i, j, r.random() < 0.03) for i, j in sorted(at)]
+    zeros = [(i, j) for i, j, z in rows if z]
+    c = spark.createDataFrame([*rows, (None, 3, True)], "i long, j long, zero boolean")
+    monkeypatch.setattr(gridblocks, "squared_distance", None)
+    got = {(q.i, q.j): q["class"] for q in raster.buffer_class(c, F.col("zero"), 5).collect()}
+    want = {(i, j): min((math.ceil(math.hypot(i - a, j - b)) for a, b in zeros if math.hypot(i - a, j - b) <= 5), default=None) for i, j, _ in rows}
+    assert zeros and None in want.values() and got == {**want, (None, 3): None}
