@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blocks
+from .blocks import GATHERED, runs
 
 
 def quadratic(df: DataFrame, by: list[str], t: str, value: str) -> DataFrame:
@@ -386,23 +387,25 @@ def scattering_correction(df: DataFrame, cell: str, pid: str, t: str, h: str, pa
 
     Centred, normalised parameters are regressed on detrended heights; a fit that makes the spread larger
     by more than `worst` is not used. Columns pid, h_bs, r2, d_std and the coefficients b_<param>. Points
-    with a missing height or parameter take no part in the fit and have a NULL h_bs.
+    with a missing height or parameter take no part in the fit and have a NULL h_bs. A task reads its cells one
+    after another from sorted Arrow batches; memory is one cell's.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-    def fit(k, g):
+    def fit(values):
+        """h_bs, r2, d_std and coefficients of a cell from its columns t, h and params in order of time."""
         import numpy as np
 
-        lack = g[g[[t, h, *params]].isna().any(axis=1)]
-        g = g.drop(lack.index).sort_values([t, pid])
-        n = len(g)
+        ok = ~np.isnan(values).any(axis=0)
+        n = int(ok.sum())
+        found = np.where(ok, 0.0, np.nan)
         if n < least:
-            return [(p, x, 0.0, 0.0, *[0.0] * len(params)) for q, x in ((g, 0.0), (lack, None)) for p in q[pid]]
-        tt, hh = g[t].to_numpy(float), g[h].to_numpy(float)
+            return found, 0.0, 0.0, np.zeros(len(params))
+        tt, hh, *vv = values[:, ok]
         line = np.column_stack([np.ones(n), tt - tt.mean()])
         flat = hh - line @ np.linalg.lstsq(line, hh, rcond=None)[0]
         w = []
-        for p in params:
-            v = g[p].to_numpy(float)
+        for v in vv:
             v = v - v.mean()
             w.append(v / (mad(v) or 1.0))
         a = np.column_stack(w)
@@ -412,11 +415,33 @@ def scattering_correction(df: DataFrame, cell: str, pid: str, t: str, h: str, pa
         if not np.isfinite(cor).all() or after > before * (1 + worst):
             c, cor, after = c * 0, cor * 0, before
         total = ((flat[good] - flat[good].mean()) ** 2).sum()
-        r2 = 1 - ((flat[good] - cor[good]) ** 2).sum() / total if total > 0 else 0.0
-        return [(p, x, r2, after - before, *c) for p, x in [*zip(g[pid], cor), *((p, None) for p in lack[pid])]]
+        found[ok] = cor
+        return found, 1 - ((flat[good] - cor[good]) ** 2).sum() / total if total > 0 else 0.0, after - before, c
 
     kind = df.schema[pid].dataType.simpleString()
-    return by_group(df.select(cell, pid, t, h, *params), cell, fit, f"{pid} {kind}, h_bs double, r2 double, d_std double, " + ", ".join(f"b_{p} double" for p in params))
+    schema = f"{pid} {kind}, h_bs double, r2 double, d_std double, " + ", ".join(f"b_{p} double" for p in params)
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        waiting, n = [], 0
+        for parts in runs(batches, 1):
+            rows = pa.Table.from_batches(parts).combine_chunks()
+            h_bs, *one = fit(np.array([rows.column(2 + k).to_numpy() for k in range(2 + len(params))]))
+            same = [np.full(rows.num_rows, v) for v in (one[0], one[1], *one[2])]
+            waiting.append(pa.record_batch([rows.column(1).combine_chunks(), *(pa.array(v, from_pandas=True) for v in (h_bs, *same))], schema=arrow))
+            n += rows.num_rows
+            if n >= GATHERED:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, n = [], 0
+        if n:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+    numbers = [F.col(c).cast("double").alias(f"\x01{k}") for k, c in enumerate([t, h, *params])]
+    rows = df.select(F.col(cell).alias("\x01cell"), F.col(pid).alias("\x01pid"), *numbers)
+    return rows.repartition("\x01cell").sortWithinPartitions("\x01cell", "\x010", "\x01pid").mapInArrow(run, schema)
 
 
 # FIT-8, FIT-9

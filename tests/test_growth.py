@@ -69,3 +69,14 @@ def test_buffer_classes_look_no_farther_than_they_reach(spark, monkeypatch):
     got = {(q.i, q.j): q["class"] for q in raster.buffer_class(c, F.col("zero"), 5).collect()}
     want = {(i, j): min((math.ceil(math.hypot(i - a, j - b)) for a, b in zeros if math.hypot(i - a, j - b) <= 5), default=None) for i, j, _ in rows}
     assert zeros and None in want.values() and got == {**want, (None, 3): None}
+
+
+def test_scattering_corrections_need_no_frame_of_a_cell(spark, monkeypatch):
+    r = random.Random(10)
+    rows = [(c, None if k == 4 else (1 << 60) + 100 * (c or 0) + k, k / 12, 2 * p + k / 12 if k != 7 else None, p) for c in (1, 2, None) for k, p in ((k, r.gauss(0, 1)) for k in range(80 if c != 2 else 20))]
+    df = spark.createDataFrame(rows, "cell long, pid long, t double, h double, p double").repartition(5)
+    monkeypatch.setattr(fits, "by_group", None)
+    got = fits.scattering_correction(df, "cell", "pid", "t", "h", ["p"]).collect()
+    assert len(got) == len(rows) and {q.pid for q in got} == {q[1] for q in rows}
+    assert sum(q.h_bs is None for q in got) == 3 and sum(q.b_p == 0 for q in got) == 20
+    assert all(abs(q.b_p) > 0.1 and q.r2 > 0.9 for q in got if q.b_p)
