@@ -18,17 +18,24 @@ may be null; no documents make no rows.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from .common import text_of
-from .sp_codec import codec
 
 MOST = 1 << 16
 
 
+@lru_cache(maxsize=2)
+def tokenizer(model_path: str):
+    """One tokenizer for each worker process, the library's own: it needs no cache of words."""
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=model_path)
+
+
 class RoomTree:
     """Rows by their room, 0 to `most`, with search for the least room that is enough."""
 
@@ -89,7 +96,7 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
 
     if not 0 < length <= MOST:
         raise ValueError(f"rows have 1 to {MOST} ids, not {length}")
-    if len(codec(model_path).surface) > MOST or not 0 <= pad < MOST:
+    if tokenizer(model_path).get_piece_size() > MOST or not 0 <= pad < MOST:
         raise ValueError(f"ids are below {MOST}")
     fields = {"pack_id": LongType(), "n_ids": IntegerType(), "ids": BinaryType(), "cu_seqlens": ArrayType(IntegerType()), "positions": BinaryType(), "doc_ids": ArrayType(docs.schema[id_col].dataType), "offsets": ArrayType(LongType())}
     schema = StructType()
@@ -100,16 +107,15 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         import numpy as np
         from pyspark import TaskContext
 
-        c = codec(model_path)
+        t = tokenizer(model_path)
         number = TaskContext.get().partitionId() << 33
-        head, tail = (struct.pack("<I", i) for i in (c.bos, c.eos))
         owners: list = []  # ids of the waiting documents, and their token ids
         coded: list[bytes] = []
 
         def packed():
             nonlocal number
-            sizes = np.array([len(x) // 4 for x in coded])
-            ids = np.frombuffer(b"".join(coded), "<u4").astype("<u2")
+            sizes = np.array([len(x) // 2 for x in coded])
+            ids = np.frombuffer(b"".join(coded), "<u2")
             cuts = -(-sizes // length)
             doc = np.repeat(np.arange(len(sizes)), cuts)
             offset = length * (np.arange(len(doc)) - np.repeat(np.cumsum(cuts) - cuts, cuts))
@@ -150,8 +156,8 @@ def pack(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             first = 0
             for k, text in enumerate(batch.column(1)):
-                coded.append(head + c.encode(text.as_py()) + tail)
-                waiting += len(coded[-1]) // 4
+                coded.append(np.array(t.encode(text.as_py(), add_bos=True, add_eos=True), "<u2").tobytes())
+                waiting += len(coded[-1]) // 2
                 if waiting >= block_ids:
                     owners.append(batch.column(0).slice(first, k + 1 - first))
                     yield from packed()

@@ -57,3 +57,12 @@ def test_ids_may_be_strings(spark):
     df = spark.createDataFrame([("a", "some words"), (None, "more of them")], "doc_id string, text string")
     [row] = packing.pack(df.coalesce(1), MODEL, length=64).collect()
     assert sorted(row.doc_ids, key=str) == [None, "a"]
+
+
+def test_tasks_keep_no_words(spark):
+    from firnline.llm import sp_codec
+
+    sp_codec.codec.cache_clear()
+    rows = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    assert packing.pack(rows.coalesce(1), MODEL, length=16).collect()[0].n_ids == 2 * 2 + len(sentencepiece.SentencePieceProcessor(model_file=MODEL).encode("one two"))
+    assert sp_codec.codec.cache_info().currsize == 0
