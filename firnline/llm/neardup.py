@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, join_frequent, text_of
+from .common import PART_TEXTS, cut, fresh, join_frequent, packed, text_of
 from .graph import components
 from .simhash import BITS, bits_of, forest, print_of, shingle_hashes, tiled, words_of
 
@@ -145,7 +145,8 @@ def shingle_sets(asked: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(node, held): the 32-bit hashes of the shingles of each of the `asked` nodes, sorted; cut. `texts`: (node, text)."""
     import pyarrow as pa
 
-    asked = F.broadcast(asked) if asked.count() <= BROADCAST_NODES else asked
+    n = asked.count()
+    asked = F.broadcast(asked) if n <= BROADCAST_NODES else asked
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -157,7 +158,7 @@ def shingle_sets(asked: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 out.append(np.unique(np.concatenate(parts)).tobytes() if parts else b"")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["node", "held"])
 
-    one = texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    one = packed(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), n, PART_TEXTS)
     return cut(one.mapInArrow(sets, "node long, held binary"))
 
 
@@ -165,7 +166,8 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float)
     """(a, b, near): which links are near copies, by their whole shingle sets. `texts`: (node, text)."""
     import pyarrow as pa
 
-    held = shingle_sets(cut(links.select(F.explode(F.array("a", "b")).alias("node")).distinct()), texts, size)
+    n = links.count()
+    held = shingle_sets(cut(packed(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)), texts, size)
     both = links.join(held.select(F.col("node").alias("a"), F.col("held").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("held").alias("two")), "b")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ def _verified(links: DataFrame, texts: DataFrame, size: int, similarity: float)
                 near.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.bool_())], names=["a", "b", "near"])
 
-    return cut(both.select("a", "b", "one", "two").mapInArrow(compared, "a long, b long, near boolean"))
+    return cut(packed(both.select("a", "b", "one", "two"), n, PART_TEXTS).mapInArrow(compared, "a long, b long, near boolean"))
 
 
 def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = RADIUS, tile_rows: int = 8192, task_rows: int = 20_000) -> DataFrame:
@@ -187,11 +189,12 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     thin = nodes.select(F.col("node").alias("name"), F.posexplode("bands").alias("choice", "bits"))
     # a tile of one row has no pair; the others' rows get what is compared only then
     crowded = thin.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1").select("choice", "bits")
-    met = cut(thin.join(crowded, ["choice", "bits"]).select("name", "choice", "bits"))
+    many = nodes.count()
+    met = cut(packed(thin.join(crowded, ["choice", "bits"]).select("name", "choice", "bits"), many * BANDS))
     n = met.count()
-    print_ = cut(nodes.join(met.select(F.col("name").alias("node")).distinct(), "node").select(F.col("node").alias("name"), "print", "sketch"))
+    print_ = cut(packed(nodes.join(met.select(F.col("name").alias("node")).distinct(), "node").select(F.col("node").alias("name"), "print", "sketch"), many))
     first = tiled(met.join(print_, "name"), radius, tile_rows, task_rows, n, by_count=False).groupBy("task").applyInPandas(lambda pdf: _candidates(pdf, radius, similarity), "a long, b long")
-    first = cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = cut(packed(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n))
     if first.isEmpty():
         return nodes.select("node", F.col("node").alias("root")).limit(0)
     tried = _verified(first, texts, size, similarity)
@@ -201,10 +204,10 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
     # the tiles in which a candidate fell short are settled with all that is known
     asked = short.select(F.explode(F.array("a", "b")).alias("name")).distinct()
     tiles = met.join(asked, "name", "left_semi").select("choice", "bits").distinct()
-    rows = cut(met.join(tiles, ["choice", "bits"], "left_semi"))
-    held = shingle_sets(cut(rows.select(F.col("name").alias("node")).distinct()), texts, size).withColumnRenamed("node", "name")
+    rows = cut(packed(met.join(tiles, ["choice", "bits"], "left_semi"), n))
+    held = shingle_sets(cut(packed(rows.select(F.col("name").alias("node")).distinct(), many)), texts, size).withColumnRenamed("node", "name")
     roots = components(near).withColumnRenamed("node", "name")
-    known = cut(print_.drop("sketch").join(held, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")))
+    known = cut(packed(print_.drop("sketch").join(held, "name").join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), many, PART_TEXTS))
     dealt = tiled(rows.join(known.select("name", "print", "root"), "name"), radius, SETTLED_ROWS, SETTLED_TASK, rows.count(), by_count=False)
     # the sets join last, so that counts of tiles don't carry them
     last = dealt.join(known.select("name", "held"), "name").groupBy("task").applyInPandas(lambda pdf: _settled(pdf, radius, similarity), "a long, b long")
@@ -212,21 +215,22 @@ def near_copies(nodes: DataFrame, texts: DataFrame, size: int = 5, similarity: f
 
 
 def gone(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The documents (id, node) that are near copies of one that stays, and those that stay but are repeated; both cut."""
+    """The documents (id, node) that are near copies of one that stays, and those that stay but are repeated."""
     signed = cut(sketches(docs, id_col, text_col, size))
     place = F.struct(F.col("id").isNull().alias("no_id"), "id", "node")
-    nodes = cut(signed.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    n = signed.count()
+    nodes = cut(packed(signed.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("print").alias("print"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), n))
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("node"), F.col(text_col).alias("text"))
-    roots = cut(near_copies(nodes.select("node", "print", "bands", "sketch"), texts, size, similarity))
-    linked = cut(nodes.select("node", "first").join(roots, "node"))
-    low = linked.groupBy("root").agg(F.min("first").alias("stays"))
-    stays = cut(join_frequent(linked.select("node", "root"), cut(low), "root").select("node", "stays"))
+    roots = near_copies(nodes.select("node", "print", "bands", "sketch"), texts, size, similarity)
+    linked = cut(packed(nodes.select("node", "first").join(roots, "node"), n))
+    low = packed(linked.groupBy("root").agg(F.min("first").alias("stays")), n)
+    stays = cut(packed(join_frequent(linked.select("node", "root"), cut(low), "root"), n).select("node", "stays"))
     alone = nodes.where("copies > 1").join(stays, "node", "left_anti").select("node", F.col("first").alias("stays"))
-    rows = cut(signed.groupBy("id", "node").agg(F.count("*").alias("n")))
-    crowd = join_frequent(rows, cut(stays.union(alone)), "node")
+    rows = cut(packed(signed.groupBy("id", "node").agg(F.count("*").alias("n")), n))
+    crowd = cut(packed(join_frequent(rows, cut(packed(stays.union(alone), n)), "node"), n))
     one = crowd.where(~F.col("id").eqNullSafe(F.col("stays.id")) | (F.col("node") != F.col("stays.node")))
     again = crowd.where(F.col("id").eqNullSafe(F.col("stays.id")) & (F.col("node") == F.col("stays.node")) & (F.col("n") > 1))
-    return cut(one.select("id", "node")), cut(again.select("id", "node"))
+    return one.select("id", "node"), again.select("id", "node")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -25,7 +25,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed
 from .graph import components
 
 BITS = 64
@@ -197,7 +197,7 @@ def tiled(keyed: DataFrame, radius: int, tile_rows: int, task_rows: int, n: int,
     counts lie within) by a hash alone.
     """
     tasks = max(1, math.ceil(n / task_rows))
-    hot = cut(keyed.groupBy("choice", "bits").count().where(F.col("count") > tile_rows))
+    hot = cut(packed(keyed.groupBy("choice", "bits").count(), n).where(F.col("count") > tile_rows))
     tiles = keyed.withColumn("part", F.lit(0).cast("long"))
     if many := hot.count():
         known = keyed.join(F.broadcast(hot) if many <= BROADCAST_TILES else hot, ["choice", "bits"], "left")

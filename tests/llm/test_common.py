@@ -1,3 +1,4 @@
+from firnline.llm import neardup
 from firnline.llm.common import cut, join_frequent
 from firnline.llm.graph import components
 
@@ -35,3 +36,20 @@ def test_components_of_long_paths_take_few_rounds(spark, monkeypatch):
     links = spark.createDataFrame([(k * 7919 % 300, (k + 1) * 7919 % 300) for k in range(299)], "a long, b long")
     assert {r["root"] for r in components(links).collect()} == {0}
     assert len(rounds) <= 2 * 12
+
+
+def test_small_tables_make_few_partitions(spark):
+    """However many partitions a shuffle has, a round of few links is few tasks and files."""
+    keys = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        found = components(spark.createDataFrame([(k, k + 1) for k in range(50)] + [(100, 101)], "a long, b long"))
+        assert {r.root for r in found.collect()} == {0, 100} and found.rdd.getNumPartitions() == 1
+        docs = spark.createDataFrame([(k, f"{'same words over and over ' * 9} {k % 3}") for k in range(30)] + [(99, "other")], "doc_id long, text string")
+        leave, _ = neardup.gone(docs)
+        assert leave.count() == 27 and leave.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
