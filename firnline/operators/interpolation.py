@@ -95,26 +95,128 @@ def _model(kind: str, d, c0: float, a: float):
     return c0 * np.exp(-d / (a * 1.4427))
 
 
-#: Points of a node whose system is solved as one matrix (512 MB and a copy); larger ones are solved by rows of so many numbers at a time.
-DENSE, ROWS = 8_000, 4_000_000
+#: Points of a node whose system is solved as one matrix, and with times (512 MB and a copy); larger ones are solved by cells, or by rows of so many numbers at a time.
+DENSE, TIMED, ROWS = 3_000, 8_000, 4_000_000
+#: Tasks that few nodes are dealt to.
+NODE_TASKS = 1_000
 #: Points whose view of a large system speeds up its solution.
-LANDMARKS = 600
+LANDMARKS = 1_000
+#: Nodes of a cell and side for covariances of points that are more than RINGS cells apart, mean points of a cell, cells of a side at most.
+NODES, RINGS, EACH, CELLS = 10, 2, 50, 48
+#: Covariances of near points that are held (800 MB); of more, they are made anew for each step.
+HELD = 100_000_000
+#: Largest error of a product by cells, as a share of the variance times the sum of the vector's sizes.
+EXACT = 1e-13
 
 
-def _by_gradients(rows, noise, right, parts, landmarks: int, tolerance: float = 1e-10):
-    """Solution of (rows + diagonal `noise`) w = right by conjugate gradients; `rows(k)` makes rows of the matrix.
+def _by_cells(x, y, cov, length: float):
+    """A function v to K v, K the covariances `cov(distance)` of all pairs of points; None where cells would not be exact enough.
 
-    Preconditioned by the same system with the matrix as some evenly chosen points see it.
+    Points of near cells meet as they are. Those of other cells meet through a grid of Chebyshev nodes in each cell,
+    between which a covariance that far out is a polynomial to within EXACT (looked at on some rows); the sums over
+    all cells are a convolution. Time and memory grow with the points, not with their square.
+    """
+    import numpy as np
+
+    n = len(x)
+    span = max(np.ptp(x), np.ptp(y))
+    least = int(np.ceil(2 * span / length))
+    if not 0 < least <= CELLS:
+        return None
+    g = max(2 * RINGS + 2, least, min(int(np.sqrt(n / EACH)), CELLS))
+    side = span / g * (1 + 1e-9)
+    cx, cy = (np.floor((c - c.min()) / side).astype(np.int64) for c in (x, y))
+    cell = cx * g + cy
+    order = np.argsort(cell, kind="stable")
+    xs, ys, cell = x[order], y[order], cell[order]
+    edges = np.searchsorted(cell, np.arange(g * g + 1))
+    used = np.unique(cell)
+
+    # what a point gives to and takes from the nodes of its cell
+    k = np.arange(NODES)
+    at = np.cos((2 * k + 1) * np.pi / (2 * NODES))
+    chebyshev = lambda t: np.cos(k * np.arccos(np.clip(t, -1, 1))[..., None])
+    weights = lambda t: (chebyshev(t) * np.where(k == 0, 1, 2) / NODES) @ chebyshev(at).T
+    mine = lambda c, low, i: weights(2 * ((c - low) / side - i) - 1)
+    wx, wy = mine(xs, x.min(), cell // g), mine(ys, y.min(), cell % g)
+    nx, ny = (v.ravel() * side / 2 for v in np.meshgrid(at, at, indexing="ij"))
+
+    def between(i, j):  # covariances of the nodes of two cells
+        return cov(np.hypot(nx[:, None] - nx[None, :] + i * side, ny[:, None] - ny[None, :] + j * side))
+
+    ring = [(i, j) for i in range(-RINGS - 2, RINGS + 3) for j in range(-RINGS - 2, RINGS + 3) if max(abs(i), abs(j)) > RINGS]
+    u, size, _ = np.linalg.svd(np.concatenate([between(i, j) for i, j in ring], axis=1), full_matrices=False)
+    u = u[:, size > 1e-14 * size[0]]
+    basis = np.concatenate([(a[:, :, None] * b[:, None, :]).reshape(len(a), -1) @ u for a, b in zip(np.array_split(wx, n // 10_000 + 1), np.array_split(wy, n // 10_000 + 1))])
+    m = u.shape[1]
+    shift = np.zeros((2 * g, 2 * g, m, m))
+    for i in range(1 - g, g):
+        for j in range(1 - g, g):
+            if max(abs(i), abs(j)) > RINGS:
+                shift[i, j] = u.T @ between(i, j) @ u
+    shift = np.fft.rfft2(shift, axes=(0, 1))
+
+    blocks = []
+    for c in used:
+        i, j = divmod(int(c), g)
+        lo, hi = edges[c], edges[i * g + min(j + RINGS, g - 1) + 1]
+        beside = [np.arange(edges[r * g + max(j - RINGS, 0)], edges[r * g + min(j + RINGS, g - 1) + 1]) for r in range(i + 1, min(i + RINGS, g - 1) + 1)]
+        blocks.append((lo, edges[c + 1], np.concatenate([np.arange(lo, hi), *beside])))
+    near = lambda lo, hi, to: cov(np.hypot(xs[lo:hi, None] - xs[None, to], ys[lo:hi, None] - ys[None, to]))
+    held = [near(*b) for b in blocks] if sum((hi - lo) * len(to) for lo, hi, to in blocks) <= HELD else None
+
+    def times(v):
+        v = v[order]
+        given = np.zeros((g * g, m))
+        given[used] = np.add.reduceat(basis * v[:, None], edges[used])
+        far = np.fft.rfft2(given.reshape(g, g, m), (2 * g, 2 * g), axes=(0, 1))
+        far = np.fft.irfft2((shift @ far[..., None])[..., 0], (2 * g, 2 * g), axes=(0, 1))[:g, :g].reshape(g * g, m)
+        out = (basis * far[cell]).sum(axis=1)
+        for k, (lo, hi, to) in enumerate(blocks):
+            block = near(lo, hi, to) if held is None else held[k]
+            out[lo:hi] += block @ v[to]
+            later = to[hi - lo :]
+            out[later] += block[:, hi - lo :].T @ v[lo:hi]
+        back = np.empty(n)
+        back[order] = out
+        return back
+
+    some = np.linspace(0, n - 1, 16).astype(int)
+    trial = np.random.default_rng(7).normal(size=n)
+    want = cov(np.hypot(x[some, None] - x[None, :], y[some, None] - y[None, :])) @ trial
+    if np.abs(times(trial)[some] - want).max() > EXACT * cov(np.zeros(1))[0] * np.abs(trial).sum():
+        return None
+    return times
+
+
+def _apart(x, y, most: int):
+    """Places of up to `most` points, each as far as can be from those before it."""
+    import numpy as np
+
+    at, far = [0], np.hypot(x - x[0], y - y[0])
+    while len(at) < most and far.max() > 0:
+        at.append(int(far.argmax()))
+        far = np.minimum(far, np.hypot(x - x[at[-1]], y - y[at[-1]]))
+    return np.array(at)
+
+
+def _by_gradients(rows, noise, right, parts, landmarks: int, tolerance: float = 1e-12, product=None, at=None):
+    """Solution of (rows + diagonal `noise`) w = right by conjugate gradients; `rows(k)` makes rows of the matrix, `product(v)` their product, if there is a faster way.
+
+    Preconditioned by the same system with the matrix as the points `at`, or some evenly chosen ones, see it.
     """
     import numpy as np
 
     n = len(right)
-    at = np.unique(np.linspace(0, n - 1, min(landmarks, n)).astype(int))
-    seen = rows(at).T
-    scaled = seen / noise[:, None]
-    core = np.linalg.inv((seen[at] + seen[at].T) / 2 + 1e-9 * np.abs(seen[at]).max() * np.eye(len(at)) + seen.T @ scaled)
-    near = lambda v: v / noise - scaled @ (core @ (scaled.T @ v))
-    times = lambda v: np.concatenate([rows(k) @ v for k in parts]) + noise * v
+    at = np.unique(np.linspace(0, n - 1, min(landmarks, n)).astype(int)) if at is None else at
+    seen = rows(at)
+    size, turn = np.linalg.eigh((seen[:, at] + seen[:, at].T) / 2)
+    kept = size > 1e-9 * size[-1]
+    seen = (turn[:, kept] / np.sqrt(size[kept])).T @ seen
+    core = np.linalg.inv(np.eye(len(seen)) + (seen / noise) @ seen.T)
+    near = lambda v: (v - ((core @ (seen @ (v / noise))) @ seen)) / noise
+    product = product or (lambda v: np.concatenate([rows(k) @ v for k in parts]))
+    times = lambda v: product(v) + noise * v
     x, r = np.zeros(n), right.copy()
     z = near(r)
     p, rz, goal = z.copy(), r @ z, tolerance * np.sqrt(right @ right)
@@ -130,12 +232,13 @@ def _by_gradients(rows, noise, right, parts, landmarks: int, tolerance: float =
     return x
 
 
-def solve(x0: float, y0: float, x, y, z, s, a: float, kind: str = "markov", same=None, same_error: float = 0.0, t=None, t0: float = 0.0, tau: float | None = None, dense: int = DENSE) -> tuple[float, float]:
+def solve(x0: float, y0: float, x, y, z, s, a: float, kind: str = "markov", same=None, same_error: float = 0.0, t=None, t0: float = 0.0, tau: float | None = None, dense: int | None = None) -> tuple[float, float]:
     """Estimate and error at one node: simple kriging about the median with noise variances s2.
 
     With `tau`, covariances also fall with the time between points, exp(-(dt / tau)^2), and to the epoch t0.
-    Up to `dense` points are one matrix. For more the matrix is never held: its rows are made anew, some at a time, for each
-    step of conjugate gradients, which end at a residual of 10^-10; time grows with the square of the points.
+    Up to `dense` points (DENSE, with `tau` TIMED) are one matrix. For more the matrix is never held: conjugate gradients, which end at a residual of
+    10^-12, take its products by cells (`_by_cells`), whose time grows with the points. With `tau`, or where cells would not be
+    exact enough, its rows are made anew, some at a time, for each step, in a time that grows with the square of the points.
     """
     import numpy as np
 
@@ -154,14 +257,18 @@ def solve(x0: float, y0: float, x, y, z, s, a: float, kind: str = "markov", same
     if tau:
         to = to * np.exp(-(((t - t0) / tau) ** 2))
     parts = np.array_split(np.arange(len(z)), max(1, len(z) * len(z) // ROWS))
-    if len(z) <= dense:
+    if len(z) <= (dense or (TIMED if tau else DENSE)):
         system = np.empty((len(z), len(z)))
         for k in parts:
             system[k] = rows(k)
         system[np.diag_indices(len(z))] += noise
         weights = np.linalg.solve(system, to)
     else:
-        weights = _by_gradients(rows, noise, to, parts, LANDMARKS)
+        product = None if tau else _by_cells(x, y, lambda d: _model(kind, d, c0, a), a)
+        if product and same is not None and same_error:
+            by_cells, track = product, np.unique(same, return_inverse=True)[1]
+            product = lambda v: by_cells(v) + same_error**2 * (np.bincount(track, v)[track] - v)
+        weights = _by_gradients(rows, noise, to, parts, LANDMARKS, product=product, at=_apart(x, y, LANDMARKS))
     return float(mean + weights @ (z - mean)), float(np.sqrt(max(c0 - weights @ to, 0.0)))
 
 
@@ -224,6 +331,9 @@ def optimal(nodes: DataFrame, points: DataFrame, key: str, z: str, s: str, t: st
         return pd.DataFrame(rows, columns=["key", "z", "err", "n", "t_mean", "t_span", "d_mean"])
 
     schema = f"key {nodes.schema[key].dataType.simpleString()}, z double, err double, n long, t_mean double, t_span double, d_mean double"
+    # a node may be a long task: few nodes get a task each, as small as what they hold is for Spark
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4 * nodes.count(), NODE_TASKS))
+    q = q.repartition(tasks, "key")
     return q.groupBy("key").applyInPandas(one, schema).withColumnRenamed("key", key)
 
 

@@ -73,3 +73,35 @@ def test_zero_crossing_and_running_median():
     assert I.robust_covariance(d, 4.5 - d, "gauss", window=1)["zero"] == pytest.approx(4.5)
     assert I.robust_covariance(d, np.exp(-d), "exp", window=1)["zero"] is None
     assert I.running_median(np.array([1.0, 9.0, 2.0, 3.0]), 3).tolist() == [5.0, 2.0, 3.0, 2.5]
+
+
+@pytest.mark.parametrize("kind", ["gauss", "markov", "generic", "exp"])
+def test_products_by_cells_are_those_of_all_pairs(kind):
+    r = np.random.default_rng(4)
+    x, y = np.concatenate([r.normal(0, 1, 2000), [0.5] * 3]), np.concatenate([r.normal(0, 2, 2000), [0.25] * 3])
+    v = r.normal(size=len(x))
+    cov = lambda d: I._model(kind, d, 0.3, 1.0)
+    times = I._by_cells(x, y, cov, 1.0)
+    want = cov(np.hypot(x[:, None] - x, y[:, None] - y)) @ v
+    assert times is None or np.abs(times(v) - want).max() <= 2 * I.EXACT * 0.3 * np.abs(v).sum()
+    assert times is not None or kind == "exp"
+    assert I._by_cells(np.zeros(5), np.zeros(5), cov, 1.0) is None  # no extent
+    assert I._by_cells(x * 1e4, y, cov, 1.0) is None  # too many cells
+
+
+def test_large_systems_need_fewer_covariances_than_pairs(monkeypatch):
+    x, y, z, s, t, k = points(4000, 6)
+    want = I.solve(1.0, 1.0, x, y, z, s, 1.5, "markov", k, 0.02, dense=5000)
+    made, model = [], I._model
+    monkeypatch.setattr(I, "LANDMARKS", 300)
+    monkeypatch.setattr(I, "_model", lambda kind, d, *more: made.append(np.size(d)) or model(kind, d, *more))
+    assert I.solve(1.0, 1.0, x, y, z, s, 1.5, "markov", k, 0.02, dense=100) == pytest.approx(want, abs=1e-8)
+    assert sum(made) < 4000 * 4000
+
+
+def test_few_nodes_get_a_task_each(spark):
+    x, y, z, s, t, k = points(100, 9)
+    df = spark.createDataFrame([(*map(float, v[:5]), int(v[5])) for v in zip(x, y, z, s, t, k)], "x double, y double, z double, s double, t double, k int")
+    nodes = spark.createDataFrame([(i, float(i % 3), float(i // 3)) for i in range(9)], "node long, x double, y double")
+    q = I.optimal(nodes, df, "node", "z", "s", "t", "k", 4.0, 2.0, least=5)
+    assert q.rdd.getNumPartitions() >= 36 and q.count() == 9
