@@ -80,3 +80,19 @@ def test_scattering_corrections_need_no_frame_of_a_cell(spark, monkeypatch):
     assert len(got) == len(rows) and {q.pid for q in got} == {q[1] for q in rows}
     assert sum(q.h_bs is None for q in got) == 3 and sum(q.b_p == 0 for q in got) == 20
     assert all(abs(q.b_p) > 0.1 and q.r2 > 0.9 for q in got if q.b_p)
+
+
+def test_pairs_of_a_dense_cloud_are_dealt_to_tasks(spark, monkeypatch):
+    """A small cloud of many pairs is not joined in a few tasks, whatever the sizes of the sides say; pairs at the radius count."""
+    from __spark_entry__ import queries
+
+    c = cloud(spark, 200, 11).unionByName(spark.createDataFrame([(900, 0.0, 0.0, 1.0), (901, 0.25, 0.0, 1.0), (902, -0.25, 0.0, 1.0)], "pid long, x double, y double, z double"))
+    want = sorted((q.l_pid, q.r_pid) for q in spatial.radius_join(c, c, 0.25).collect())
+    monkeypatch.setattr(spatial, "PAIRS", 500, raising=False)
+    for name in ("jn1_radius_join",):
+        assert queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 25, name
+    got = sorted((q.l_pid, q.r_pid) for q in spatial.dealt_radius_join(c, c, 0.25).collect())
+    assert got == want and (900, 901) in got and (902, 900) in got
+    by = spatial.dealt_radius_join(c.withColumn("m", F.col("pid") % 3), c.withColumn("m", F.col("pid") % 3), 0.25, by=("m",))
+    assert sorted((q.l_pid, q.r_pid) for q in by.collect()) == [p for p in want if p[0] % 3 == p[1] % 3]
+    assert spatial.dealt_radius_join(c.limit(0), c, 0.25).count() == 0
