@@ -89,7 +89,7 @@ def test_pairs_of_a_dense_cloud_are_dealt_to_tasks(spark, monkeypatch):
     c = cloud(spark, 200, 11).unionByName(spark.createDataFrame([(900, 0.0, 0.0, 1.0), (901, 0.25, 0.0, 1.0), (902, -0.25, 0.0, 1.0)], "pid long, x double, y double, z double"))
     want = sorted((q.l_pid, q.r_pid) for q in spatial.radius_join(c, c, 0.25).collect())
     monkeypatch.setattr(spatial, "PAIRS", 500, raising=False)
-    for name in ("jn1_radius_join",):
+    for name in ("jn1_radius_join", "jn15_lag_pairs"):
         assert queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() >= 25, name
     got = sorted((q.l_pid, q.r_pid) for q in spatial.dealt_radius_join(c, c, 0.25).collect())
     assert got == want and (900, 901) in got and (902, 900) in got
